@@ -117,19 +117,47 @@ def running(
     )
 
 
-def attach_totals(
-    df: DataFrame, keys: Sequence[str], spread: Column, totals: Mapping[str, Column]
+def attach(
+    df: DataFrame, keys: Sequence[str], spread: Column, per_key: DataFrame, how: str = "inner"
 ) -> DataFrame:
-    """Give every row its key's aggregates, for keys of any size.
+    """Join a table of one row per key to rows whose keys may be of any size.
 
-    The aggregates combine map-side. They return to the rows over the existing
-    (key, spread) pairs, so the row join is keyed on both and a hot key is split
-    into as many parts as ``spread`` has values.
+    The table first meets the (key, spread) pairs that occur, so the join with the
+    rows is keyed on both and a hot key is split into as many parts as ``spread``
+    has values.
     """
     rows = df.withColumn("_spread", spread)
+    pairs = rows.select(*keys, "_spread").distinct().join(per_key, list(keys), how)
+    added = [c for c in per_key.columns if c not in keys]
+    return rows.join(pairs, [*keys, "_spread"]).select(*df.columns, *added)
+
+
+def attach_totals(
+    df: DataFrame, keys: Sequence[str], spread: Column, totals: Mapping[str, Column]
+) -> DataFrame:
+    """Give every row its key's aggregates; these combine before their shuffle."""
     per_key = df.groupBy(*keys).agg(*[c.alias(n) for n, c in totals.items()])
-    pairs = rows.select(*keys, "_spread").distinct().join(per_key, list(keys))
-    return rows.join(pairs, [*keys, "_spread"]).select(*df.columns, *totals)
+    return attach(df, keys, spread, per_key)
+
+
+def upper_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """Per key, element ``n div 2`` of the sorted values; they must not be negative.
+
+    Equal values are counted first. Ranks are running sums over the distinct
+    values, so no task holds the values of a key.
+    """
+    distinct = (
+        df.where(F.col(value).isNotNull())
+        .groupBy(*keys, value)
+        .agg(F.count("*").alias("_n"))
+        .withColumn("_key", sort_key(F.col(value)))
+    )
+    ranked = running(distinct, keys, ["_key"], [Running("sum", F.col("_n"), "_before")])
+    sized = attach_totals(ranked, keys, F.pmod("_key", F.lit(64)), {"_all": F.sum("_n")})
+    middle = F.expr("_all div 2")
+    return sized.where((F.col("_before") <= middle) & (middle < F.col("_before") + F.col("_n"))).select(
+        *keys, F.col(value).alias(name)
+    )
 
 
 def newest(
