@@ -62,7 +62,8 @@ def rate(amount: Column, seconds: Column) -> Column:
 
 
 def eta_seconds(target: Column, tokens: Column, per_second: Column) -> Column:
-    return (target - tokens) / F.greatest(F.lit(1.0), per_second)
+    """Time to the target; unknown where the rate is."""
+    return F.when(per_second.isNotNull(), (target - tokens) / F.greatest(F.lit(1.0), per_second))
 
 
 def perplexity(loss: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -80,12 +80,11 @@ def zipf_token(u: Column, vocab_size: int, exponent: float = 1.1) -> Column:
     """Token ids with weight ``1 / rank**exponent`` for uniforms in (0, 1)."""
 
     @F.pandas_udf(T.LongType())
-    def looked_up(batches):
+    def looked_up(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         weights = 1.0 / np.arange(1, vocab_size + 1) ** exponent
         edges = np.cumsum(weights) / weights.sum()
         for batch in batches:
             found = np.searchsorted(edges, batch.to_numpy(), side="right")
             yield pd.Series(np.minimum(found, vocab_size - 1).astype(np.int64))
 
-    looked_up.__annotations__ = {}
     return looked_up(u)

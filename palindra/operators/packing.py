@@ -354,3 +354,41 @@ def union_in_order(frames: Sequence[DataFrame]) -> DataFrame:
         ranked = frame.withColumn("source_rank", F.lit(rank))
         out = ranked if out is None else out.unionByName(ranked)
     return out
+
+
+def split_stream(parts: DataFrame, shard_tokens: int, eos: str = txt.EOS) -> DataFrame:
+    """(stream, number, tokens): documents of a packed stream, found by separators alone.
+
+    A part knows how many separators precede it in its stream, so every part is
+    cut where it lies and only lengths are summed per document.
+    """
+    seen = parts.select(
+        "stream",
+        (F.col("shard") * shard_tokens + F.col("at")).alias("pos"),
+        F.size("tokens").alias("size"),
+        F.filter(
+            F.transform("tokens", lambda t, i: F.when(t == eos, i + 1)), lambda i: i.isNotNull()
+        ).alias("ends"),
+    )
+    earlier = running(
+        seen, ["stream"], ["pos"], [Running("sum", F.size("ends").cast("bigint"), "number")]
+    )
+    edges = F.array_distinct(F.concat(F.array(F.lit(0)), F.col("ends"), F.array(F.col("size"))))
+    cuts = F.transform(
+        F.sequence(F.lit(1), F.size(edges) - 1),
+        lambda k: F.struct(
+            (F.col("number") + k - 1).alias("number"),
+            (
+                F.get(edges, k)
+                - F.get(edges, k - 1)
+                - F.when(k <= F.size("ends"), 1).otherwise(0)
+            )
+            .cast("bigint")
+            .alias("tokens"),
+        ),
+    )
+    return (
+        earlier.select("stream", F.explode(cuts).alias("d"))
+        .groupBy("stream", "d.number")
+        .agg(F.sum("d.tokens").alias("tokens"))
+    )
