@@ -1182,3 +1182,151 @@ def zipf_tokens(spark, sf_dir):
     return lines.select(diagnostics.zipf_token(u, 49_152).alias("token")).groupBy("token").agg(
         F.count("*").alias("n")
     )
+
+
+# --------------------------------------------------------------------------- streams
+
+
+def arrive_in_slices(rows: DataFrame, order: str, slices: int, folder: str):
+    """Write the whole table to a stream's input folder, slice after slice in order,
+    and yield after each one so that the stream can take it."""
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    width = (high - low) // slices + 1
+    slot = F.expr(f"({order} - {low}) div {width}")
+    for k in range(slices):
+        rows.where(slot == k).write.mode("append").parquet(folder)
+        yield rows.sparkSession.readStream.schema(rows.schema).parquet(folder)
+
+
+@query(
+    f"""
+with t as (
+  select doc_id, len({oracle.toks('text')}) + 1 as n,
+    {oracle.joined(f"list_concat(list_reverse({oracle.toks('text')}), ['{txt.EOS}'])")} as tokens,
+    sum(len({oracle.toks('text')}) + 1) over (order by doc_id) as upto
+  from documents where length(text) > 0)
+select doc_id as doc, n::BIGINT as n, (upto - n)::BIGINT as start, ((upto - 1) // 50000 - (upto - n) // 50000 + 1)::BIGINT as parts, tokens from t
+where upto - n < 1000000
+"""
+)
+def stream_pack(spark, sf_dir):
+    """Documents arrive in three slices and are packed up to a million tokens."""
+    from palindra.session import fresh_path
+    from palindra.streaming.pack import PackStream
+
+    folder = fresh_path(spark, "pack-stream")
+    job = PackStream(folder, max_tokens=1_000_000, shard_tokens=50_000)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    for stream in arrive_in_slices(docs, "doc_id", 3, f"{folder}/in"):
+        job.start(stream).awaitTermination()
+    parts = job.parts(spark)
+    place = F.col("shard") * job.shard_tokens + F.col("at")
+    # A document's parts are few: one more than the shard ends it crosses.
+    return parts.groupBy("doc").agg(
+        F.sum(F.size("tokens").cast("bigint")).alias("n"),
+        F.min(place).alias("start"),
+        F.count("*").alias("parts"),
+        digest(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("shard", "tokens"))), lambda s: s["tokens"]))).alias("tokens"),
+    )
+
+
+def followed(spark, sf_dir):
+    """The run log arrives in three slices; returns the follower behind the last one."""
+    from palindra.session import fresh_path, stage
+    from palindra.streaming.runs import RunFollower
+
+    folder = fresh_path(spark, "run-stream")
+    follower = RunFollower(folder)
+    log = run_log(spark, sf_dir).select(
+        "run_id", "seq", "step", "wall_s", "loss", (micros("ts") / 1e6).alias("heartbeat")
+    )
+    for stream in arrive_in_slices(stage(log, "log"), "seq", 3, f"{folder}/in"):
+        done = follower.start(stream)
+        done.awaitTermination()
+    return follower, done.lastProgress["batchId"]
+
+
+@query(
+    f"""
+with {oracle.RUN_LOG},
+prev_ as (
+  select *, lag(wall_s) over w as pw, lag(step) over w as ps from log_ window w as (partition by run_id order by seq))
+select run_id, seq, ps::BIGINT as from_step, step::BIGINT as step from prev_ where wall_s < pw
+"""
+)
+def stream_restart(spark, sf_dir):
+    return followed(spark, sf_dir)[0].restarts(spark)
+
+
+@query(
+    f"""
+with recursive {oracle.RUN_LOG},
+fold_ as (
+  select run_id, seq, rn, loss as ema from log_ where rn = 1
+  union all
+  select l.run_id, l.seq, l.rn, 0.9 * f.ema + 0.1 * l.loss from fold_ f join log_ l on l.run_id = f.run_id and l.rn = f.rn + 1)
+select run_id, seq, round(ema, 6) as ema from fold_
+"""
+)
+def stream_ema(spark, sf_dir):
+    return followed(spark, sf_dir)[0].smoothed(spark).withColumn("ema", F.round("ema", 6))
+
+
+@query(
+    f"""
+with {oracle.RUN_LOG},
+last_ as (
+  select run_id, max(seq)::BIGINT as seq, max(step)::BIGINT as step, arg_max(loss, seq) as loss, max(epoch_us(ts)) / 1e6 as heartbeat
+  from log_ group by run_id)
+select run_id, seq, step, loss, round((select max(heartbeat) from last_) - heartbeat, 3) as quiet_s
+from last_ where (select max(heartbeat) from last_) - heartbeat > 180
+"""
+)
+def stream_stall(spark, sf_dir):
+    from palindra.streaming import runs
+
+    follower, batch = followed(spark, sf_dir)
+    status = follower.status(spark, batch)
+    now = status.agg(F.max("heartbeat")).first()[0]
+    return runs.stalled(status, F.lit(now)).select(
+        "run_id", "seq", "step", "loss", F.round(F.lit(now) - F.col("heartbeat"), 3).alias("quiet_s")
+    )
+
+
+@query(
+    f"""
+with {oracle.RUN_LOG},
+hour_ as (
+  select run_id, (epoch_us(date_trunc('day', ts)) // 1000000)::BIGINT as window_s, count(*)::BIGINT as log_rows,
+    round(sum(loss), 4) as loss_sum, max(tokens)::BIGINT as tokens, max(ts) as newest
+  from log_ group by 1, 2)
+select run_id, window_s, log_rows, loss_sum, tokens from hour_
+where window_s + 86400 <= (select max(epoch_us(ts)) / 1e6 - 600 from events)
+"""
+)
+def stream_windows(spark, sf_dir):
+    """Daily windows that the watermark has closed."""
+    from palindra.session import fresh_path, stage
+    from palindra.streaming import runs
+
+    folder = fresh_path(spark, "window-stream")
+    log = stage(run_log(spark, sf_dir).select("run_id", "seq", "ts", "loss", "tokens"), "log")
+    zoned = log.withColumn("ts", F.timestamp_micros(micros("ts")))
+    for stream in arrive_in_slices(zoned, "seq", 3, f"{folder}/in"):
+        (
+            runs.windows(stream, "10 minutes", "1 day")
+            .writeStream.outputMode("append")
+            .format("parquet")
+            .option("path", f"{folder}/out")
+            .option("checkpointLocation", f"{folder}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+            .awaitTermination()
+        )
+    return spark.read.parquet(f"{folder}/out").select(
+        "run_id",
+        F.unix_seconds("window_start").alias("window_s"),
+        "log_rows",
+        F.round("loss_sum", 4).alias("loss_sum"),
+        "tokens",
+    )
