@@ -6,8 +6,11 @@ each chunk is summarised to one row, the same question is asked of the summaries
 and the answer is joined back on the chunk. Because (key, order) is unique, a
 chunk cannot hold more than ``2**bits`` rows, whatever the skew of the key.
 
-The plan is fixed by the column widths alone: no sampling, no driver-side pass
-and no dependence on partition ids, so a recomputed task gives the same rows.
+Chunks follow from the order values: no sampling and no dependence on partition
+ids, so a recomputed task gives the same rows. Summaries are written to the shared
+folder. That keeps a chain of such steps linear, where self-joins would double the
+work at each step, and tells how many there are: below ``ONE_WINDOW`` they take a
+plain window, beyond it they are chunked again.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from palindra.session import stage
 ID_BITS = (10, 18, 18)
 # For a position counter below 2**31: 131,072 rows at most in the last window.
 POSITION_BITS = (14,)
+# Summaries that may share one window.
+ONE_WINDOW = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -76,27 +81,33 @@ def _scan(df, keys, order, kinds, bits, depth):
     else:
         parent_order, parent_bits = lead, bits
     group = [*keys, *parent_order]
-    spec = Window.partitionBy(*(group or [F.lit(0)])).orderBy(last)
-    spec = spec.rowsBetween(Window.unboundedPreceding, -1)
-    local = df.select(
-        "*", *[_over_earlier(k, v, spec).alias(f"_r{i}") for i, (k, v) in enumerate(zip(kinds, values))]
-    )
+    local = _windowed(df, group, [last], kinds)
     if not parent_order:
         return local
-    summary = df.groupBy(*group).agg(
-        *[_summarise(k, v, last).alias(v) for k, v in zip(kinds, values)]
+    summary = stage(
+        df.groupBy(*group).agg(*[_summarise(k, v, last).alias(v) for k, v in zip(kinds, values)]),
+        "summary",
     )
-    carried = _scan(summary, keys, parent_order, kinds, parent_bits, depth + 1).select(
+    if summary.count() <= ONE_WINDOW:
+        scanned = _windowed(summary, keys, parent_order, kinds)
+    else:
+        scanned = _scan(summary, keys, parent_order, kinds, parent_bits, depth + 1)
+    carried = scanned.select(
         *group, *[F.col(f"_r{i}").alias(f"_carry{i}") for i in range(len(kinds))]
     )
-    joined = local.join(carried, group)
     keep = [F.col(c) for c in df.columns]
-    return joined.select(
+    return local.join(carried, group).select(
         *keep,
         *[_combine(k, F.col(f"_carry{i}"), F.col(f"_r{i}")).alias(f"_r{i}") for i, k in enumerate(kinds)],
     )
 
 
+def _windowed(df, group, order, kinds):
+    spec = Window.partitionBy(*(group or [F.lit(0)])).orderBy(*order)
+    spec = spec.rowsBetween(Window.unboundedPreceding, -1)
+    return df.select("*", *[_over_earlier(k, f"_v{i}", spec).alias(f"_r{i}") for i, k in enumerate(kinds)])
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -118,26 +129,28 @@ def running(
 
 
 def attach(
-    df: DataFrame, keys: Sequence[str], spread: Column, per_key: DataFrame, how: str = "inner"
+    df: DataFrame, keys: Sequence[str], spread: Column, parts: Column, per_key: DataFrame, how: str = "inner"
 ) -> DataFrame:
     """Join a table of one row per key to rows whose keys may be of any size.
 
-    The table first meets the (key, spread) pairs that occur, so the join with the
-    rows is keyed on both and a hot key is split into as many parts as ``spread``
-    has values.
+    ``spread`` numbers the parts a key's rows are split into and ``parts`` says how
+    many the key has. Its row in the table is repeated for each, so the join is
+    keyed on both and no task gets more of a hot key than one part.
     """
-    rows = df.withColumn("_spread", spread)
-    pairs = rows.select(*keys, "_spread").distinct().join(per_key, list(keys), how)
     added = [c for c in per_key.columns if c not in keys]
-    return rows.join(pairs, [*keys, "_spread"]).select(*df.columns, *added)
+    repeated = per_key.withColumn("_spread", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+    rows = df.withColumn("_spread", spread.cast("bigint"))
+    return rows.join(repeated, [*keys, "_spread"], how).select(*df.columns, *added)
 
 
 def attach_totals(
     df: DataFrame, keys: Sequence[str], spread: Column, totals: Mapping[str, Column]
 ) -> DataFrame:
     """Give every row its key's aggregates; these combine before their shuffle."""
-    per_key = df.groupBy(*keys).agg(*[c.alias(n) for n, c in totals.items()])
-    return attach(df, keys, spread, per_key)
+    per_key = df.groupBy(*keys).agg(
+        *[c.alias(n) for n, c in totals.items()], (F.max(spread) + 1).cast("bigint").alias("_parts")
+    )
+    return attach(df, keys, spread, F.col("_parts"), stage(per_key, "totals")).drop("_parts")
 
 
 def upper_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
@@ -146,14 +159,16 @@ def upper_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> D
     Equal values are counted first. Ranks are running sums over the distinct
     values, so no task holds the values of a key.
     """
-    distinct = (
+    distinct = stage(
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, value)
         .agg(F.count("*").alias("_n"))
-        .withColumn("_key", sort_key(F.col(value)))
+        .withColumn("_key", sort_key(F.col(value))),
+        "distinct",
     )
     ranked = running(distinct, keys, ["_key"], [Running("sum", F.col("_n"), "_before")])
-    sized = attach_totals(ranked, keys, F.pmod("_key", F.lit(64)), {"_all": F.sum("_n")})
+    sizes = distinct.groupBy(*keys).agg(F.sum("_n").alias("_all"))
+    sized = attach(ranked, keys, F.pmod("_key", F.lit(64)), F.lit(64), sizes)
     middle = F.expr("_all div 2")
     return sized.where((F.col("_before") <= middle) & (middle < F.col("_before") + F.col("_n"))).select(
         *keys, F.col(value).alias(name)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palindra.functions import schedule
+from palindra.session import stage
 from palindra.operators.ordered import (
     Running,
     attach,
@@ -24,9 +25,12 @@ from palindra.operators.ordered import (
 
 RUN = ["run_id"]
 
+PARTS = 64
+
+
 def spread() -> Column:
-    """Splits one run's rows into 64 parts where a per-run value joins them."""
-    return F.pmod(F.shiftright("seq", 4), F.lit(64))
+    """Splits one run's rows into parts where a per-run value joins them."""
+    return F.pmod(F.shiftright("seq", 4), F.lit(PARTS))
 
 
 # Smoothing of the loss, seconds until a heartbeat is stale, the
@@ -77,7 +81,7 @@ def restart_verdicts(log: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """
     marked = restarts(log)
     found = marked.where("restart")
-    limited = attach(found, RUN, spread(), noise(marked), "left")
+    limited = attach(found, RUN, spread(), F.lit(PARTS), noise(marked), "left")
     limit = F.greatest(F.lit(tolerance), NOISE_FACTOR * F.coalesce("noise", F.lit(0.0)))
     delta = F.col("loss") - F.col("prev.loss")
     gap = F.col("step") - F.col("prev.step")
@@ -127,10 +131,11 @@ def smoothed_loss(log: DataFrame, keep: float = EMA_KEEP, name: str = "ema") ->
     upto = Window.partitionBy("run_id", "_chunk").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
     scaled = weight * F.col("loss") * F.pow(F.lit(keep), -F.col("_at"))
     local = numbered.withColumn("_local", F.sum(scaled).over(upto) * F.pow(F.lit(keep), F.col("_at")))
-    ends = (
-        local.groupBy("run_id", "_chunk")
-        .agg(F.max_by("_local", "_at").alias("_end"))
-        .withColumn("_chunk", F.col("_chunk") + 1)
+    ends = stage(
+        numbered.groupBy("run_id", "_chunk")
+        .agg((F.sum(scaled) * F.pow(F.lit(keep), F.max("_at"))).alias("_end"))
+        .withColumn("_chunk", F.col("_chunk") + 1),
+        "ends",
     )
     carried = F.coalesce("_end", F.lit(0.0)) * F.pow(F.lit(keep), F.col("_at") + 1)
     smoothed = local.join(ends, ["run_id", "_chunk"], "left").select(

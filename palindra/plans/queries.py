@@ -43,6 +43,12 @@ def big(column: Column | str) -> Column:
     return (F.col(column) if isinstance(column, str) else column).cast("bigint")
 
 
+def single(column: Column | str) -> Column:
+    """Single precision. Averages of short decimals often end in an exact half of
+    the last kept digit; binary midpoints they do not meet."""
+    return (F.col(column) if isinstance(column, str) else column).cast("float").cast("double")
+
+
 def micros(column: str) -> Column:
     """Microseconds since 1970 of a timestamp, by its fields and so without a zone."""
     at = F.col(column)
@@ -619,7 +625,7 @@ fold_ as (
   select run_id, seq, rn, loss as ema from log_ where rn = 1
   union all
   select l.run_id, l.seq, l.rn, 0.9 * f.ema + 0.1 * l.loss from fold_ f join log_ l on l.run_id = f.run_id and l.rn = f.rn + 1)
-select run_id, seq, round(ema, 6) as ema, round(exp(least(20, ema)), 5) as perplexity from fold_
+select run_id, seq, ema::FLOAT::DOUBLE as ema, exp(least(20, ema))::FLOAT::DOUBLE as perplexity from fold_
 """
 )
 def loss_ema(spark, sf_dir):
@@ -627,8 +633,8 @@ def loss_ema(spark, sf_dir):
     return smooth.select(
         "run_id",
         "seq",
-        F.round("ema", 6).alias("ema"),
-        F.round(schedule.perplexity(F.col("ema")), 5).alias("perplexity"),
+        single("ema").alias("ema"),
+        single(schedule.perplexity(F.col("ema"))).alias("perplexity"),
     )
 
 
@@ -683,7 +689,7 @@ def val_asof(spark, sf_dir):
 with {oracle.RUN_LOG},
 batch_ as (select run_id, attempt, avg(loss) as m from log_ group by run_id, attempt),
 best_ as (select run_id, min(val_loss) as best_val from log_ group by run_id having min(val_loss) is not null)
-select run_id, round(any_value(best_val), 6) as best_val, round(avg(m), 6) as mean_loss
+select run_id, any_value(best_val)::FLOAT::DOUBLE as best_val, avg(m)::FLOAT::DOUBLE as mean_loss
 from batch_ join best_ using (run_id) group by run_id
 """
 )
@@ -692,7 +698,7 @@ def mean_losses(spark, sf_dir):
     best = runlog.best_validation(log.where(F.col("val_loss").isNotNull()))
     means = runlog.mean_of_batch_means(log, ["run_id"], ["attempt"], "loss")
     return means.join(best, "run_id").select(
-        "run_id", F.round("best_val", 6).alias("best_val"), F.round("loss", 6).alias("mean_loss")
+        "run_id", single("best_val").alias("best_val"), single("loss").alias("mean_loss")
     )
 
 
@@ -741,7 +747,7 @@ frame_ as (
 bin_ as (
   select run_id, series, least(71, trunc((step - xlo) / greatest(1e-9, xhi - xlo) * 71)::BIGINT) as col, avg(y) as a
   from point_ join frame_ using (run_id) group by all)
-select run_id, series, col, round(a, 6) as avg,
+select run_id, series, col, a::FLOAT::DOUBLE as avg,
   greatest(0, least(15, round_even((yhi - a) / (yhi - ylo) * 15, 0)))::BIGINT as row
 from bin_ join frame_ using (run_id)
 """
@@ -750,7 +756,7 @@ def loss_chart_bins(spark, sf_dir):
     kept = runlog.recent(run_log(spark, sf_dir), 1000)
     bins = runlog.chart_bins(kept, ["loss", "val_loss"])
     return bins.select(
-        "run_id", "series", big("col").alias("col"), F.round("avg", 6).alias("avg"), big("row").alias("row")
+        "run_id", "series", big("col").alias("col"), single("avg").alias("avg"), big("row").alias("row")
     )
 
 
@@ -1025,7 +1031,7 @@ with c as (
     case event_type when 'click' then 'SAVE_NOW' when 'view' then 'STOP_NOW' when 'error' then 'DECAY_NOW' end as flag
   from events)
 select user_id, count(*) filter (ok)::BIGINT as passed, count(*)::BIGINT as total, bit_or(bits)::BIGINT as bits,
-  round(max(value), 6) as max_value, round(avg(value), 6) as mean_value, round(sum(value), 4) as sum_value,
+  round(max(value), 6) as max_value, avg(value)::FLOAT::DOUBLE as mean_value, round(sum(value), 4) as sum_value,
   array_to_string(list_sort(list(distinct flag) filter (flag is not null)), ',') as raised,
   count(*)::BIGINT as replies, round(case when sum(value) > 0 then sum(event_id % 100) / sum(value) else 0 end, 6) as rate
 from c group by user_id
@@ -1056,7 +1062,7 @@ def checks_rollup(spark, sf_dir):
         "total",
         "bits",
         F.round("max_value", 6).alias("max_value"),
-        F.round("mean_value", 6).alias("mean_value"),
+        single("mean_value").alias("mean_value"),
         F.round("sum_value", 4).alias("sum_value"),
         F.array_join("raised", ",").alias("raised"),
         "replies",
@@ -1265,11 +1271,11 @@ fold_ as (
   select run_id, seq, rn, loss as ema from log_ where rn = 1
   union all
   select l.run_id, l.seq, l.rn, 0.9 * f.ema + 0.1 * l.loss from fold_ f join log_ l on l.run_id = f.run_id and l.rn = f.rn + 1)
-select run_id, seq, round(ema, 6) as ema from fold_
+select run_id, seq, ema::FLOAT::DOUBLE as ema from fold_
 """
 )
 def stream_ema(spark, sf_dir):
-    return followed(spark, sf_dir)[0].smoothed(spark).withColumn("ema", F.round("ema", 6))
+    return followed(spark, sf_dir)[0].smoothed(spark).withColumn("ema", single("ema"))
 
 
 @query(
