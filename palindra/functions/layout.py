@@ -58,3 +58,7 @@ def shifted(block: Column) -> tuple[Column, Column]:
     """Inputs and next-token targets of a block."""
     n = F.size(block) - 1
     return F.slice(block, F.lit(1), n), F.slice(block, F.lit(2), n)
+
+
+def starts_with(ids: Column, prefix: Column) -> Column:
+    return F.slice(ids, F.lit(1), F.size(prefix)) == prefix

@@ -238,16 +238,15 @@ from markup_ where ends_conv
 """
 )
 def jeopardy_prefix(spark, sf_dir):
-    pieces = chat.normalise(table(spark, sf_dir, "conversations"))
-    last = chat.laid_out(pieces.where("ends_conv"), "reverse").select(F.col("doc").alias("conv_id"), "tokens")
-    prompt = layout.encode_prompt(
-        txt.tokens(F.col("text")), "reverse", F.lit(txt.EOS), F.lit(txt.IM_END), jeopardy=True
-    )
-    prompts = pieces.where("ends_conv").select("conv_id", prompt.alias("prompt"))
-    return prompts.join(last, "conv_id").select(
+    pieces = chat.markup(chat.normalise(table(spark, sf_dir, "conversations")))
+    end = F.lit(txt.IM_END)
+    prompt = layout.encode_prompt(txt.tokens(F.col("text")), "reverse", F.lit(txt.EOS), end, jeopardy=True)
+    laid = layout.orient(txt.tokens(F.col("markup")), "reverse", F.lit(txt.EOS))
+    both = pieces.where("ends_conv").select("conv_id", prompt.alias("prompt"), laid.alias("document"))
+    return both.select(
         "conv_id",
         big(F.size("prompt")).alias("prompt_tokens"),
-        (F.slice("tokens", F.lit(1), F.size("prompt")) == F.col("prompt")).alias("is_prefix"),
+        layout.starts_with(F.col("document"), F.col("prompt")).alias("is_prefix"),
         digest(F.col("prompt")).alias("prompt"),
     )
 
