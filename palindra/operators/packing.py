@@ -99,7 +99,10 @@ def _interleave_key(frac: Fraction) -> Column:
     if n <= 0:
         return F.when(chat, far + start).otherwise(start)
     if n >= d:
-        return F.when(chat, start).otherwise(far + start)
+        # A share of one is only missed once web has tokens: one web document goes in
+        # behind the first chat document, the others when chat is used up.
+        first = start == 0
+        return F.when(chat, F.when(first, 0).otherwise(start + 1)).otherwise(F.when(first, 1).otherwise(far + start))
     tie = F.when(~chat, 1).when(start == 0, 0).otherwise(2)
     return F.when(chat, start * (d - n)).otherwise(start * n) * 4 + tie
 
