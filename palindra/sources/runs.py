@@ -63,7 +63,7 @@ def read_status(spark: SparkSession, pattern: str) -> DataFrame:
     """Status snapshots; a file that is not JSON counts as absent."""
     if not _matches(spark, pattern):
         return spark.createDataFrame([], f"{STATUS_SCHEMA}, path string")
-    raw = spark.read.option("wholetext", "true").text(pattern)
+    raw = spark.read.text(pattern, wholetext=True)
     folder = F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1)
     parsed = raw.select(
         folder.alias("folder"),

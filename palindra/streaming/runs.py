@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from palindra.functions.text import strip
 from palindra.operators import runlog
 from palindra.session import stage
 from palindra.streaming.state import VersionedTable, each_batch
@@ -102,7 +103,7 @@ def finished(status: DataFrame) -> DataFrame:
     reason = F.col("stop_reason").isNotNull() & (F.col("stop_reason") != "")
     if "exit_code" not in status.columns:
         return status.where(reason).withColumn("clean", F.lit(True))
-    left = F.trim("exit_code")
+    left = strip(F.col("exit_code"))
     return status.where(reason | left.isNotNull()).withColumn(
         "clean", F.when(reason, True).otherwise(left == "0")
     )
