@@ -40,7 +40,8 @@ HEADLINE = [
 def build_corpus(spark) -> tuple[float, int]:
     """Read, tokenise, lay out, mix, pack and write a corpus of everything there is."""
     begun = time.perf_counter()
-    docs, turns = (queries.table(spark, SF_DIR, t) for t in ("documents", "conversations"))
+    docs = queries.documents(spark, SF_DIR)
+    turns = queries.table(spark, SF_DIR, "conversations")
     settings = packing.PackSettings(
         1 << 40, Fraction(1, 5), val_tokens=100_000, shard_tokens=1_000_000, block_size=1024
     )
@@ -52,9 +53,6 @@ def build_corpus(spark) -> tuple[float, int]:
 
 def main() -> None:
     spark = local_session(CPUS, "palindra-bench")
-    # One large file per table: let every core read a part of it.
-    spark.conf.set("spark.sql.files.maxPartitionBytes", str(4 << 20))
-    spark.conf.set("spark.sql.files.openCostInBytes", "65536")
     queries.QUERIES["reverse_layout_counts"](spark, SF_DIR).write.format("noop").mode("overwrite").save()
     timings = {}
     seconds, tokens = build_corpus(spark)

@@ -11,6 +11,9 @@ ids, so a recomputed task gives the same rows. Summaries are written to the shar
 folder. That keeps a chain of such steps linear, where self-joins would double the
 work at each step, and tells how many there are: below ``ONE_WINDOW`` they take a
 plain window, beyond it they are chunked again.
+
+Input that the optimizer sizes below ``ONE_TASK_BYTES`` would fit one task as a
+whole and skips all this for a plain window.
 """
 
 from __future__ import annotations
@@ -21,15 +24,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palindra.session import stage
+from palindra.session import estimated_bytes, stage
 
-# Chunk widths in bits. Any 63-bit id is covered: 1,024 rows per chunk, 262,144
-# summaries per parent twice, and at most 131,072 rows in the last window.
-ID_BITS = (10, 18, 18)
+# Chunk widths in bits. Any 63-bit id is covered: 65,536 rows per chunk, 262,144
+# summaries per parent twice, and at most 2,048 rows in the last window.
+ID_BITS = (16, 18, 18)
 # For a position counter below 2**31: 131,072 rows at most in the last window.
 POSITION_BITS = (14,)
 # Summaries that may share one window.
 ONE_WINDOW = 1 << 20
+# Estimated size up to which a whole table counts as one task's work.
+ONE_TASK_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -122,7 +127,14 @@ def running(
     """
     bits = {c: ID_BITS for c in order} | dict(bits or {})
     base = df.select("*", *[c.value.alias(f"_v{i}") for i, c in enumerate(columns)])
-    out = _scan(base, list(keys), list(order), [c.kind for c in columns], bits, 0)
+    kinds = [c.kind for c in columns]
+    if estimated_bytes(df) <= ONE_TASK_BYTES:
+        plain = _windowed(base, list(keys), list(order), kinds)
+        zeroed = [
+            F.coalesce(f"_r{i}", F.lit(0)) if k == "sum" else F.col(f"_r{i}") for i, k in enumerate(kinds)
+        ]
+        return plain.select(*df.columns, *[r.alias(c.name) for r, c in zip(zeroed, columns)])
+    out = _scan(base, list(keys), list(order), kinds, bits, 0)
     return out.select(
         *df.columns, *[F.col(f"_r{i}").alias(c.name) for i, c in enumerate(columns)]
     )
@@ -147,6 +159,9 @@ def attach_totals(
     df: DataFrame, keys: Sequence[str], spread: Column, totals: Mapping[str, Column]
 ) -> DataFrame:
     """Give every row its key's aggregates; these combine before their shuffle."""
+    if estimated_bytes(df) <= ONE_TASK_BYTES:
+        whole = Window.partitionBy(*keys)
+        return df.select("*", *[c.over(whole).alias(n) for n, c in totals.items()])
     per_key = df.groupBy(*keys).agg(
         *[c.alias(n) for n, c in totals.items()], (F.max(spread) + 1).cast("bigint").alias("_parts")
     )

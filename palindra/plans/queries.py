@@ -15,6 +15,7 @@ from palindra.operators.ordered import ID_BITS, Running, running
 from palindra.operators.packing import PackSettings
 from palindra.operators.sampling import BatchShape
 from palindra.plans import corpus, oracle
+from palindra.session import spread_small
 from palindra.sources import registry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return spread_small(columns, "doc_id")
+
+
 def digest(array: Column) -> Column:
     return F.md5(F.array_join(array.cast("array<string>"), "\x1f"))
 
@@ -68,7 +74,7 @@ from documents where length(text) > 0 group by lang, source
 """
 )
 def reverse_layout_counts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(F.length("text") > 0)
+    docs = documents(spark, sf_dir).where(F.length("text") > 0)
     toks = docs.select("lang", "source", txt.tokens(F.col("text")).alias("tokens"))
     laid = toks.withColumn("laid", layout.orient(F.col("tokens"), "reverse", F.lit(txt.EOS)))
     return laid.groupBy("lang", "source").agg(
@@ -89,7 +95,7 @@ from t
 """
 )
 def layout_both(spark, sf_dir):
-    pieces = packing.web_pieces(table(spark, sf_dir, "documents"), "both")
+    pieces = packing.web_pieces(documents(spark, sf_dir), "both")
     return pieces.select(
         F.col("doc").alias("doc_id"), big(F.size("tokens")).alias("n"), digest(F.col("tokens")).alias("layout")
     )
@@ -103,7 +109,7 @@ from documents where length(text) > 0
 """
 )
 def render_round_trip(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(F.length("text") > 0)
+    docs = documents(spark, sf_dir).where(F.length("text") > 0)
     prompt = layout.encode_prompt(txt.tokens(F.col("text")), "reverse", F.lit(txt.EOS), F.lit(txt.IM_END))
     text = txt.valid_text(txt.detokenize(layout.reading_order(F.col("ids"), "reverse")))
     return (
@@ -120,7 +126,7 @@ def render_round_trip(spark, sf_dir):
 
 
 def corpus_vocabulary(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(txt.tokens(F.col("text")).alias("tokens"))
+    docs = documents(spark, sf_dir).select(txt.tokens(F.col("text")).alias("tokens"))
     return vocabulary.build(vocabulary.count_tokens(docs))
 
 
@@ -151,7 +157,7 @@ from long_ join vocab_ using (token) group by doc_id
 """
 )
 def encode_ids(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(F.length("text") > 0)
+    docs = documents(spark, sf_dir).where(F.length("text") > 0)
     words = corpus_vocabulary(spark, sf_dir)
     ids = vocabulary.encode_texts(docs.select(F.col("doc_id").alias("doc"), "text"), words)
     size = words.count()
@@ -286,7 +292,7 @@ BLOCKS_SQL = SPLIT_SQL + "," + oracle.blocks(SETTINGS.shard_tokens, VAL_SHARD, S
 
 
 def packed(spark, sf_dir) -> corpus.Corpus:
-    return corpus.build(table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations"), SETTINGS)
+    return corpus.build(documents(spark, sf_dir), table(spark, sf_dir, "conversations"), SETTINGS)
 
 
 @query(
@@ -296,7 +302,7 @@ select source, doc::BIGINT as doc, piece::BIGINT as piece, n::BIGINT as n, start
 """
 )
 def pack_offsets(spark, sf_dir):
-    pieces = packing.web_pieces(table(spark, sf_dir, "documents"), "reverse").unionByName(
+    pieces = packing.web_pieces(documents(spark, sf_dir), "reverse").unionByName(
         chat.laid_out(chat.normalise(table(spark, sf_dir, "conversations")), "reverse")
     )
     return packing.offsets(pieces).select("source", "doc", "piece", "n", "start")
@@ -902,7 +908,7 @@ def checkpoint_retention(spark, sf_dir):
 
 def source_manifests(spark, sf_dir) -> DataFrame:
     """A manifest per document source, its base and direction taken from its size."""
-    docs = table(spark, sf_dir, "documents").where(F.length("text") > 0)
+    docs = documents(spark, sf_dir).where(F.length("text") > 0)
     sized = docs.groupBy("source").agg(F.sum(F.size(txt.tokens(F.col("text"))) + 1).alias("total_tokens"))
     keys = F.array(*[F.lit(b[0]) for b in registry.BASES])
     listed = sized.select(

@@ -42,6 +42,28 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+# Input that may be moved once so that every core gets a part of it.
+SMALL_INPUT = 1 << 30
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size of a result: file sizes at the leaves, products for joins."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def spread_small(df: DataFrame, key: str) -> DataFrame:
+    """Place a small table by ``key`` so that its tokenising uses all cores.
+
+    A small file is often a single row group, which one task reads. Beyond
+    ``SMALL_INPUT`` bytes, by the optimizer's estimate, a table has row groups
+    enough and is left where it lies: there the shuffle would cost more than it
+    gives.
+    """
+    if estimated_bytes(df) > SMALL_INPUT:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/palindra/{label}-{uuid.uuid4().hex}"
 

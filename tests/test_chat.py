@@ -86,6 +86,7 @@ def test_known_conversations(spark):
 
 def test_random_conversations_even_when_chunked(spark, monkeypatch):
     monkeypatch.setattr(ordered, "ONE_WINDOW", 0)
+    monkeypatch.setattr(ordered, "ONE_TASK_BYTES", 0)
     monkeypatch.setattr(chat, "POSITION_BITS", (2,))
     rng = random.Random(11)
     roles = ["user", "Human", "assistant", "gpt", "system", "system", "tool", ""]

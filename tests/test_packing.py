@@ -58,6 +58,7 @@ def mixed(streams, frac, target):
 )
 def test_packing_matches_flat_slicing(spark, monkeypatch, frac, val, sizes):
     monkeypatch.setattr(ordered, "ONE_WINDOW", 3)
+    monkeypatch.setattr(ordered, "ONE_TASK_BYTES", 0)
     rng = random.Random(str((frac, val, sizes)))
     streams = random_streams(rng, *sizes, longest=30)
     settings = PackSettings(600, Fraction(frac), val, shard_tokens=70, block_size=8)

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from palindra.operators import inventory, runlog
+from palindra.operators import inventory, ordered, runlog
 from palindra.sources import corpora, manifests, registry, runs, shards
 from palindra.streaming import runs as live
 from palindra.streaming.state import VersionedTable
@@ -28,6 +28,13 @@ def make_log(rng, n_runs=4, longest=3000):
     return rows
 
 
+@pytest.fixture(params=["chunked", "whole"])
+def path(request, monkeypatch):
+    """The way of large tables and that of small ones."""
+    monkeypatch.setattr(ordered, "ONE_TASK_BYTES", 0 if request.param == "chunked" else 1 << 62)
+    monkeypatch.setattr(ordered, "ID_BITS", (6, 5, 18))
+
+
 @pytest.fixture(scope="module")
 def log_rows():
     return make_log(random.Random(9))
@@ -45,7 +52,7 @@ def by_run(rows):
     return out
 
 
-def test_restart_verdicts(log, log_rows):
+def test_restart_verdicts(log, log_rows, path):
     want = {}
     for run, rows in by_run(log_rows).items():
         pairs = list(zip(rows, rows[1:]))
@@ -63,7 +70,7 @@ def test_restart_verdicts(log, log_rows):
     assert sum(r.log_rows for r in summary.values()) == len(log_rows)
 
 
-def test_sessions_count_restarts(log, log_rows):
+def test_sessions_count_restarts(log, log_rows, path):
     got = {(r.run_id, r.seq): r.session for r in runlog.attempts(log).collect()}
     for run, rows in by_run(log_rows).items():
         n = 0
@@ -72,7 +79,7 @@ def test_sessions_count_restarts(log, log_rows):
             assert got[run, r[1]] == n
 
 
-def test_ema_equals_the_fold(log, log_rows):
+def test_ema_equals_the_fold(log, log_rows, path):
     got = {(r.run_id, r.seq): r.ema for r in runlog.smoothed_loss(log).collect()}
     assert len(got) == len(log_rows)
     for run, rows in by_run(log_rows).items():
@@ -85,7 +92,7 @@ def test_ema_equals_the_fold(log, log_rows):
             assert math.isclose(got[run, r[1]], ema, rel_tol=1e-11)
 
 
-def test_throughput_and_evaluations(log, log_rows):
+def test_throughput_and_evaluations(log, log_rows, path):
     speed = {(r.run_id, r.seq): r for r in runlog.throughput(log, 1000).collect()}
     evals = log.where("val_loss is not null").select("run_id", "attempt", "seq", "val_loss")
     seen = {(r.run_id, r.seq): r for r in runlog.with_evaluations(log.drop("val_loss"), evals).collect()}
@@ -107,7 +114,7 @@ def test_throughput_and_evaluations(log, log_rows):
             before = r
 
 
-def test_tail_recent_and_bins(log, log_rows):
+def test_tail_recent_and_bins(log, log_rows, path):
     runs_ = by_run(log_rows)
     tail = runlog.tail(log, 7).collect()
     for run, rows in runs_.items():
