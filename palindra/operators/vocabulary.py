@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,9 +19,10 @@ from palindra.operators.ordered import dense_index
 # The ids of the separator and the two chat markers.
 SPECIAL_IDS = {txt.EOS: 0, txt.IM_START: 1, txt.IM_END: 2}
 
-# Entries of the vocabulary that may be broadcast. The most frequent ids come
-# first, so this head covers nearly all occurrences; the rest is joined by shuffle.
-HEAD = 1 << 18
+# What of a vocabulary may be sent to every worker: this many of the most frequent
+# tokens, none longer than this. Together they bound it to 256 MB.
+HEAD = 1 << 20
+HEAD_TOKEN_BYTES = 256
 
 
 def count_tokens(toks: DataFrame, column: str = "tokens") -> DataFrame:
@@ -49,50 +54,81 @@ def separator_id(vocabulary: DataFrame) -> DataFrame:
     return found.agg(F.max_by("id", F.col("token") == txt.EOS).alias("eos_id"))
 
 
+def _in_head() -> Column:
+    return (F.col("id") < HEAD) & (F.octet_length("token") <= HEAD_TOKEN_BYTES)
+
+
+def fits(vocabulary: DataFrame) -> bool:
+    """Whether the whole vocabulary is head."""
+    return vocabulary.where(~_in_head()).isEmpty()
+
+
 def _looked_up(long: DataFrame, vocabulary: DataFrame, on: str, bring: str) -> DataFrame:
     """Join occurrences to the vocabulary: the head by broadcast, the tail by shuffle.
 
-    Reads the vocabulary's row count first. Only one beyond ``HEAD`` entries pays
-    for the second branch; each of its tokens is rarer than every head token, so
-    that shuffle has no hot key.
+    Only a vocabulary with a tail pays for the second branch. Its tokens are rarer
+    than the head's or very long, so that shuffle has no hot key.
     """
-    head = F.broadcast(vocabulary.where(F.col("id") < HEAD).select(on, F.col(bring).alias("_hit")))
-    if vocabulary.count() <= HEAD:
-        return long.join(head, on).select("doc", "pos", F.col("_hit").alias(bring))
+    head = F.broadcast(vocabulary.where(_in_head()).select(on, F.col(bring).alias("_hit")))
+    rest = [c for c in long.columns if c != on]
+    if fits(vocabulary):
+        return long.join(head, on).select(*rest, F.col("_hit").alias(bring))
     near = long.join(head, on, "left")
-    served = near.where(F.col("_hit").isNotNull()).select("doc", "pos", F.col("_hit").alias(bring))
-    tail = vocabulary.where(F.col("id") >= HEAD).select(on, bring)
-    late = near.where(F.col("_hit").isNull()).select("doc", "pos", on).join(tail, on)
-    return served.unionByName(late.select("doc", "pos", bring))
-
-
-def encode(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(doc, pos, id) of every token in (doc, tokens), with ids from the vocabulary."""
-    long = docs.select("doc", F.posexplode("tokens").alias("pos", "token"))
-    return _looked_up(long, vocabulary, "token", "id")
+    served = near.where(F.col("_hit").isNotNull()).select(*rest, F.col("_hit").alias(bring))
+    tail = vocabulary.where(~_in_head()).select(on, bring)
+    late = near.where(F.col("_hit").isNull()).select(*rest, on).join(tail, on)
+    return served.unionByName(late.select(*rest, bring))
 
 
 def decode(ids: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(doc, pos, token) of every (doc, pos, id)."""
-    return _looked_up(ids.select("doc", "pos", "id"), vocabulary, "id", "token")
+    """Rows with ``token`` in place of ``id``."""
+    return _looked_up(ids, vocabulary, "id", "token")
 
 
-def gather(long: DataFrame, value: str, into: str) -> DataFrame:
-    """(doc, array in position order): one row per document, which is one text."""
+def gather(long: DataFrame, keys: Sequence[str], value: str, into: str) -> DataFrame:
+    """Arrays in position order, one per key; a key is one text."""
     items = F.array_sort(F.collect_list(F.struct("pos", value)))
-    return long.groupBy("doc").agg(F.transform(items, lambda s: s[value]).alias(into))
+    return long.groupBy(*keys).agg(F.transform(items, lambda s: s[value]).alias(into))
 
 
-def encode_texts(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(doc, ids) of (doc, text).
+def _lookup(tokens: Broadcast, ids: Broadcast):
+    @F.arrow_udf("array<bigint>")
+    def ids_of(batch: pa.Array) -> pa.Array:
+        places = pc.index_in(batch.flatten(), value_set=tokens.value)
+        if places.null_count:
+            raise ValueError("a token is not in the vocabulary")
+        lengths = pc.fill_null(pc.list_value_length(batch), 0).to_numpy()
+        offsets = np.concatenate([[0], np.cumsum(lengths)])
+        found = pc.take(ids.value, places)
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), found)
 
-    Text is placed by document before it is cut into tokens: the one shuffle moves
-    the compact form, and lookup and regrouping happen inside that stage as long
-    as the vocabulary fits the broadcast head.
+    return ids_of
+
+
+def encode_arrays(rows: DataFrame, keys: Sequence[str], column: str, vocabulary: DataFrame) -> DataFrame:
+    """Replace an array of tokens by its ids; ``keys`` identify a row.
+
+    A vocabulary that is all head goes to the workers, where batches of arrays are
+    looked up in place: no shuffle and no row per token. Otherwise occurrences
+    are joined to it and gathered again.
     """
-    placed = docs.select("doc", "text").repartition("doc")
-    toks = placed.select("doc", txt.tokens(F.col("text")).alias("tokens"))
-    return gather(encode(toks, vocabulary), "id", "ids")
+    if fits(vocabulary):
+        table = vocabulary.toArrow()
+        context = rows.sparkSession.sparkContext
+        send = [context.broadcast(table[c].combine_chunks()) for c in ("token", "id")]
+        return rows.withColumn(column, _lookup(*send)(F.col(column)))
+    rest = [c for c in rows.columns if c != column and c not in keys]
+    long = rows.select(*keys, F.posexplode(column).alias("pos", "token"))
+    ids = gather(_looked_up(long, vocabulary, "token", "id"), keys, "id", column)
+    empty = F.array().cast("array<bigint>")
+    joined = rows.select(*keys, *rest).join(ids, list(keys), "left")
+    return joined.withColumn(column, F.coalesce(column, empty)).select(*rows.columns)
+
+
+def encode_texts(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(doc, ids) of (doc, text)."""
+    toks = docs.select("doc", txt.tokens(F.col("text")).alias("ids"))
+    return encode_arrays(toks, ["doc"], "ids", vocabulary)
 
 
 def encode_with(text: Column, make_encoder: Callable[[], Callable[[str], list[int]]]) -> Column:

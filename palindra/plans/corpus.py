@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palindra.operators import chat, packing
+from palindra.operators import chat, packing, vocabulary
 from palindra.operators.packing import PackSettings
 from palindra.session import stage
 
@@ -48,14 +48,28 @@ class Corpus:
         )
 
 
-def build(documents: DataFrame, turns: DataFrame, settings: PackSettings) -> Corpus:
-    """Documents and conversation turns to a packed corpus.
+def laid_out(documents: DataFrame, turns: DataFrame, direction: str) -> DataFrame:
+    """Pieces of both sources, tokens as text."""
+    return packing.web_pieces(documents, direction).unionByName(
+        chat.laid_out(chat.normalise(turns), direction)
+    )
+
+
+def words_of(documents: DataFrame, turns: DataFrame) -> DataFrame:
+    """Vocabulary of both sources."""
+    return vocabulary.build(vocabulary.count_tokens(laid_out(documents, turns, "forward")))
+
+
+def build(
+    documents: DataFrame, turns: DataFrame, settings: PackSettings, words: DataFrame | None = None
+) -> Corpus:
+    """Documents and conversation turns to a packed corpus, of ids if ``words`` is given.
 
     Laid-out pieces are written once; planning then reads only their sizes.
     """
-    pieces = packing.web_pieces(documents, settings.direction).unionByName(
-        chat.laid_out(chat.normalise(turns), settings.direction)
-    )
+    pieces = laid_out(documents, turns, settings.direction)
+    if words is not None:
+        pieces = vocabulary.encode_arrays(pieces, ["source", "doc", "piece"], "tokens", words)
     pieces = stage(pieces.withColumn("n", F.size("tokens").cast("bigint")), "pieces")
     spans = stage(packing.offsets(pieces), "spans")
     val, limits = packing.split_plan(spans, settings)

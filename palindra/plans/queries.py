@@ -397,6 +397,27 @@ def blocks(spark, sf_dir):
     )
 
 
+@query(
+    f"""
+with {BLOCKS_SQL},
+count_ as (
+  select token, count(*) as n from (select unnest(tokens) as token from laid_)
+  where token not in ('{txt.EOS}', '{txt.IM_START}', '{txt.IM_END}') group by token),
+vocab_ as (
+  select token, row_number() over (order by n desc, token) + 2 as id from count_
+  union all select unnest(['{txt.EOS}', '{txt.IM_START}', '{txt.IM_END}']), unnest([0, 1, 2])),
+each_ as (
+  select split, block_idx, unnest(tokens) as token, unnest(range(len(tokens))) as pos from indexed_)
+select split, block_idx::BIGINT as block_idx, md5(string_agg(id::VARCHAR, chr(31) order by pos)) as ids
+from each_ join vocab_ using (token) group by split, block_idx
+"""
+)
+def block_ids(spark, sf_dir):
+    docs, turns = documents(spark, sf_dir), table(spark, sf_dir, "conversations")
+    built = corpus.build(docs, turns, SETTINGS, corpus.words_of(docs, turns))
+    return built.blocks().select("split", "block_idx", digest(F.col("tokens")).alias("ids"))
+
+
 @query(
     f"""
 with {SPLIT_SQL}

@@ -120,10 +120,11 @@ def test_vocabulary_and_both_lookups(spark, monkeypatch):
     assert vocabulary.missing_markers(words.where("id <> 2")).first().token == txt.IM_END
     assert vocabulary.separator_id(words).first().eos_id == 0
     assert vocabulary.separator_id(words.where("id <> 0")).first().eos_id == 2
-    for head in (1 << 18, 4):
+    for head, size in ((1 << 18, 256), (4, 256), (1 << 18, 1)):
         monkeypatch.setattr(vocabulary, "HEAD", head)
+        monkeypatch.setattr(vocabulary, "HEAD_TOKEN_BYTES", size)
         ids = vocabulary.encode_texts(docs, words)
-        back = vocabulary.gather(vocabulary.decode(ids.select("doc", F.posexplode("ids").alias("pos", "id")), words), "token", "t")
+        back = vocabulary.gather(vocabulary.decode(ids.select("doc", F.posexplode("ids").alias("pos", "id")), words), ["doc"], "token", "t")
         assert {r.doc: "".join(r.t) for r in back.collect()} == dict(texts)
     assert vocabulary.outside(ids, len(table)).count() == 0
     assert vocabulary.outside(ids, 5).count() == 3
