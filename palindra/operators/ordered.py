@@ -12,8 +12,8 @@ folder. That keeps a chain of such steps linear, where self-joins would double t
 work at each step, and tells how many there are: below ``ONE_WINDOW`` they take a
 plain window, beyond it they are chunked again.
 
-Input that the optimizer sizes below ``ONE_TASK_BYTES`` would fit one task as a
-whole and skips all this for a plain window.
+Input read from fewer than ``ONE_TASK_BYTES`` of files would fit one task as a whole
+and skips all this for a plain window.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ ID_BITS = (16, 18, 18)
 POSITION_BITS = (14,)
 # Summaries that may share one window.
 ONE_WINDOW = 1 << 20
-# Estimated size up to which a whole table counts as one task's work.
+# Size of files up to which a whole table counts as one task's work.
 ONE_TASK_BYTES = 64 << 20
 
 

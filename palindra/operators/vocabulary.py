@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from palindra.functions import text as txt
 from palindra.operators.ordered import dense_index
+from palindra.session import stage
 
 # The ids of the separator and the two chat markers.
 SPECIAL_IDS = {txt.EOS: 0, txt.IM_START: 1, txt.IM_END: 2}
@@ -36,7 +37,8 @@ def build(counts: DataFrame) -> DataFrame:
     special = spark.createDataFrame(list(SPECIAL_IDS.items()), "token string, id bigint")
     words = counts.where(~F.col("token").isin(*SPECIAL_IDS))
     ranked = dense_index(words, [F.desc("n"), F.asc("token")], "id")
-    return ranked.select("token", (F.col("id") + len(SPECIAL_IDS)).alias("id")).unionByName(special)
+    numbered = ranked.select("token", (F.col("id") + len(SPECIAL_IDS)).alias("id"))
+    return stage(numbered.unionByName(special), "vocabulary")
 
 
 def missing_markers(vocabulary: DataFrame) -> DataFrame:

@@ -47,15 +47,21 @@ SMALL_INPUT = 1 << 30
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size of a result: file sizes at the leaves, products for joins."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Size of everything ``df`` reads: file sizes of its tables, whole.
+
+    Estimates further up the plan scale with column counts and would take a table
+    of long texts for a small one. What is not a file or a local table, such as a
+    micro-batch, counts as unbounded.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
 
 
 def spread_small(df: DataFrame, key: str) -> DataFrame:
     """Place a small table by ``key`` so that its tokenising uses all cores.
 
     A small file is often a single row group, which one task reads. Beyond
-    ``SMALL_INPUT`` bytes, by the optimizer's estimate, a table has row groups
+    ``SMALL_INPUT`` bytes of files a table has row groups
     enough and is left where it lies: there the shuffle would cost more than it
     gives.
     """
