@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -61,17 +62,27 @@ def words_of(documents: DataFrame, turns: DataFrame) -> DataFrame:
 
 
 def build(
-    documents: DataFrame, turns: DataFrame, settings: PackSettings, words: DataFrame | None = None
+    documents: DataFrame,
+    turns: DataFrame,
+    settings: PackSettings | Callable[[int], PackSettings],
+    words: DataFrame | None = None,
+    direction: str = "reverse",
 ) -> Corpus:
     """Documents and conversation turns to a packed corpus, of ids if ``words`` is given.
 
-    Laid-out pieces are written once; planning then reads only their sizes.
+    Laid-out pieces are written once; planning then reads only their sizes. Settings
+    that depend on how many tokens there are come as a function of that number, for
+    pieces laid out in ``direction``.
     """
-    pieces = laid_out(documents, turns, settings.direction)
+    if isinstance(settings, PackSettings):
+        direction = settings.direction
+    pieces = laid_out(documents, turns, direction)
     if words is not None:
         pieces = vocabulary.encode_arrays(pieces, ["source", "doc", "piece"], "tokens", words)
     pieces = stage(pieces.withColumn("n", F.size("tokens").cast("bigint")), "pieces")
     spans = stage(packing.offsets(pieces), "spans")
+    if not isinstance(settings, PackSettings):
+        settings = settings(spans.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     val, limits = packing.split_plan(spans, settings)
     return Corpus(
         settings=settings,

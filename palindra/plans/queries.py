@@ -279,20 +279,33 @@ def prompts(spark, sf_dir):
 # --------------------------------------------------------------------------- packing
 
 
-SETTINGS = PackSettings(
-    max_tokens=400_000,
-    chat_frac=Fraction(1, 4),
-    val_tokens=20_000,
-    shard_tokens=60_000,
-    block_size=256,
-)
-VAL_SHARD = SETTINGS.val_tokens + 1_000_000
-SPLIT_SQL = oracle.split(1, 4, SETTINGS.val_tokens, SETTINGS.web_target, SETTINGS.chat_target)
-BLOCKS_SQL = SPLIT_SQL + "," + oracle.blocks(SETTINGS.shard_tokens, VAL_SHARD, SETTINGS.block_size)
+SHARD_TOKENS = 60_000
+BLOCK_SIZE = 256
+
+
+def settings_for(total: int) -> PackSettings:
+    """A corpus of nine tenths of all tokens, a tenth of it conversations, with a
+    twentieth of all tokens held out."""
+    return PackSettings(
+        max_tokens=total * 9 // 10,
+        chat_frac=Fraction(1, 10),
+        val_tokens=total // 20,
+        shard_tokens=SHARD_TOKENS,
+        block_size=BLOCK_SIZE,
+    )
+
+
+MAX_SQL = "(select sum(n) * 9 // 10 from span_)"
+VAL_SQL = "(select sum(n) // 20 from span_)"
+CHAT_SQL = f"({MAX_SQL} // 10)"
+WEB_SQL = f"({MAX_SQL} - {CHAT_SQL})"
+VAL_SHARD = f"({VAL_SQL} + 1000000)"
+SPLIT_SQL = oracle.split(1, 10, VAL_SQL, WEB_SQL, CHAT_SQL)
+BLOCKS_SQL = SPLIT_SQL + "," + oracle.blocks(SHARD_TOKENS, VAL_SHARD, BLOCK_SIZE)
 
 
 def packed(spark, sf_dir) -> corpus.Corpus:
-    return corpus.build(documents(spark, sf_dir), table(spark, sf_dir, "conversations"), SETTINGS)
+    return corpus.build(documents(spark, sf_dir), table(spark, sf_dir, "conversations"), settings_for)
 
 
 @query(
@@ -360,13 +373,13 @@ def source_counts(spark, sf_dir):
     f"""
 with {SPLIT_SQL},
 len_ as (
-  select 'train' as split, source as stream, {SETTINGS.shard_tokens} as cap, sum(n) as length from train_ group by source
+  select 'train' as split, source as stream, {SHARD_TOKENS} as cap, sum(n) as length from train_ group by source
   union all select 'val', 'val', {VAL_SHARD}, sum(n) from held_),
 shard_ as (
   select split, stream, unnest(range(((length - 1) // cap + 1)::BIGINT)) as shard, cap, length from len_),
 sized_ as (
   select split, stream, shard, least(cap, length - shard * cap) as tokens,
-    greatest(0, (least(cap, length - shard * cap) - 1) // {SETTINGS.block_size}) as blocks
+    greatest(0, (least(cap, length - shard * cap) - 1) // {BLOCK_SIZE}) as blocks
   from shard_)
 select split, stream, shard::BIGINT as shard, tokens::BIGINT as tokens, blocks::BIGINT as blocks,
   (sum(blocks) over (partition by split order by stream = 'chat', shard) - blocks)::BIGINT as first_block,
@@ -386,7 +399,7 @@ def shard_summary(spark, sf_dir):
     f"""
 with {BLOCKS_SQL}
 select split, stream, shard::BIGINT as shard, block::BIGINT as block, block_idx::BIGINT as block_idx,
-  {oracle.joined(f'tokens[1:{SETTINGS.block_size}]')} as x, {oracle.joined('tokens[2:]')} as y
+  {oracle.joined(f'tokens[1:{BLOCK_SIZE}]')} as x, {oracle.joined('tokens[2:]')} as y
 from indexed_
 """
 )
@@ -414,7 +427,7 @@ from each_ join vocab_ using (token) group by split, block_idx
 )
 def block_ids(spark, sf_dir):
     docs, turns = documents(spark, sf_dir), table(spark, sf_dir, "conversations")
-    built = corpus.build(docs, turns, SETTINGS, corpus.words_of(docs, turns))
+    built = corpus.build(docs, turns, settings_for, corpus.words_of(docs, turns))
     return built.blocks().select("split", "block_idx", digest(F.col("tokens")).alias("ids"))
 
 
@@ -429,7 +442,7 @@ from train_ group by source, doc
 def split_documents(spark, sf_dir):
     built = packed(spark, sf_dir)
     parts = built.parts().where(F.col("split") == "train").drop("doc")
-    return packing.split_stream(parts, SETTINGS.shard_tokens)
+    return packing.split_stream(parts, SHARD_TOKENS)
 
 
 @query(
@@ -440,8 +453,8 @@ select 'small' as base_key, 'uint16' as dtype, 'reverse' as direction,
   (select sum(n) from held_)::BIGINT as val_tokens, (select sum(n) from train_)::BIGINT as total_tokens,
   (select count(distinct doc) from train_ where source = 'web')::BIGINT as web_docs,
   (select count(distinct doc) from train_ where source = 'chat')::BIGINT as chat_docs,
-  ((select sum(n) from train_ where source = 'web') >= {SETTINGS.web_target}
-    and (select sum(n) from train_ where source = 'chat') >= {SETTINGS.chat_target}) as complete
+  ((select sum(n) from train_ where source = 'web') >= {WEB_SQL}
+    and (select sum(n) from train_ where source = 'chat') >= {CHAT_SQL}) as complete
 """
 )
 def manifest(spark, sf_dir):
@@ -450,8 +463,8 @@ def manifest(spark, sf_dir):
     built = packed(spark, sf_dir)
     written = manifests.manifest(built, "small", F.lit("2024-01-01 00:00:00"))
     read = manifests.parse(written.select(F.to_json(F.struct("*")).alias("json")), "json")
-    done = (F.col("sources")["web"]["tokens"] >= SETTINGS.web_target) & (
-        F.col("sources")["chat"]["tokens"] >= SETTINGS.chat_target
+    done = (F.col("sources")["web"]["tokens"] >= built.settings.web_target) & (
+        F.col("sources")["chat"]["tokens"] >= built.settings.chat_target
     )
     return read.select(
         "base_key",
@@ -510,7 +523,7 @@ plan_ as (
 {oracle.permutation(f"select id % n as i, n, 1337 + {oracle.EPOCH} * (id // n) as seed from plan_")}
 select (id // {SHAPE.per_step})::BIGINT as step, (id // 8 % 2)::BIGINT as micro, (id // 4 % 2)::BIGINT as rank,
   (id % 4)::BIGINT as j, (id // p.n)::BIGINT as epoch, image::BIGINT as block_idx, b.stream, b.shard::BIGINT as shard,
-  {oracle.joined(f'b.tokens[1:{SETTINGS.block_size}]')} as x
+  {oracle.joined(f'b.tokens[1:{BLOCK_SIZE}]')} as x
 from plan_ p join image_ m on m.i = p.id % p.n and m.seed = 1337 + {oracle.EPOCH} * (p.id // p.n)
 join indexed_ b on b.split = 'train' and b.block_idx = image
 """
@@ -530,8 +543,8 @@ def batch_plan(spark, sf_dir):
 with recursive {SPLIT_SQL},
 len_ as (select source, sum(n) as length from train_ group by source),
 sum_ as (
-  select sum((length // {SETTINGS.shard_tokens}) * (({SETTINGS.shard_tokens} - 1) // {SETTINGS.block_size})
-    + greatest(0, (length % {SETTINGS.shard_tokens} - 1) // {SETTINGS.block_size}))::BIGINT as n from len_),
+  select sum((length // {SHARD_TOKENS}) * (({SHARD_TOKENS} - 1) // {BLOCK_SIZE})
+    + greatest(0, (length % {SHARD_TOKENS} - 1) // {BLOCK_SIZE}))::BIGINT as n from len_),
 plan_ as (
   select unnest(range(((n + n // 2) // {SHAPE.per_step} + 1) * {SHAPE.per_step})) as id, n from sum_),
 {oracle.permutation(f"select id % n as i, n, 1337 + {oracle.EPOCH} * (id // n) as seed from plan_")}
@@ -1238,17 +1251,18 @@ with t as (
     sum(len({oracle.toks('text')}) + 1) over (order by doc_id) as upto
   from documents where length(text) > 0)
 select doc_id as doc, n::BIGINT as n, (upto - n)::BIGINT as start, ((upto - 1) // 50000 - (upto - n) // 50000 + 1)::BIGINT as parts, tokens from t
-where upto - n < 1000000
+where upto - n < (select sum(length(text)) // 8 from documents)
 """
 )
 def stream_pack(spark, sf_dir):
-    """Documents arrive in three slices and are packed up to a million tokens."""
+    """Documents arrive in three slices; the budget is a token per eight characters."""
     from palindra.session import fresh_path
     from palindra.streaming.pack import PackStream
 
     folder = fresh_path(spark, "pack-stream")
-    job = PackStream(folder, max_tokens=1_000_000, shard_tokens=50_000)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    budget = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] // 8
+    job = PackStream(folder, max_tokens=budget, shard_tokens=50_000)
     for stream in arrive_in_slices(docs, "doc_id", 3, f"{folder}/in"):
         job.start(stream).awaitTermination()
     parts = job.parts(spark)

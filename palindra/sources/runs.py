@@ -82,27 +82,36 @@ def stamped(status: DataFrame) -> DataFrame:
     return status.withColumn("heartbeat", F.unix_micros(F.current_timestamp()) / 1e6)
 
 
-def list_checkpoints(spark: SparkSession, root: str) -> DataFrame:
-    """(path, length, mtime) of checkpoint files at most three folders below ``root``.
+def write_status(status: DataFrame, path: str) -> None:
+    """Replace the status table at ``path``, a JSON object per run, stamped with this moment."""
+    stamped(status).write.mode("overwrite").json(path)
 
-    Only the listing is read: file contents are pruned. Folders are no files.
+
+def read_status_table(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_status`` left; lines that are not JSON drop out."""
+    return spark.read.schema(STATUS_SCHEMA).option("mode", "DROPMALFORMED").json(path)
+
+
+def list_checkpoints(spark: SparkSession, *roots: str) -> DataFrame:
+    """(path, length, mtime) of checkpoint files at most three folders below a root.
+
+    Only the listing is read: file contents are pruned. Folders are no files, and
+    a file below two of the roots is listed once.
     """
-    base = root.rstrip("/")
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.pt")
-        .option("recursiveFileLookup", "true")
-        .load(base)
-        .select(
-            "path",
-            "length",
-            F.unix_micros("modificationTime").alias("mtime"),
+    listed = None
+    for root in roots:
+        base = root.rstrip("/")
+        files = (
+            spark.read.format("binaryFile")
+            .option("pathGlobFilter", "*.pt")
+            .option("recursiveFileLookup", "true")
+            .load(base)
+            .select("path", "length", F.unix_micros("modificationTime").alias("mtime"))
         )
-    )
-    # Slashes after the root: one for a file in it, three more for the folders.
-    beyond = F.substring_index(F.col("path"), base + "/", -1)
-    depth = F.length(beyond) - F.length(F.replace(beyond, F.lit("/"), F.lit("")))
-    return files.where(depth <= 3)
+        beyond = F.substring_index(F.col("path"), base + "/", -1)
+        near = files.where(F.size(F.split(beyond, "/")) <= 4)
+        listed = near if listed is None else listed.unionByName(near)
+    return listed.dropDuplicates(["path"])
 
 
 def read_samples(spark: SparkSession, pattern: str) -> DataFrame:

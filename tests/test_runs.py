@@ -188,6 +188,10 @@ def test_status_samples_and_listing(spark, tmp_path):
     got = runs.read_status(spark, f"{tmp_path}/*/status.json").collect()
     assert [(r.run_id, r.step, r.alive, r.heartbeat) for r in got] == [("r1", 5, True, 1.5)]
     assert runs.stamped(spark.createDataFrame([(1,)], "step bigint")).first().heartbeat > 1.7e9
+    for step in (1, 2):
+        runs.write_status(spark.createDataFrame([("r1", step)], "run_id string, step bigint"), f"{tmp_path}/table")
+    kept = runs.read_status_table(spark, f"{tmp_path}/table").collect()
+    assert [(r.run_id, r.step, r.loss) for r in kept] == [("r1", 2, None)] and kept[0].heartbeat > 1.7e9
     (tmp_path / "r1" / "samples.txt").write_text("step 20\tloss 3.5000\ta\tb c\nbroken line\nstep 40\tloss nan\t\n")
     samples = runs.read_samples(spark, f"{tmp_path}/r1/samples.txt").orderBy("step").collect()
     assert [(r.step, r.text) for r in samples] == [(20, "a\tb c"), (40, "")] and samples[0].loss == 3.5
@@ -196,10 +200,11 @@ def test_status_samples_and_listing(spark, tmp_path):
     for name, size in files.items():
         (tmp_path / name).write_bytes(b"x" * size)
     (tmp_path / "r2" / "ckpt_step99.pt").mkdir()
-    listing = runs.list_checkpoints(spark, str(tmp_path))
+    listing = runs.list_checkpoints(spark, str(tmp_path), str(tmp_path / "r1"))
     assert "content" not in listing.columns
     found = inventory.newest_first(inventory.parse_checkpoints(listing)).collect()
-    assert [(r.step, r.kind) for r in found] == [(20, "weights"), (10, "full"), (5, "milestone")]
+    # The second root brings the deepest file within reach; shared files count once.
+    assert [(r.step, r.kind) for r in found] == [(20, "weights"), (10, "full"), (6, "sft"), (5, "milestone")]
 
 
 def test_checkpoint_choices(spark):
@@ -293,3 +298,16 @@ def test_a_repeated_batch_changes_nothing(spark, tmp_path):
     assert live.stalled(follower.status(spark, 1), F.lit(183.5)).select("run_id").collect()[0].run_id == 1
     empty = VersionedTable(str(tmp_path / "none"), "a bigint").before(spark, 0)
     assert empty.count() == 0
+
+
+def test_newest_line_of_a_running_log(spark, tmp_path):
+    schema = "run_id bigint, seq bigint, loss double"
+    for rows in ([(1, 0, 3.0), (2, 1, 5.0)], [(1, 2, 2.0), (1, 3, 1.5)]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    query = (
+        live.newest_rows(stream).writeStream.outputMode("complete").format("memory").queryName("newest_lines")
+        .option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    assert {r.run_id: (r.seq, r.loss) for r in spark.table("newest_lines").collect()} == {1: (3, 1.5), 2: (1, 5.0)}
