@@ -60,10 +60,16 @@ def web_pieces(docs: DataFrame, direction: str, doc_id: str = "doc_id", text: st
 
 
 def offsets(pieces: DataFrame) -> DataFrame:
-    """Sizes with their start in the source's token stream; tokens are not read
-    where ``pieces`` is a table with an ``n`` column."""
-    sized = pieces if "n" in pieces.columns else pieces.withColumn("n", F.size("tokens").cast("bigint"))
-    sized = sized.select("source", "doc", "piece", "n", "starts_doc", "ends_doc")
+    """Sizes with their start in the source's token stream.
+
+    Where ``pieces`` is a table with an ``n`` column tokens are not read at all;
+    otherwise the sizes are written down first, so that text is cut into tokens once.
+    """
+    columns = ("source", "doc", "piece", "n", "starts_doc", "ends_doc")
+    if "n" in pieces.columns:
+        sized = pieces.select(*columns)
+    else:
+        sized = stage(pieces.withColumn("n", F.size("tokens").cast("bigint")).select(*columns), "sizes")
     return running(sized, ["source"], ["doc", "piece"], [Running("sum", F.col("n"), "start")], BITS)
 
 
