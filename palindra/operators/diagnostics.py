@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from palindra.functions import vectors
 
+# The control flags a run knows.
 FLAGS = ("SAVE_NOW", "DECAY_NOW", "STOP_NOW")
 
 

@@ -129,15 +129,11 @@ def running(
     base = df.select("*", *[c.value.alias(f"_v{i}") for i, c in enumerate(columns)])
     kinds = [c.kind for c in columns]
     if estimated_bytes(df) <= ONE_TASK_BYTES:
-        plain = _windowed(base, list(keys), list(order), kinds)
-        zeroed = [
-            F.coalesce(f"_r{i}", F.lit(0)) if k == "sum" else F.col(f"_r{i}") for i, k in enumerate(kinds)
-        ]
-        return plain.select(*df.columns, *[r.alias(c.name) for r, c in zip(zeroed, columns)])
-    out = _scan(base, list(keys), list(order), kinds, bits, 0)
-    return out.select(
-        *df.columns, *[F.col(f"_r{i}").alias(c.name) for i, c in enumerate(columns)]
-    )
+        out = _windowed(base, list(keys), list(order), kinds)
+    else:
+        out = _scan(base, list(keys), list(order), kinds, bits, 0)
+    found = [F.coalesce(f"_r{i}", F.lit(0)) if k == "sum" else F.col(f"_r{i}") for i, k in enumerate(kinds)]
+    return out.select(*df.columns, *[r.alias(c.name) for r, c in zip(found, columns)])
 
 
 def attach(

@@ -61,6 +61,12 @@ def test_running_over_two_order_columns(spark, monkeypatch):
     assert {(r.d, r.p): r.start for r in got.collect()} == want
 
 
+def test_one_window_per_key_starts_at_zero(spark):
+    df = spark.createDataFrame([(k, i, 2) for k in range(3) for i in range(4)], "k bigint, i bigint, n bigint")
+    got = ordered.running(df, ["k"], ["i"], [Running("sum", F.col("n"), "s")], {"i": ()}).collect()
+    assert all(r.s == 2 * r.i for r in got) and len(got) == 12
+
+
 def test_last_can_carry_a_struct(spark):
     df = spark.createDataFrame([(1, 1, "a"), (1, 2, None), (1, 5000, "c")], "k bigint, at bigint, s string")
     prev = ordered.running(df, ["k"], ["at"], [Running("last", F.struct("at", "s"), "p")]).orderBy("at").collect()
