@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from palindra.llm import token_counts, token_files
+from palindra.llm import decontamination, language_id, lm_scoring, mixing, quality_rules, shingle_join, token_counts, token_files
 from palindra.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +47,71 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query()
+def op4_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mixed(docs.select("doc_id", "source", mixing.token_count(F.col("text")).alias("n_tokens")), n=F.col("n_tokens"))
+
+
+@query()
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs.where(~language_id.is_held_out(F.col("doc_id"))))
+    return language_id.predict(docs, model)
+
+
+@query(
+    r"""
+with split as (
+  select doc_id, coalesce(text, '') t,
+         [x for x in string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] w,
+         [x for x in string_split(coalesce(text, ''), chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] l
+  from documents),
+windows as (
+  select doc_id, i, count(*) over (partition by doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) c
+  from (select doc_id, w, unnest(range(1, len(w) - 1)) i from split where len(w) > 2)),
+repeats as (
+  select doc_id, count(distinct p) n from (select doc_id, unnest([i, i + 1, i + 2]) p from windows where c > 1) group by doc_id),
+measured as (
+  select doc_id, len(w) n_words, length(array_to_string(w, '')) word_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]')) n_symbols, len(l) - len(list_distinct(l)) n_dup_lines,
+         coalesce(n, 0) n_repeat_words, length(t) - length(replace(t, '!', '')) bangs, len(l) n_lines
+  from split left join repeats using (doc_id)),
+judged as (
+  select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed from measured)
+select doc_id, n_words::bigint n_words, word_chars::bigint word_chars, n_symbols::bigint n_symbols,
+       n_dup_lines::bigint n_dup_lines, n_repeat_words::bigint n_repeat_words, base_failed,
+       not (base_failed or 100 * n_symbols > 20 * n_words or 100 * bangs > 50 * n_words
+            or 100 * n_dup_lines > 50 * n_lines) kept
+from judged"""
+)
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality_rules.in_order(quality_rules.estimates(docs))
+    return quality_rules.measured(docs, rules).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        F.col("failed_rule").isNull().alias("kept"),
+    )
+
+
+@query()
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op10_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.linked(table(spark, sf_dir, "documents"))

@@ -37,6 +37,7 @@ _lowered[65:91] = _values[97:123]
 _space = np.zeros(256, bool)
 _space[[9, 10, 11, 12, 13, 32]] = True
 _byte = np.arange(256)
+_sign = ~np.isin(_byte, [*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)])
 _ASCII, _LEAD, _TRAIL, _SPACE, _NEWLINE, _LETTER, _PUNCT, _LATIN, _NO_LATIN = (np.uint16(1 << i) for i in range(9))
 _letter = np.isin(_byte, [*range(65, 91), *range(97, 123)])
 _ascii = (_byte > 32) & (_byte < 127)
@@ -162,19 +163,21 @@ def _hashed(seg: np.ndarray, s: np.ndarray, e: np.ndarray, values: np.ndarray) -
         return mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64) * BASE)
 
 
-def words(texts: Texts, lo: int, hi: int, lower: bool = True) -> Spans:
-    """Words of the texts ``lo`` to ``hi``; with ``lower``, A-Z count as a-z."""
+def words(texts: Texts, lo: int, hi: int, lower: bool = True, alnum: bool = False) -> Spans:
+    """Words of the texts ``lo`` to ``hi``; with ``lower``, A-Z count as a-z. With
+    ``alnum``, words are runs of ASCII letters, digits and bytes beyond ASCII instead."""
     if lo >= hi:
         return _joined([])
     data, first = texts.data, texts.starts[lo:hi]
+    between = _sign if alnum else _space
 
     def after_space(begin: int, to: int, end: int) -> int:
-        back = np.flatnonzero(_space[data[max(begin, to - 4096) : to]])
+        back = np.flatnonzero(between[data[max(begin, to - 4096) : to]])
         if len(back):
             return max(begin, to - 4096) + int(back[-1]) + 1
         step = 1 << 16
         while to < end:
-            ahead = np.flatnonzero(_space[data[to : min(to + step, end)]])
+            ahead = np.flatnonzero(between[data[to : min(to + step, end)]])
             if len(ahead):
                 return to + int(ahead[0]) + 1
             to += step
@@ -183,7 +186,7 @@ def words(texts: Texts, lo: int, hi: int, lower: bool = True) -> Spans:
     parts = []
     for p, q in _cuts(int(first[0]), int(texts.ends[hi - 1]), after_space):
         seg = data[p:q]
-        inside = ~_space[seg]
+        inside = ~between[seg]
         fresh = np.zeros(len(seg) + 1, bool)
         a, b = np.searchsorted(first, [p, q])
         fresh[first[a:b] - p] = True
