@@ -213,7 +213,8 @@ class Searcher:
             passage, item, score = self.retrieve(self.term_of(found.hash), begin, end)
             best: dict[tuple[int, int], tuple[float, float, float]] = {}
             for p, i, s in zip(passage.tolist(), item.tolist(), score.tolist()):
-                seen = triples(found.hash[begin[p] : end[p]])
+                here = found.hash[begin[p] : end[p]]
+                seen = np.concatenate([triples(here), here])
                 q, a = (float(np.isin(part, seen).mean()) for part in self.index.parts[i])
                 if q >= self.overlap and a >= self.overlap:
                     key = (int(doc[p]) + lo, i)

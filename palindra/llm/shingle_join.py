@@ -413,7 +413,8 @@ def confirmed(docs: DataFrame, pairs: DataFrame, key: str = "doc_id", text: str
     """``pairs`` with whether their whole sets link."""
     spark = docs.sparkSession
     ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    marks = ids.select(_bit_of(F.col("rep")).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("k"))
+    # positions in Spark's bitmaps count from 1
+    marks = ids.select((_bit_of(F.col("rep")) + 1).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("k"))
     seen = np.zeros((1 << ID_BITS) // 8, np.uint8)
     for row in marks.agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).collect():
         seen[(row.k - 1) * 4096 : row.k * 4096] |= np.frombuffer(row.bits, np.uint8)
