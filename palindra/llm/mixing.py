@@ -137,7 +137,7 @@ def plan(docs: DataFrame, target: Target) -> tuple[DataFrame, DataFrame]:
             "block",
             "epochs",
             "turn",
-            (F.col("upto") <= F.col("rest")).alias("more"),
+            ((F.col("upto") <= F.col("rest")) & (F.col("rest") > 0)).alias("more"),
             (F.col("rest") - F.col("upto") + F.col("block_tokens")).alias("room"),
             "block_tokens",
         ),

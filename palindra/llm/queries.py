@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palindra.llm import decontamination, language_id, lm_scoring, mixing, quality_rules, shingle_join, token_counts, token_files
+from palindra.llm import (
+    decontamination,
+    language_id,
+    license_scan,
+    lm_scoring,
+    mixing,
+    quality_classifier,
+    quality_rules,
+    shingle_join,
+    token_counts,
+    token_files,
+)
 from palindra.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +48,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query()
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # which takes its settings from here
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+@query()
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.scores(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
+
+
 @query()
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_path(spark, "token-files")
@@ -49,6 +73,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query()
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "line", "license", "reduction", "missing", "extra")
+
+
 @query()
 def op4_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
