@@ -24,6 +24,7 @@ rows. All columns stay; only the names the operator adds replace columns so name
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -74,8 +75,6 @@ def exponent(sources: DataFrame, target: Target) -> tuple[float, int]:
         for i, a in enumerate(powers):
             z, s, steep = row[3 * i], row[3 * i + 1], row[3 * i + 2]
             if target.entropy is not None:
-                import math
-
                 out.append(math.log(z) - a * s / z <= target.entropy)
             else:
                 budget = target.budget if target.budget is not None else total * z * top ** (1 - a)
@@ -104,6 +103,7 @@ def order_hash(key: Column, seed: int) -> Column:
 def plan(docs: DataFrame, target: Target) -> tuple[DataFrame, DataFrame]:
     """Source quotas, and what every block gives: whole epochs, one more or not, and in the
     block that is cut the last hash taken. ``docs`` has ``source_key, doc_key, n``."""
+    docs = stage(docs, "mix-docs")
     sources = stage(totals(docs), "mix-sources")
     power, budget = exponent(sources, target)
     total = sources.agg(F.sum("tokens")).first()[0] or 0
