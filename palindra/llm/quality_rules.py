@@ -26,8 +26,8 @@ from palindra.session import stage
 
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
-#: Rows on which costs and selectivities are estimated, of texts of at most so many bytes.
-SAMPLE_ROWS, SAMPLE_BYTES = 400, 1 << 16
+#: Rows, about, on which costs and selectivities are estimated.
+SAMPLE_ROWS = 400
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -131,11 +131,9 @@ class Estimate:
 
 
 def estimates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", rows: int = SAMPLE_ROWS) -> list[Estimate]:
-    """Cost and selectivity of every rule on ``rows`` rows, alone."""
-    # Collected, since a limit stops after the first partitions only then; at most 26 MB.
-    some = docs.select(F.col(text).cast("string").alias("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
-    found = some.limit(rows).collect()
-    sample = stage(docs.sparkSession.createDataFrame(found, "text string"), "rule-sample")
+    """Cost and selectivity of every rule on about ``rows`` rows, alone."""
+    share = min(1.0, rows / max(docs.count(), 1))
+    sample = stage(docs.select(F.col(text).cast("string").alias("text")).sample(share, seed=1), "rule-sample")
     split = sample.select("text", words(F.col("text")).alias("words"))
     known = measures(F.col("text"), F.col("words"))
 
