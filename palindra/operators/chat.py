@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palindra.functions import layout, text as txt
 from palindra.operators.ordered import POSITION_BITS, Running, attach_totals, running
@@ -57,9 +58,28 @@ def unify_fields(turns: DataFrame) -> DataFrame:
 def explode_messages(rows: DataFrame, conv_id: str, columns: Sequence[str]) -> DataFrame:
     """Nested conversations to long form; the first non-empty list column wins.
 
-    A null element marks the conversation as malformed.
+    The lists may be of different structs. A null element, or one that is no struct, marks
+    the conversation as malformed.
     """
-    lists = [F.when(F.size(c) > 0, F.col(c)) for c in columns if c in rows.columns]
+    present = [c for c in columns if c in rows.columns]
+    kinds = {c: rows.schema[c].dataType.elementType for c in present}
+    plain = [c for c in present if not isinstance(kinds[c], T.StructType)]
+    fields = list(dict.fromkeys(f for c in present if c not in plain for f in kinds[c].fieldNames()))
+
+    def widened(column: str) -> Column:
+        """The list with all fields that any of the lists has; what is no struct becomes null."""
+        if column in plain:
+            return F.transform(column, lambda m: F.lit(None).cast(T.StructType([T.StructField(f, T.StringType()) for f in fields or ["role"]])))
+        have = kinds[column].fieldNames()
+        return F.transform(
+            column,
+            lambda m: F.when(
+                m.isNotNull(),
+                F.struct(*[(m[f].cast("string") if f in have else F.lit(None).cast("string")).alias(f) for f in fields]),
+            ),
+        )
+
+    lists = [F.when(F.size(c) > 0, widened(c)) for c in present]
     exploded = rows.select(
         F.col(conv_id).alias("conv_id"), F.posexplode(F.coalesce(*lists)).alias("turn", "message")
     )

@@ -37,23 +37,41 @@ def parse_checkpoints(listing: DataFrame) -> DataFrame:
     )
 
 
-def newest_first(checkpoints: DataFrame) -> DataFrame:
+def newest_order() -> list[Column]:
     """By falling step, resumable ones before others of the same step."""
-    return checkpoints.orderBy(F.desc("step"), F.desc(F.col("kind") == "full"), "path")
+    return [F.desc("step"), F.desc(F.col("kind") == "full"), F.asc("path")]
 
 
-def resume_pick(checkpoints: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per run, the newest resumable checkpoint, else the newest of any kind."""
-    rank = F.struct(F.col("kind") == "full", F.col("step"), F.col("path"))
-    return checkpoints.groupBy(*keys).agg(F.max_by(F.struct("path", "step", "kind"), rank).alias("p")).select(
-        *keys, "p.*"
+def newest_first(checkpoints: DataFrame) -> DataFrame:
+    return checkpoints.orderBy(*newest_order())
+
+
+def _resume() -> Column:
+    """What a run goes on from: the newest resumable checkpoint, else the newest of any kind."""
+    return F.struct(F.col("kind") == "full", F.col("step"), F.col("path"))
+
+
+def _export() -> Column:
+    """What is exported: the file written last of those that can be."""
+    return F.when(F.col("kind").isin("weights", "milestone", "full"), F.struct("mtime", "path"))
+
+
+def picks(checkpoints: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per run, the paths to resume from and to export; one grouping gives both."""
+    return checkpoints.groupBy(*keys).agg(
+        F.max_by("path", _resume()).alias("resume_path"), F.max_by("path", _export()).alias("export_path")
     )
 
 
+def resume_pick(checkpoints: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per run, the checkpoint to resume from."""
+    return checkpoints.groupBy(*keys).agg(F.max_by(F.struct("path", "step", "kind"), _resume()).alias("p")).select(*keys, "p.*")
+
+
 def export_pick(checkpoints: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per run, the most recently written file that can be exported."""
-    fit = checkpoints.where(F.col("kind").isin("weights", "milestone", "full"))
-    return fit.groupBy(*keys).agg(F.max_by("path", F.struct("mtime", "path")).alias("path"))
+    """Per run, the file to export; runs without one are left out."""
+    found = checkpoints.groupBy(*keys).agg(F.max_by("path", _export()).alias("path"))
+    return found.where(F.col("path").isNotNull())
 
 
 def expired(checkpoints: DataFrame, keys: Sequence[str], keep: Mapping[str, int] | None = None) -> DataFrame:

@@ -27,6 +27,9 @@ RUN = ["run_id"]
 
 PARTS = 64
 
+# Rows of a chunk of the moving average, at most.
+MOST_CHUNK = 4096
+
 
 def spread() -> Column:
     """Splits one run's rows into parts where a per-run value joins them."""
@@ -67,17 +70,22 @@ def attempts(log: DataFrame) -> DataFrame:
 
 
 def noise(marked: DataFrame) -> DataFrame:
-    """(run_id, noise): upper median of absolute loss steps away from restarts."""
+    """(run_id, noise): upper median of absolute finite loss steps away from restarts."""
     steps = marked.where(F.col("prev").isNotNull() & ~F.col("restart")).select(
         "run_id", F.abs(F.col("loss") - F.col("prev.loss")).alias("step_size")
     )
-    return upper_median(steps, RUN, "step_size", "noise")
+    return upper_median(steps.where(finite(F.col("step_size"))), RUN, "step_size", "noise")
+
+
+def finite(value: Column) -> Column:
+    return ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
 
 
 def restart_verdicts(log: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """A row per restart: step gap, loss jump, the run's limit and the verdict.
 
-    A rise up to the limit passes and so does any fall; a missing loss does not.
+    A rise up to the limit passes and so does any fall; a missing, infinite or undefined
+    loss on either side does not.
     """
     marked = restarts(log)
     found = marked.where("restart")
@@ -93,7 +101,7 @@ def restart_verdicts(log: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
         gap.alias("step_gap"),
         delta.alias("delta"),
         limit.alias("limit"),
-        ((gap > 0) & F.coalesce(delta <= limit, F.lit(False))).alias("ok"),
+        ((gap > 0) & F.coalesce(finite(delta) & (delta <= limit), F.lit(False))).alias("ok"),
     )
 
 
@@ -113,32 +121,45 @@ def restart_summary(log: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
 def smoothed_loss(log: DataFrame, keep: float = EMA_KEEP, name: str = "ema") -> DataFrame:
     """Exponential moving average of ``loss`` over a run; the first loss seeds it.
 
-    Losses are numbered per run and cut into chunks so long that what came before
-    the previous chunk has weight below 2**-200. A chunk is a closed-form window
-    sum; the previous chunk's end value is its only input. Missing losses take no
-    part and get null.
+    Losses are numbered per run and cut into chunks. Inside a chunk the average is a
+    closed-form window sum; one row per chunk, its length and end value, is folded
+    along the run and gives every chunk what it starts from. Nothing is cut off, so an
+    infinite or undefined loss stays in the average. Missing losses take no part and
+    get null.
     """
-    horizon = math.ceil(200 * math.log(2) / -math.log(keep))
+    chunk = max(1, min(MOST_CHUNK, math.ceil(200 * math.log(2) / -math.log(keep))))
     present = F.col("loss").isNotNull()
     counted = running(log, RUN, ["seq"], [Running("sum", present.cast("bigint"), "_i")])
     numbered = counted.where(present).select(
         *log.columns,
         (F.col("_i") == 0).alias("_first"),
-        F.expr(f"_i div {horizon}").alias("_chunk"),
-        F.expr(f"_i % {horizon}").alias("_at"),
+        F.expr(f"_i div {chunk}").alias("_chunk"),
+        F.expr(f"_i % {chunk}").alias("_at"),
     )
     weight = F.when(F.col("_first"), 1.0).otherwise(1.0 - keep)
     upto = Window.partitionBy("run_id", "_chunk").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
     scaled = weight * F.col("loss") * F.pow(F.lit(keep), -F.col("_at"))
     local = numbered.withColumn("_local", F.sum(scaled).over(upto) * F.pow(F.lit(keep), F.col("_at")))
-    ends = stage(
-        numbered.groupBy("run_id", "_chunk")
-        .agg((F.sum(scaled) * F.pow(F.lit(keep), F.max("_at"))).alias("_end"))
-        .withColumn("_chunk", F.col("_chunk") + 1),
-        "ends",
+    ends = numbered.groupBy("run_id", "_chunk").agg(
+        (F.sum(scaled) * F.pow(F.lit(keep), F.max("_at"))).alias("end"), (F.max("_at") + 1).cast("double").alias("n")
+    )
+    along = F.array_sort(F.collect_list(F.struct("_chunk", "end", "n")))
+    start = F.struct(F.lit(0.0).alias("carry"), F.array().cast("array<double>").alias("before"))
+    folded = F.aggregate(
+        "along",
+        start,
+        lambda s, c: F.struct(
+            (c["end"] + F.pow(F.lit(keep), c["n"]) * s["carry"]).alias("carry"), F.array_append(s["before"], s["carry"]).alias("before")
+        ),
+        lambda s: s["before"],
     )
-    carried = F.coalesce("_end", F.lit(0.0)) * F.pow(F.lit(keep), F.col("_at") + 1)
-    smoothed = local.join(ends, ["run_id", "_chunk"], "left").select(
+    # 16 bytes for each chunk of a run, in one row
+    carries = stage(
+        ends.groupBy("run_id").agg(along.alias("along")).select("run_id", F.posexplode(folded).alias("_pos", "_carry")),
+        "carries",
+    ).select("run_id", F.col("_pos").cast("bigint").alias("_chunk"), "_carry")
+    carried = F.when(F.col("_chunk") > 0, F.col("_carry") * F.pow(F.lit(keep), F.col("_at") + 1)).otherwise(0.0)
+    smoothed = local.join(carries, ["run_id", "_chunk"], "left").select(
         *log.columns, (F.col("_local") + carried).alias(name)
     )
     blank = log.where(~present).withColumn(name, F.lit(None).cast("double"))

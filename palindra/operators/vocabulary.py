@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from palindra.functions import text as txt
 from palindra.operators.ordered import dense_index
@@ -21,9 +19,11 @@ from palindra.session import stage
 SPECIAL_IDS = {txt.EOS: 0, txt.IM_START: 1, txt.IM_END: 2}
 
 # What of a vocabulary may be sent to every worker: this many of the most frequent
-# tokens, none longer than this. Together they bound it to 256 MB.
+# tokens. Longer ones than HEAD_TOKEN_BYTES go by a digest, so 256 MB bound it all.
 HEAD = 1 << 20
 HEAD_TOKEN_BYTES = 256
+# Parts that one id of a long token is dealt to.
+SALTS = 64
 
 
 def count_tokens(toks: DataFrame, column: str = "tokens") -> DataFrame:
@@ -56,35 +56,37 @@ def separator_id(vocabulary: DataFrame) -> DataFrame:
     return found.agg(F.max_by("id", F.col("token") == txt.EOS).alias("eos_id"))
 
 
-def _in_head() -> Column:
-    return (F.col("id") < HEAD) & (F.octet_length("token") <= HEAD_TOKEN_BYTES)
+def _key(token: Column) -> Column:
+    """What stands for a token in the head: itself, or a digest of a long one."""
+    long = F.concat(F.lit("\x00"), F.sha2(token.cast("binary"), 256))
+    return F.when(F.octet_length(token) > HEAD_TOKEN_BYTES, long).otherwise(token)
 
 
-def fits(vocabulary: DataFrame) -> bool:
-    """Whether the whole vocabulary is head."""
-    return vocabulary.where(~_in_head()).isEmpty()
+def _has_tail(vocabulary: DataFrame) -> bool:
+    return not vocabulary.where(F.col("id") >= HEAD).isEmpty()
 
 
-def _looked_up(long: DataFrame, vocabulary: DataFrame, on: str, bring: str) -> DataFrame:
-    """Join occurrences to the vocabulary: the head by broadcast, the tail by shuffle.
-
-    Only a vocabulary with a tail pays for the second branch. Its tokens are rarer
-    than the head's or very long, so that shuffle has no hot key.
-    """
-    head = F.broadcast(vocabulary.where(_in_head()).select(on, F.col(bring).alias("_hit")))
-    rest = [c for c in long.columns if c != on]
-    if fits(vocabulary):
-        return long.join(head, on).select(*rest, F.col("_hit").alias(bring))
-    near = long.join(head, on, "left")
-    served = near.where(F.col("_hit").isNotNull()).select(*rest, F.col("_hit").alias(bring))
-    tail = vocabulary.where(~_in_head()).select(on, bring)
-    late = near.where(F.col("_hit").isNull()).select(*rest, on).join(tail, on)
-    return served.unionByName(late.select(*rest, bring))
+def _known(value: Column, what: str) -> Column:
+    """``value``, or an error where a lookup found nothing."""
+    return F.coalesce(value, F.raise_error(F.lit(f"{what} is not in the vocabulary")))
 
 
 def decode(ids: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Rows with ``token`` in place of ``id``."""
-    return _looked_up(ids, vocabulary, "id", "token")
+    """Rows with ``token`` in place of ``id``; an id that is none is an error.
+
+    An id joins the short tokens of the head, which are sent to the workers, and
+    what they do not hold joins the rest: rare tokens and long ones. Of the latter, ids
+    are salted, so that a long token that is frequent is no hot key.
+    """
+    rest = [c for c in ids.columns if c != "id"]
+    short = (F.col("id") < HEAD) & (F.octet_length("token") <= HEAD_TOKEN_BYTES)
+    head = F.broadcast(vocabulary.where(short).select("id", F.col("token").alias("_near")))
+    salted = vocabulary.where(~short).select("id", F.col("token").alias("_far"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    salt = F.pmod(F.xxhash64(*(rest or ["id"])), F.lit(SALTS)).cast("int")
+    # rows the head serves get a key of their own and meet nothing
+    near = ids.join(head, "id", "left").withColumn("_salt", F.when(F.col("_near").isNull(), salt).otherwise(-1 - salt))
+    found = near.join(salted, ["id", "_salt"], "left")
+    return found.select(*rest, _known(F.coalesce("_near", "_far"), "an id").alias("token"))
 
 
 def gather(long: DataFrame, keys: Sequence[str], value: str, into: str) -> DataFrame:
@@ -93,16 +95,18 @@ def gather(long: DataFrame, keys: Sequence[str], value: str, into: str) -> DataF
     return long.groupBy(*keys).agg(F.transform(items, lambda s: s[value]).alias(into))
 
 
-def _lookup(tokens: Broadcast, ids: Broadcast):
+def _head_ids(tokens: Broadcast, ids: Broadcast):
+    """Ids of arrays of keys, null for keys that are not in the head."""
+
     @F.arrow_udf("array<bigint>")
-    def ids_of(batch: pa.Array) -> pa.Array:
-        places = pc.index_in(batch.flatten(), value_set=tokens.value)
-        if places.null_count:
-            raise ValueError("a token is not in the vocabulary")
-        lengths = pc.fill_null(pc.list_value_length(batch), 0).to_numpy()
-        offsets = np.concatenate([[0], np.cumsum(lengths)])
-        found = pc.take(ids.value, places)
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), found)
+    def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = dict(zip(tokens.value.to_pylist(), ids.value.to_pylist()))
+        for batch in batches:
+            distinct = batch.flatten().dictionary_encode()
+            found = pa.array([known.get(t) for t in distinct.dictionary.to_pylist()], pa.int64())
+            lengths = pc.fill_null(pc.list_value_length(batch), 0).to_numpy()
+            offsets = np.concatenate([[0], np.cumsum(lengths)])
+            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pc.take(found, distinct.indices))
 
     return ids_of
 
@@ -110,21 +114,26 @@ def _lookup(tokens: Broadcast, ids: Broadcast):
 def encode_arrays(rows: DataFrame, keys: Sequence[str], column: str, vocabulary: DataFrame) -> DataFrame:
     """Replace an array of tokens by its ids; ``keys`` identify a row.
 
-    A vocabulary that is all head goes to the workers, where batches of arrays are
-    looked up in place: no shuffle and no row per token. Otherwise occurrences
-    are joined to it and gathered again.
+    The most frequent tokens go to the workers, where arrays are looked up in place.
+    Of the rest, a row's distinct tokens, not their occurrences, join the rest of the
+    vocabulary and are put in where they stand. Arrays keep their lengths; a token that
+    the vocabulary lacks is an error, whatever its size.
     """
-    if fits(vocabulary):
-        table = vocabulary.toArrow()
-        context = rows.sparkSession.sparkContext
-        send = [context.broadcast(table[c].combine_chunks()) for c in ("token", "id")]
-        return rows.withColumn(column, _lookup(*send)(F.col(column)))
-    rest = [c for c in rows.columns if c != column and c not in keys]
-    long = rows.select(*keys, F.posexplode(column).alias("pos", "token"))
-    ids = gather(_looked_up(long, vocabulary, "token", "id"), keys, "id", column)
-    empty = F.array().cast("array<bigint>")
-    joined = rows.select(*keys, *rest).join(ids, list(keys), "left")
-    return joined.withColumn(column, F.coalesce(column, empty)).select(*rows.columns)
+    head = vocabulary.where(F.col("id") < HEAD).select(_key(F.col("token")).alias("token"), "id").toArrow()
+    context = rows.sparkSession.sparkContext
+    send = [context.broadcast(head[c].combine_chunks()) for c in ("token", "id")]
+    looked = rows.withColumn("_ids", _head_ids(*send)(F.transform(column, _key)))
+    if not _has_tail(vocabulary):
+        ids = F.transform("_ids", lambda i: _known(i, "a token"))
+        return looked.withColumn(column, ids).select(*rows.columns)
+    tokens = F.col(column)
+    missed = F.array_distinct(F.filter(tokens, lambda t, k: F.get(F.col("_ids"), k).isNull()))
+    asked = looked.select(*keys, F.explode(missed).alias("token"))
+    tail = vocabulary.where(F.col("id") >= HEAD).select("token", "id")
+    told = asked.join(tail, "token").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("_rare"))
+    whole = looked.join(told, list(keys), "left")
+    ids = F.zip_with(column, "_ids", lambda t, i: _known(F.coalesce(i, F.try_element_at("_rare", t)), "a token"))
+    return whole.withColumn(column, ids).select(*rows.columns)
 
 
 def encode_texts(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -133,30 +142,6 @@ def encode_texts(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return encode_arrays(toks, ["doc"], "ids", vocabulary)
 
 
-def encode_with(text: Column, make_encoder: Callable[[], Callable[[str], list[int]]]) -> Column:
-    """Ids from a user's own tokenizer, made once per Python worker."""
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        one = make_encoder()
-        for batch in batches:
-            yield batch.map(lambda s: None if s is None else one(s))
-
-    return encoded(text)
-
-
-def decode_with(ids: Column, make_decoder: Callable[[], Callable[[list[int]], str]]) -> Column:
-    """Text from a user's own tokenizer, whole sequences at once."""
-
-    @F.pandas_udf(T.StringType())
-    def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        one = make_decoder()
-        for batch in batches:
-            yield batch.map(lambda s: None if s is None else one([int(i) for i in s]))
-
-    return decoded(ids)
-
-
 def outside(docs: DataFrame, vocab_size: int) -> DataFrame:
     """Rows holding an id that is not inside the vocabulary."""
     return docs.where((F.array_max("ids") >= vocab_size) | (F.array_min("ids") < 0))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from palindra.functions import display, layout, permute, schedule, vectors
 from palindra.functions import text as txt
 from palindra.operators import chat, diagnostics, inventory, packing, runlog, sampling, vocabulary
-from palindra.operators.ordered import ID_BITS, Running, running
+from palindra.operators.ordered import ID_BITS, Running, dense_index, running
 from palindra.operators.packing import PackSettings
 from palindra.operators.sampling import BatchShape
 from palindra.plans import corpus, oracle
@@ -922,9 +922,7 @@ from found_ group by run_id
 )
 def checkpoint_pick(spark, sf_dir):
     found = inventory.parse_checkpoints(checkpoint_listing(spark, sf_dir))
-    resume = inventory.resume_pick(found, ["run_id"]).select("run_id", F.col("path").alias("resume_path"))
-    export = inventory.export_pick(found, ["run_id"]).select("run_id", F.col("path").alias("export_path"))
-    return resume.join(export, "run_id", "left")
+    return inventory.picks(found, ["run_id"])
 
 
 @query(
@@ -1092,10 +1090,8 @@ def checks_rollup(spark, sf_dir):
         F.col("value").alias("seconds"),
         flag.alias("flag"),
     )
-    by = ["user_id"]
-    parts = diagnostics.roll_up(rows, by).join(diagnostics.across_workers(rows, by), by)
-    parts = parts.join(diagnostics.raised(rows, by), by, "left").join(diagnostics.session_totals(rows, by), by)
-    return parts.select(
+    found = diagnostics.passed() | diagnostics.reduced() | diagnostics.flags_set() | diagnostics.session()
+    return rows.groupBy("user_id").agg(*[c.alias(n) for n, c in found.items()]).select(
         "user_id",
         "passed",
         "total",
@@ -1190,12 +1186,15 @@ def cross_entropy(spark, sf_dir):
 @query(
     """
 with v_ as (
-  select embedding::DOUBLE[] as a,
+  select vec_id, embedding::DOUBLE[] as a,
     list_transform(embedding::DOUBLE[], lambda x: x + case when vec_id % 7 = 0 then 1e-4 else 0 end) as b from embeddings),
+k_ as (select *, 'all' as rows, true as there from v_ union all select *, 'some missing', vec_id % 50 <> 3 from v_),
 w_ as (
-  select max(list_max(list_transform(list_zip(a, b), lambda s: abs(s[1] - s[2])))) as delta,
-    greatest(max(list_max(list_transform(a, lambda x: abs(x)))), 1.0) as scale from v_)
-select round(delta, 9) as delta, round(delta / scale, 9) as relative, delta / scale <= tol as ok, dtype
+  select rows, count(*) filter (not there) as unmatched,
+    max(list_max(list_transform(list_zip(a, b), lambda s: abs(s[1] - s[2])))) filter (there) as delta,
+    greatest(max(list_max(list_transform(a, lambda x: abs(x)))), 1.0) as scale from k_ group by rows)
+select rows, unmatched, round(delta, 9) as delta, round(delta / scale, 9) as relative,
+  delta / scale <= tol and unmatched = 0 as ok, dtype
 from w_, (values ('float32', 1e-5), ('float16', 2e-3), ('bfloat16', 1.5e-2)) as t(dtype, tol)
 """
 )
@@ -1205,28 +1204,27 @@ def vector_agreement(spark, sf_dir):
     reloaded = stored.withColumn("_shift", shift).select(
         "vec_id", F.transform("v", lambda x: x + F.col("_shift")).alias("v")
     )
-    out = None
-    for dtype in vectors.TOLERANCE:
-        row = diagnostics.agreement(stored, reloaded, "vec_id", "v", dtype).withColumn("dtype", F.lit(dtype))
-        out = row if out is None else out.unionByName(row)
+    whole = diagnostics.agreement(stored, reloaded, "vec_id", "v", *vectors.TOLERANCE)
+    some = reloaded.where("vec_id % 50 <> 3")
+    part = diagnostics.agreement(stored, some, "vec_id", "v", *vectors.TOLERANCE)
+    out = whole.withColumn("rows", F.lit("all")).unionByName(part.withColumn("rows", F.lit("some missing")))
     return out.withColumn("delta", F.round("delta", 9)).withColumn("relative", F.round("relative", 9))
 
 
-@query()
+@query(
+    f"""
+with v_ as (select vec_id, list_transform(embedding::DOUBLE[], lambda x: x / 0.8) as z from embeddings),
+m_ as (select vec_id, z, list_max(z) as top, unnest(range(1, len(z) + 1)) as i from v_),
+h_ as (
+  select vec_id, i, exp(z[i] - top) as e, ({oracle.mix('i', f"(({oracle.mix('vec_id & 4294967295', '1337')}))")})::BIGINT as h from m_),
+p_ as (select vec_id, i, h, e / sum(e) over (partition by vec_id) as p from h_)
+select vec_id, (arg_max(i, ln(p) - ln(-ln((h + 0.5) / 4294967296.0))) - 1)::BIGINT as drawn from p_ group by vec_id
+"""
+)
 def gumbel_draw(spark, sf_dir):
     """A seeded draw per stored vector; checked for its distribution in the tests."""
     rows = logits(spark, sf_dir).withColumn("p", vectors.softmax(F.col("logits"), 0.8))
-    return rows.select("vec_id", diagnostics.draw(F.col("p"), F.col("vec_id"), 1337).alias("drawn"))
-
-
-@query()
-def zipf_tokens(spark, sf_dir):
-    """One Zipf token per order line, counted; checked for its distribution in the tests."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
-    u = diagnostics.uniform(F.lit(0), F.col("l_orderkey"), F.col("l_linenumber"))
-    return lines.select(diagnostics.zipf_token(u, 49_152).alias("token")).groupBy("token").agg(
-        F.count("*").alias("n")
-    )
+    return rows.select("vec_id", diagnostics.draw(F.col("p"), F.col("vec_id"), 1337).cast("bigint").alias("drawn"))
 
 
 # --------------------------------------------------------------------------- streams
@@ -1264,7 +1262,8 @@ def stream_pack(spark, sf_dir):
     budget = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] // 8
     job = PackStream(folder, max_tokens=budget, shard_tokens=50_000)
     for stream in arrive_in_slices(docs, "doc_id", 3, f"{folder}/in"):
-        job.start(stream).awaitTermination()
+        if job.run(stream):
+            break
     parts = job.parts(spark)
     place = F.col("shard") * job.shard_tokens + F.col("at")
     # A document's parts are few: one more than the shard ends it crosses.
@@ -1376,3 +1375,139 @@ def stream_windows(spark, sf_dir):
         F.round("loss_sum", 4).alias("loss_sum"),
         "tokens",
     )
+
+
+# --------------------------------------------------------------------------- ids, nesting and run files
+
+
+@query(
+    f"""
+select doc_id, {oracle.joined(oracle.toks('text'))} as tokens, len({oracle.toks('text')})::BIGINT as n
+from documents where length(text) > 0
+"""
+)
+def decode_ids(spark, sf_dir):
+    """Texts to ids and back, through the vocabulary both times."""
+    docs = documents(spark, sf_dir).where(F.length("text") > 0)
+    words = corpus_vocabulary(spark, sf_dir)
+    ids = vocabulary.encode_texts(docs.select(F.col("doc_id").alias("doc"), "text"), words)
+    long = vocabulary.decode(ids.select("doc", F.posexplode("ids").alias("pos", "id")), words)
+    back = vocabulary.gather(long, ["doc"], "token", "tokens")
+    return back.select(F.col("doc").alias("doc_id"), digest(F.col("tokens")).alias("tokens"), big(F.size("tokens")).alias("n"))
+
+
+@query(
+    f"""
+with {oracle.NORMALISED}
+select conv_id, turn, role, text, starts_turn, starts_conv, ends_conv from piece_
+"""
+)
+def nested_normalised(spark, sf_dir):
+    """Conversations as lists of messages, odd ones under the other names; both lists in one table."""
+    turns = either_schema(table(spark, sf_dir, "conversations"))
+    other = F.col("conv_id") % 2 == 1
+    # A conversation as one row is the shape of such input.
+    nested = turns.groupBy("conv_id").agg(
+        F.array_sort(
+            F.collect_list(F.when(~other, F.struct("turn", F.struct("role", "content").alias("m"))))
+        ).alias("plain"),
+        F.array_sort(F.collect_list(F.when(other, F.struct("turn", F.struct("from", "value").alias("m"))))).alias("named"),
+    )
+    rows = nested.select(
+        "conv_id",
+        F.transform("plain", lambda t: t["m"]).alias("messages"),
+        F.transform("named", lambda t: t["m"]).alias("conversations"),
+    )
+    return chat.normalise(chat.explode_messages(rows, "conv_id", ["messages", "conversations"]))
+
+
+@query(
+    f"""
+with {oracle.RUN_LOG}
+select 'r' || run_id % 3 || '/run' as run_id, step::BIGINT as step, round(wall_s, 6) as wall_s, tokens::BIGINT as tokens,
+  loss, round(val_loss, 6) as val_loss from log_
+"""
+)
+def log_round_trip(spark, sf_dir):
+    """Run logs written as files, in folders of one name below three others, and read again."""
+    from palindra.session import fresh_path, stage
+    from palindra.sources import runs
+
+    folder = fresh_path(spark, "run-files")
+    log = stage(run_log(spark, sf_dir), "log")
+    for k in range(3):
+        runs.append_log(log.where(F.col("run_id") % 3 == k), f"{folder}/r{k}/run")
+    return runs.read_log(spark, f"{folder}/*/run/*.csv").select(
+        "run_id", "step", F.round("wall_s", 6).alias("wall_s"), "tokens", "loss", F.round("val_loss", 6).alias("val_loss")
+    )
+
+
+@query(
+    f"""
+with {oracle.RUN_LOG},
+last_ as (select run_id, max(step) as step, arg_max(loss, step) as loss from log_ group by run_id)
+select run_id::VARCHAR as run_id, (case when run_id % 2 = 0 then step + 1 else step end)::BIGINT as step, loss from last_
+"""
+)
+def status_latest(spark, sf_dir):
+    """The status of all runs, then once more of every other run; each write keeps the rest."""
+    from palindra.session import fresh_path
+    from palindra.sources import runs
+
+    folder = fresh_path(spark, "status")
+    last = runlog.latest(run_log(spark, sf_dir)).select(F.col("run_id").cast("string").alias("run_id"), "step", "loss")
+    runs.write_status(last, folder)
+    again = last.where(F.col("run_id").cast("bigint") % 2 == 0).withColumn("step", F.col("step") + 1)
+    runs.write_status(again, folder)
+    return runs.read_status_table(spark, folder).select("run_id", "step", "loss")
+
+
+@query(
+    f"""
+with {LISTING_SQL}
+select (row_number() over (order by step desc, kind = 'full' desc, path) - 1)::BIGINT as position, path, step, kind from found_
+"""
+)
+def checkpoint_order(spark, sf_dir):
+    found = inventory.parse_checkpoints(checkpoint_listing(spark, sf_dir))
+    return dense_index(found, inventory.newest_order(), "position").select("position", "path", "step", "kind")
+
+
+@query(
+    f"""
+with {oracle.RUN_LOG},
+last_ as (
+  select run_id, max(epoch_us(ts)) / 1e6 as heartbeat, case when run_id % 5 = 0 then 'deadline' end as stop_reason,
+    case when run_id % 7 = 0 then (run_id % 2)::VARCHAR || chr(10) end as exit_code
+  from log_ group by run_id),
+now_ as (select max(heartbeat) as now from last_)
+select run_id, stop_reason is not null or exit_code is not null as finished,
+  case when stop_reason is not null then true when exit_code is not null then run_id % 2 = 0 end as clean,
+  now - heartbeat > 900 and now - (now - 3600) > 900 as given_up
+from last_, now_
+"""
+)
+def run_finish(spark, sf_dir):
+    """Which runs ended, how, and which are taken for dead after an hour of watching."""
+    from palindra.streaming import runs
+
+    run = F.col("run_id")
+    status = runlog.latest(run_log(spark, sf_dir)).select(
+        "run_id",
+        (micros("ts") / 1e6).alias("heartbeat"),
+        F.when(run % 5 == 0, "deadline").alias("stop_reason"),
+        F.when(run % 7 == 0, F.concat((run % 2).cast("string"), F.lit("\n"))).alias("exit_code"),
+    )
+    now = F.lit(status.agg(F.max("heartbeat")).first()[0])
+    ended = runs.finished(status).select("run_id", "clean", F.lit(True).alias("_ended"))
+    dead = runs.given_up(status, now, now - 3600).select("run_id", F.lit(True).alias("_dead"))
+    return (
+        status.join(ended, "run_id", "left")
+        .join(dead, "run_id", "left")
+        .select(
+            "run_id",
+            F.col("_ended").isNotNull().alias("finished"),
+            "clean",
+            F.col("_dead").isNotNull().alias("given_up"),
+        )
+    )

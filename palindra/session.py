@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+SHARED_KEY = "palindra.shared.dir"
 
 
 def local_session(cores: str | int = 8, app: str = "palindra", memory: str = "16g") -> SparkSession:
@@ -32,13 +33,17 @@ def local_session(cores: str | int = 8, app: str = "palindra", memory: str = "16
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset,
-    as in tests, a fresh temporary folder takes its place for this session.
+    A cluster names it in ``spark.checkpoint.dir``, or in ``palindra.shared.dir`` where
+    that is unset. Only a local session without either, as in tests, gets a fresh
+    temporary folder; on a cluster that would be a folder of one machine.
     """
-    named = spark.conf.get(CHECKPOINT_KEY, None)
+    named = spark.conf.get(CHECKPOINT_KEY, None) or spark.conf.get(SHARED_KEY, None)
     if not named:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"set {CHECKPOINT_KEY} or {SHARED_KEY} to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="palindra-shared-")
-        spark.conf.set(CHECKPOINT_KEY, named)
+        spark.conf.set(SHARED_KEY, named)
     return named.rstrip("/")
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palindra.session import stage
+
 # The columns of a run log.
 LOG_FIELDS = [
     "step", "wall_s", "tokens", "lr", "loss", "loss_ema", "val_loss", "grad_norm", "scale", "tok_per_s", "phase",
@@ -24,8 +28,22 @@ def _matches(spark: SparkSession, pattern: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def _folder_below(pattern: str) -> Column:
+    """The folder of a file as seen from the folders that ``pattern`` fixes; its own name
+    where the pattern leaves nothing open. So runs in folders of one name stay apart."""
+    folder = F.regexp_extract("_metadata.file_path", r"^(.*)/[^/]+$", 1)
+    own = F.regexp_extract(folder, r"([^/]+)$", 1)
+    fixed = re.match(r"[^*?\[{]*/", pattern)
+    if fixed is None or not re.search(r"[*?\[{]", pattern):
+        return own
+    root = re.sub(r"^\w+:(//[^/]*)?", "", fixed[0]).rstrip("/") + "/"
+    below = F.substring_index(F.concat(folder, F.lit("/")), root, -1)
+    return F.coalesce(F.nullif(F.rtrim(below, F.lit("/")), F.lit("")), own)
+
+
 def read_log(spark: SparkSession, pattern: str) -> DataFrame:
-    """Log rows of many runs with ``run_id`` (the folder) and ``seq``, the file order.
+    """Log rows of many runs with ``run_id`` (the folder's path below what the pattern
+    fixes) and ``seq``, the file order.
 
     ``seq`` is the split's byte offset plus the row's place in the split; a row
     takes at least a byte, so it rises through the file. No file gives no rows.
@@ -40,6 +58,7 @@ def read_log(spark: SparkSession, pattern: str) -> DataFrame:
         .select(
             "*",
             F.col("_metadata.file_path").alias("_file"),
+            _folder_below(pattern).alias("run_id"),
             F.col("_metadata.file_block_start").alias("_begin"),
             F.monotonically_increasing_id().alias("_id"),
         )
@@ -47,7 +66,7 @@ def read_log(spark: SparkSession, pattern: str) -> DataFrame:
     firsts = rows.groupBy("_file", "_begin").agg(F.min("_id").alias("_first"))
     return rows.join(firsts, ["_file", "_begin"]).select(
         *LOG_FIELDS,
-        F.regexp_extract("_file", r"([^/]+)/[^/]+$", 1).alias("run_id"),
+        "run_id",
         (F.col("_begin") + F.col("_id") - F.col("_first")).alias("seq"),
     )
 
@@ -64,9 +83,8 @@ def read_status(spark: SparkSession, pattern: str) -> DataFrame:
     if not _matches(spark, pattern):
         return spark.createDataFrame([], f"{STATUS_SCHEMA}, path string")
     raw = spark.read.text(pattern, wholetext=True)
-    folder = F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1)
     parsed = raw.select(
-        folder.alias("folder"),
+        _folder_below(pattern).alias("folder"),
         F.col("_metadata.file_path").alias("path"),
         F.from_json(
             "value", STATUS_SCHEMA + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}
@@ -83,8 +101,14 @@ def stamped(status: DataFrame) -> DataFrame:
 
 
 def write_status(status: DataFrame, path: str) -> None:
-    """Replace the status table at ``path``, a JSON object per run, stamped with this moment."""
-    stamped(status).write.mode("overwrite").json(path)
+    """Replace the rows of these runs in the status table at ``path``, a JSON object per run,
+    and stamp them with this moment; other runs stay as they are."""
+    spark = status.sparkSession
+    now = stamped(status)
+    if _matches(spark, path):
+        others = read_status_table(spark, path).join(now.select("run_id"), "run_id", "left_anti")
+        now = now.unionByName(others, allowMissingColumns=True)
+    stage(now, "status").write.mode("overwrite").json(path)
 
 
 def read_status_table(spark: SparkSession, path: str) -> DataFrame:

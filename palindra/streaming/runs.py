@@ -23,7 +23,12 @@ COLUMNS = [c.split()[0] for c in LINE.split(",")]
 
 @dataclass(frozen=True)
 class RunFollower:
-    """Keeps restarts, smoothed losses and the newest row of every run."""
+    """Keeps restarts, smoothed losses and the newest row of every run.
+
+    Lines of a run must arrive in order of ``seq``; one that is not above what an
+    earlier batch had stops the stream with an error, since it would change averages
+    that are already out.
+    """
 
     folder: str
 
@@ -36,6 +41,10 @@ class RunFollower:
         seen = self.newest.before(spark, batch_id)
         lines = stage(batch.select(*COLUMNS).withColumn("_new", F.lit(True)), "lines")
 
+        late = lines.join(seen.select("run_id", F.col("seq").alias("_had")), "run_id").where("seq <= _had").first()
+        if late is not None:
+            raise ValueError(f"run {late.run_id}: line {late.seq} came after line {late._had}")
+
         joined = lines.unionByName(seen.select(*COLUMNS, F.lit(False).alias("_new")))
         found = runlog.restarts(joined).where(F.col("_new") & F.col("restart"))
         found.select(

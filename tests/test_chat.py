@@ -86,7 +86,6 @@ def test_known_conversations(spark):
 
 def test_random_conversations_even_when_chunked(spark, monkeypatch):
     monkeypatch.setattr(ordered, "ONE_WINDOW", 0)
-    monkeypatch.setattr(ordered, "ONE_TASK_BYTES", 0)
     monkeypatch.setattr(chat, "POSITION_BITS", (2,))
     rng = random.Random(11)
     roles = ["user", "Human", "assistant", "gpt", "system", "system", "tool", ""]
@@ -108,6 +107,17 @@ def test_list_columns_fall_through(spark):
     assert {r.conv_id: r.n for r in found} == {0: 2, 1: 2, 2: 2}
 
 
+def test_list_columns_of_different_structs(spark):
+    kinds = "id bigint, messages array<struct<role: string, content: string>>, conversations array<struct<from: string, value: string>>"
+    rows = [(0, [("user", "hi"), ("assistant", "hello")], None), (1, None, [("human", "a"), ("gpt", "b")]), (2, [], [("human", "c"), ("gpt", "d")])]
+    rows += [(3, [("user", "e"), None, ("assistant", "f")], None)]
+    long = chat.explode_messages(spark.createDataFrame(rows, kinds), "id", ["messages", "conversations"])
+    found = {(r.conv_id, r.role): r.text for r in chat.normalise(chat.unify_fields(long)).collect()}
+    assert {k: v for k, v in found.items() if k[0] < 3} == {(i, r): t for i, (u, a) in enumerate([("hi", "hello"), ("a", "b"), ("c", "d")]) for r, t in (("user", u), ("assistant", a))}
+    texts = spark.createDataFrame([(4, ["no struct"])], "id bigint, messages array<string>")
+    assert chat.normalise(chat.explode_messages(texts, "id", ["messages"])).count() == 0
+
+
 def test_pieces_lay_out_like_the_whole(spark):
     rows = [(0, t, r, x) for t, (r, x) in enumerate([("user", "a b"), ("user", "<"), ("assistant", "d e"), ("user", "f"), ("assistant", "g <|im_end|")])]
     pieces = chat.normalise(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))

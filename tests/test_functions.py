@@ -86,9 +86,17 @@ def test_vectors(spark):
 def test_agreement_and_tolerances(spark):
     a = spark.createDataFrame([(1, [3.0, -4.0]), (2, [0.0, 1.0])], "i bigint, v array<double>")
     b = spark.createDataFrame([(1, [3.0, -4.01]), (2, [0.0, 1.0])], "i bigint, v array<double>")
-    found = {d: diagnostics.agreement(a, b, "i", "v", d).first() for d in ("float32", "float16", "bfloat16", "other")}
+    kinds = ("float32", "float16", "bfloat16", "other")
+    found = {r.dtype: r for r in diagnostics.agreement(a, b, "i", "v", *kinds).collect()}
     assert all(math.isclose(r.relative, 0.0025) for r in found.values())
-    assert [found[d].ok for d in ("float32", "float16", "bfloat16", "other")] == [False, False, True, False]
+    assert [found[d].ok for d in kinds] == [False, False, True, False]
+    short = b.where("i = 2").withColumn("v", F.slice("v", 1, 1))
+    for other, n in ((b.where("i = 2"), 1), (short, 2), (b.limit(0), 2)):
+        row = diagnostics.agreement(a, other, "i", "v", "bfloat16").first()
+        assert (row.unmatched, row.ok) == (n, False)
+        assert not diagnostics.agreement(other, a, "i", "v", "bfloat16").first().ok
+    none = diagnostics.agreement(a.limit(0), b.limit(0), "i", "v", "float32").first()
+    assert none.ok and none.delta is None
 
 
 def test_draws_follow_their_probabilities(spark):
@@ -99,15 +107,6 @@ def test_draws_follow_their_probabilities(spark):
     assert drawn.exceptAll(df.repartition(3).select(diagnostics.draw(F.col("p"), F.col("id"), 7).alias("d"))).count() == 0
 
 
-def test_zipf_tokens(spark):
-    u = diagnostics.uniform(F.lit(1), F.col("id"))
-    got = spark.range(50_000).select(diagnostics.zipf_token(u, 1000).alias("t")).groupBy("t").count().collect()
-    weights = 1 / np.arange(1, 1001) ** 1.1
-    share = {r.t: r["count"] / 50_000 for r in got}
-    assert max(share) < 1000
-    assert all(abs(share[i] - weights[i] / weights.sum()) < 0.01 for i in range(5))
-
-
 def test_vocabulary_and_both_lookups(spark, monkeypatch):
     texts = [(1, "b a a <|im_end|>"), (2, " a a\nc"), (3, "é <|im_start|>é")]
     docs = spark.createDataFrame(texts, "doc bigint, text string")
@@ -130,9 +129,21 @@ def test_vocabulary_and_both_lookups(spark, monkeypatch):
     assert vocabulary.outside(ids, 5).count() == 3
 
 
-def test_own_tokenizer(spark):
-    df = spark.createDataFrame([("héy",), (None,)], "text string")
-    ids = vocabulary.encode_with(F.col("text"), lambda: lambda s: list(s.encode()))
-    back = vocabulary.decode_with(ids, lambda: lambda v: bytes(v).decode())
-    rows = df.select(ids.alias("ids"), back.alias("back")).collect()
-    assert rows[0].ids == list("héy".encode()) and rows[0].back == "héy" and rows[1].ids is None
+def test_unknown_tokens_are_errors_whatever_the_size(spark, monkeypatch):
+    rule = "-" * 300
+    words = vocabulary.build(spark.createDataFrame([("a", 5), (rule, 4), ("b", 3), ("c", 1)], "token string, n bigint"))
+    good = spark.createDataFrame([(1, ["a", rule, "c", rule]), (2, []), (3, None), (4, ["b"])], "doc bigint, tokens array<string>")
+    bad = spark.createDataFrame([(1, ["a", "zzz", "b"])], "doc bigint, tokens array<string>")
+    seen = []
+    for head in (1 << 20, 4, 0):
+        monkeypatch.setattr(vocabulary, "HEAD", head)
+        got = {r.doc: r.tokens for r in vocabulary.encode_arrays(good, ["doc"], "tokens", words).collect()}
+        seen.append({k: v or None for k, v in got.items()})
+        assert got[1] == [3, 4, 6, 4] and got[4] == [5]
+        back = vocabulary.decode(spark.createDataFrame([(0, 4), (1, 3), (2, 6)], "at bigint, id bigint"), words)
+        assert {r["at"]: r.token for r in back.collect()} == {0: rule, 1: "a", 2: "c"}
+        with pytest.raises(Exception, match="a token is not in the vocabulary"):
+            vocabulary.encode_arrays(bad, ["doc"], "tokens", words).collect()
+        with pytest.raises(Exception, match="an id is not in the vocabulary"):
+            vocabulary.decode(spark.createDataFrame([(0, 99)], "at bigint, id bigint"), words).collect()
+    assert seen[0] == seen[1] == seen[2]

@@ -23,12 +23,6 @@ def _naive(rows):
     return out
 
 
-@pytest.fixture(params=["chunked", "whole"], autouse=True)
-def path(request, monkeypatch):
-    """Every test takes the way of large tables and that of small ones."""
-    monkeypatch.setattr(ordered, "ONE_TASK_BYTES", 0 if request.param == "chunked" else 1 << 62)
-
-
 @pytest.mark.parametrize("limit", [0, 1 << 20])
 def test_running_matches_a_plain_loop(spark, monkeypatch, limit):
     """Dense, sparse and 62-bit orders; one key holds most rows; both recursions."""

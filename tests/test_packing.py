@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from palindra.operators import ordered, packing, sampling
 from palindra.operators.packing import PackSettings
-from palindra.sources import synthetic
 from palindra.plans import corpus
+from tests import own_tables
 
 PIECES = "source string, doc bigint, piece bigint, tokens array<bigint>, starts_doc boolean, ends_doc boolean"
 
@@ -58,7 +58,6 @@ def mixed(streams, frac, target):
 )
 def test_packing_matches_flat_slicing(spark, monkeypatch, frac, val, sizes):
     monkeypatch.setattr(ordered, "ONE_WINDOW", 3)
-    monkeypatch.setattr(ordered, "ONE_TASK_BYTES", 0)
     rng = random.Random(str((frac, val, sizes)))
     streams = random_streams(rng, *sizes, longest=30)
     settings = PackSettings(600, Fraction(frac), val, shard_tokens=70, block_size=8)
@@ -118,7 +117,7 @@ def test_packing_matches_flat_slicing(spark, monkeypatch, frac, val, sizes):
 def test_self_test_of_the_pipeline(spark):
     """Generated sources: several shards, a validation split, the share near its goal."""
     settings = PackSettings(400_000, Fraction(1, 4), 20_000, shard_tokens=60_000, block_size=256)
-    built = corpus.build(synthetic.documents(spark), synthetic.conversations(spark), settings)
+    built = corpus.build(own_tables.documents(spark), own_tables.conversations(spark), settings)
     total = packing.totals(built.counts()).first()
     assert total.total_tokens >= settings.max_tokens
     assert abs(total.chat_share - 0.25) < 0.02
@@ -129,7 +128,7 @@ def test_self_test_of_the_pipeline(spark):
     for r in table:
         lengths[r.stream] += r.tokens
     assert lengths["web"] + lengths["chat"] == total.total_tokens
-    again = corpus.build(synthetic.documents(spark), synthetic.conversations(spark), settings)
+    again = corpus.build(own_tables.documents(spark), own_tables.conversations(spark), settings)
     assert packing.totals(again.counts()).first() == total
 
 

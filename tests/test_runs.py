@@ -28,10 +28,9 @@ def make_log(rng, n_runs=4, longest=3000):
     return rows
 
 
-@pytest.fixture(params=["chunked", "whole"])
-def path(request, monkeypatch):
-    """The way of large tables and that of small ones."""
-    monkeypatch.setattr(ordered, "ONE_TASK_BYTES", 0 if request.param == "chunked" else 1 << 62)
+@pytest.fixture(autouse=True)
+def narrow_chunks(monkeypatch):
+    """Chunks so small that a test log has several levels of them."""
     monkeypatch.setattr(ordered, "ID_BITS", (6, 5, 18))
 
 
@@ -52,7 +51,7 @@ def by_run(rows):
     return out
 
 
-def test_restart_verdicts(log, log_rows, path):
+def test_restart_verdicts(log, log_rows):
     want = {}
     for run, rows in by_run(log_rows).items():
         pairs = list(zip(rows, rows[1:]))
@@ -70,7 +69,7 @@ def test_restart_verdicts(log, log_rows, path):
     assert sum(r.log_rows for r in summary.values()) == len(log_rows)
 
 
-def test_sessions_count_restarts(log, log_rows, path):
+def test_sessions_count_restarts(log, log_rows):
     got = {(r.run_id, r.seq): r.session for r in runlog.attempts(log).collect()}
     for run, rows in by_run(log_rows).items():
         n = 0
@@ -79,7 +78,7 @@ def test_sessions_count_restarts(log, log_rows, path):
             assert got[run, r[1]] == n
 
 
-def test_ema_equals_the_fold(log, log_rows, path):
+def test_ema_equals_the_fold(log, log_rows):
     got = {(r.run_id, r.seq): r.ema for r in runlog.smoothed_loss(log).collect()}
     assert len(got) == len(log_rows)
     for run, rows in by_run(log_rows).items():
@@ -92,7 +91,7 @@ def test_ema_equals_the_fold(log, log_rows, path):
             assert math.isclose(got[run, r[1]], ema, rel_tol=1e-11)
 
 
-def test_throughput_and_evaluations(log, log_rows, path):
+def test_throughput_and_evaluations(log, log_rows):
     speed = {(r.run_id, r.seq): r for r in runlog.throughput(log, 1000).collect()}
     evals = log.where("val_loss is not null").select("run_id", "attempt", "seq", "val_loss")
     seen = {(r.run_id, r.seq): r for r in runlog.with_evaluations(log.drop("val_loss"), evals).collect()}
@@ -114,7 +113,7 @@ def test_throughput_and_evaluations(log, log_rows, path):
             before = r
 
 
-def test_tail_recent_and_bins(log, log_rows, path):
+def test_tail_recent_and_bins(log, log_rows):
     runs_ = by_run(log_rows)
     tail = runlog.tail(log, 7).collect()
     for run, rows in runs_.items():
@@ -177,6 +176,35 @@ def test_log_files_keep_their_order(spark, tmp_path, monkeypatch):
     assert [(r.step, r.loss, r.val_loss, r.phase) for r in again] == [(1, 2.5, None, None)] * 2
 
 
+def test_runs_in_folders_of_one_name_stay_apart(spark, tmp_path):
+    row = spark.createDataFrame([(1, 2.5)], "step bigint, loss double")
+    for at in ("a/run", "b/run"):
+        runs.append_log(row, f"{tmp_path}/{at}")
+        (tmp_path / at / "status.json").write_text('{"step": 3}')
+    assert {r.run_id for r in runs.read_log(spark, f"{tmp_path}/*/run/*.csv").collect()} == {"a/run", "b/run"}
+    assert {r.run_id for r in runs.read_log(spark, f"{tmp_path}/[ab]/*/*.csv").collect()} == {"a/run", "b/run"}
+    assert {r.run_id for r in runs.read_log(spark, f"{tmp_path}/a/run/*.csv").collect()} == {"run"}
+    assert {r.run_id for r in runs.read_status(spark, f"{tmp_path}/*/run/status.json").collect()} == {"a/run", "b/run"}
+
+
+def test_losses_that_are_not_finite(spark):
+    nan, inf = float("nan"), float("inf")
+    losses = [2.0] * 30 + [nan] + [1.0] * 6000
+    rows = [(1, i, 0, 20 * i, float(i % 4000), x, None) for i, x in enumerate(losses)]
+    rows += [(2, i, 0, 20 * i, float(i % 3), x, None) for i, x in enumerate([1.0, 1.5, inf, 2.0, 1.0, 1.25, 1.0, 1.1, -inf, 1.0])]
+    log = spark.createDataFrame(rows, LOG)
+    for keep in (0.9, 0.9999):
+        ema = {}
+        for r in runlog.smoothed_loss(log, keep).orderBy("run_id", "seq").collect():
+            was = ema.get(r.run_id)
+            want = r.loss if was is None else keep * was + (1 - keep) * r.loss
+            ema[r.run_id] = want
+            assert (math.isnan(want) and math.isnan(r.ema)) or want == r.ema or math.isclose(want, r.ema, rel_tol=1e-10), (r, want)
+    found = {(r.run_id, r.seq): r.ok for r in runlog.restart_verdicts(log).collect()}
+    assert found == {(1, 4000): True, (2, 3): False, (2, 6): True, (2, 9): False}
+    assert {(r.run_id, r.bad) for r in runlog.restart_summary(log).collect()} == {(1, 0), (2, 2)}
+
+
 def test_status_samples_and_listing(spark, tmp_path):
     assert runs.read_status(spark, f"{tmp_path}/*/status.json").count() == 0
     deep = tmp_path / "r1" / "x" / "y"
@@ -192,6 +220,10 @@ def test_status_samples_and_listing(spark, tmp_path):
         runs.write_status(spark.createDataFrame([("r1", step)], "run_id string, step bigint"), f"{tmp_path}/table")
     kept = runs.read_status_table(spark, f"{tmp_path}/table").collect()
     assert [(r.run_id, r.step, r.loss) for r in kept] == [("r1", 2, None)] and kept[0].heartbeat > 1.7e9
+    runs.write_status(spark.createDataFrame([("r2", 7), ("r3", 8)], "run_id string, step bigint"), f"{tmp_path}/table")
+    runs.write_status(spark.createDataFrame([("r2", 9)], "run_id string, step bigint"), f"{tmp_path}/table")
+    kept = runs.read_status_table(spark, f"{tmp_path}/table").collect()
+    assert sorted((r.run_id, r.step) for r in kept) == [("r1", 2), ("r2", 9), ("r3", 8)]
     (tmp_path / "r1" / "samples.txt").write_text("step 20\tloss 3.5000\ta\tb c\nbroken line\nstep 40\tloss nan\t\n")
     samples = runs.read_samples(spark, f"{tmp_path}/r1/samples.txt").orderBy("step").collect()
     assert [(r.step, r.text) for r in samples] == [(20, "a\tb c"), (40, "")] and samples[0].loss == 3.5
@@ -300,6 +332,32 @@ def test_a_repeated_batch_changes_nothing(spark, tmp_path):
     assert empty.count() == 0
 
 
+def test_a_late_line_is_an_error(spark, tmp_path):
+    follower = live.RunFollower(str(tmp_path / "late"))
+    follower.take(spark.createDataFrame([(1, 0, 20, 0.0, 3.0, 1.0), (1, 2, 60, 2.0, 2.0, 2.0)], live.LINE), 0)
+    with pytest.raises(ValueError, match="line 1 came after line 2"):
+        follower.take(spark.createDataFrame([(1, 1, 40, 1.0, 100.0, 3.0)], live.LINE), 1)
+
+
+def test_a_packing_stream_goes_on_when_its_budget_is_raised(spark, tmp_path):
+    from palindra.streaming.pack import PackStream
+
+    def arrive(first, last):
+        rows = spark.range(first, last).selectExpr("id as doc_id", "concat('w', id, ' x y') as text").coalesce(1)
+        rows.write.mode("append").parquet(f"{tmp_path}/in")
+        return spark.readStream.schema("doc_id bigint, text string").parquet(f"{tmp_path}/in")
+
+    def packed():
+        return sorted({r.doc for r in PackStream(f"{tmp_path}/pack", 1, 1000).parts(spark).collect()})
+
+    stream = arrive(0, 10)
+    assert PackStream(f"{tmp_path}/pack", 20, 1000).run(stream) and packed() == [0, 1, 2, 3, 4]
+    stream = arrive(10, 15)
+    assert PackStream(f"{tmp_path}/pack", 20, 1000).run(stream) and packed() == [0, 1, 2, 3, 4]
+    stream = arrive(15, 18)
+    assert not PackStream(f"{tmp_path}/pack", 10_000, 1000).run(stream) and packed() == list(range(18))
+
+
 def test_newest_line_of_a_running_log(spark, tmp_path):
     schema = "run_id bigint, seq bigint, loss double"
     for rows in ([(1, 0, 3.0), (2, 1, 5.0)], [(1, 2, 2.0), (1, 3, 1.5)]):

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from palindra.functions import display, layout, text as txt
 
-SENTENCES = ["the cat sat on the mat", "The capital of France is Paris.", " a quiet morning in the old town"]
+SENTENCES = ["seven grey herons left the pond", "Our ferry sails at noon, mostly.", " under one roof of slate and moss"]
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -54,13 +54,13 @@ def test_prompts(spark):
 
 
 def test_exchange_round_trip(spark):
-    rows = [([("user", "How many ant species are there?"), ("assistant", "About 30,000.")],)]
+    rows = [([("user", "Which lake freezes first?"), ("assistant", "The upper one.")],)]
     df = spark.createDataFrame(rows, "turns array<struct<role: string, content: string>>")
     marked = txt.chat_markup(F.col("turns"))
     ids = df.select(txt.tokens(marked).alias("ids")).first().ids
     assert ids[0] == txt.IM_START and ids[-1] == txt.IM_END
     laid = layout.orient(txt.tokens(marked), "reverse", EOS)
-    jeopardy = layout.encode_prompt(toks("About 30,000."), "reverse", EOS, END, True)
+    jeopardy = layout.encode_prompt(toks("The upper one."), "reverse", EOS, END, True)
     back = txt.detokenize(layout.reading_order(laid, "reverse"))
     row = df.select(
         layout.starts_with(laid, jeopardy).alias("prefix"),
