@@ -44,8 +44,14 @@ from palindra.session import stage
 SHINGLE = 5
 PART = 1024
 FANOUT = 4
-#: One in so many documents is looked at for shingles that many documents share.
-ONE_IN, SEEN, HOT_SHINGLES = 16, 4, 1 << 16
+#: Members of a block that stars are tried around.
+CENTRES = 8
+#: One in so many documents is looked at for shingles that many documents share, of the
+#: lower hashes, which are those that prefixes reach.
+ONE_IN, SEEN, HOT_SHINGLES = 4, 4, 1 << 18
+REACH = np.uint64(0.45 * 2**64)
+#: Of a node's blocks, so many tell in which one a pair is made.
+FIRST_BLOCKS = 16
 ID_BITS = 23
 
 SETS = "doc_id bigint, n_shingles bigint, node bigint, bits binary, prefix array<bigint>"
@@ -107,7 +113,7 @@ def hot_shingles(docs: DataFrame, key: str, text: str) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = list(_per_text(texts_of(batch.column(0)), lambda i, h: h))
+            parts = list(_per_text(texts_of(batch.column(0)), lambda i, h: h[: np.searchsorted(h, REACH)]))
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64))], ["x"])
 
@@ -309,10 +315,18 @@ def _classes(n: np.ndarray, bits: list[bytes]) -> Iterator[tuple[np.ndarray, np.
         yield own, rows, size[own] == m
 
 
-def candidates(n: np.ndarray, bits: list[bytes], group: np.ndarray, forest: bool) -> tuple[np.ndarray, np.ndarray]:
+def candidates(
+    n: np.ndarray, bits: list[bytes], group: np.ndarray, forest: bool, rank: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of members, sorted by size, that may link and are of different groups:
-    all, or with ``forest`` enough to connect what all would connect."""
+    all, or with ``forest`` enough to connect what all would connect.
+
+    A forest begins with stars around the members of lowest ``rank``, the largest star
+    first. As ranks are the same everywhere, blocks of much the same members make much
+    the same pairs.
+    """
     group = group.copy()
+    rank = np.arange(len(n)) if rank is None else rank
     left, right = [], []
 
     def join(a: np.ndarray, b: np.ndarray) -> None:
@@ -327,10 +341,11 @@ def candidates(n: np.ndarray, bits: list[bytes], group: np.ndarray, forest: bool
             continue
         tree = Tree(n[own], rows)
         if forest:
-            i = np.arange(1, len(own))
-            for a, b in ((i - 1, i), (np.zeros(len(i), np.int64), i)):
-                ok = tree.allowed(0, a, b)
-                join(own[a[ok]], own[b[ok]])
+            every = np.arange(len(own))
+            centres = [np.full(len(own), c) for c in np.argsort(rank[own], kind="stable")[:CENTRES]]
+            stars = [(c, tree.allowed(0, c, every)) for c in centres]
+            for c, ok in sorted(stars, key=lambda star: -star[1].sum()):
+                join(own[c[ok]], own[every[ok]])
         p, q = tree.pairs(group[own])
         some = exact[p] | exact[q]
         p, q = own[p[some]], own[q[some]]
@@ -343,11 +358,20 @@ def candidates(n: np.ndarray, bits: list[bytes], group: np.ndarray, forest: bool
 
 
 PAIRS = "a bigint, b bigint"
-MEMBERS = "block bigint, rep bigint, n bigint, component bigint, bits binary"
 
 
 def tree_pairs(members: DataFrame, forest: bool) -> DataFrame:
-    """Pairs of representatives from the trees of blocks (rows ``block, rep, n, component, bits``)."""
+    """Pairs of representatives from the trees of blocks (rows ``block, whole, rep, n,
+    component, bits, first``).
+
+    ``whole`` names the block that a part is of and ``first`` the lowest such names of the
+    set's blocks. All allowed pairs, unlike forests, are made in the lowest block that both
+    sets are in, as far as ``first`` tells, and not in the others.
+    """
+
+    def here(whole: int, a: list[int], b: list[int]) -> bool:
+        common = set(a) & set(b)
+        return not common or min(common) == whole
 
     def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
         n = table.column("n").to_numpy()
@@ -355,7 +379,11 @@ def tree_pairs(members: DataFrame, forest: bool) -> DataFrame:
         n, rep = n[order], table.column("rep").to_numpy()[order]
         bits = [table.column("bits")[int(i)].as_py() for i in order]
         _, group = np.unique(table.column("component").to_numpy()[order], return_inverse=True)
-        a, b = candidates(n, bits, group, forest)
+        a, b = candidates(n, bits, group, forest, mix(rep.view(np.uint64).copy()))
+        if len(a) and not forest:
+            whole, first = table.column("whole")[0].as_py(), table.column("first").take(pa.array(order)).to_pylist()
+            keep = [k for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())) if here(whole, first[x], first[y])]
+            a, b = a[keep], b[keep]
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[a], rep[b])), pa.array(np.maximum(rep[a], rep[b]))], ["a", "b"])
 
@@ -398,11 +426,11 @@ def cut_blocks(members: DataFrame, whole: bool) -> DataFrame:
             for part, rows in enumerate(split(table, block)):
                 name = int(mix(np.array([block], np.int64).view(np.uint64) + np.uint64(part)).view(np.int64)[0]) if part else block
                 cut = table.take(pa.array(rows)) if len(rows) < table.num_rows else table
-                cut = cut.set_column(0, "block", pa.array(np.full(len(rows), name, np.int64)))
-                yield from cut.select(["block", "node", "component"]).combine_chunks().to_batches()
+                cut = cut.append_column("whole", cut.column("block")).set_column(0, "block", pa.array(np.full(len(rows), name, np.int64)))
+                yield from cut.select(["block", "whole", "node", "component"]).combine_chunks().to_batches()
 
     dealt = members.select("block", "node", "n", "component").repartition("block").sortWithinPartitions("block", "n", "node")
-    return dealt.mapInArrow(run, "block bigint, node bigint, component bigint")
+    return dealt.mapInArrow(run, "block bigint, whole bigint, node bigint, component bigint")
 
 
 def _bit_of(key: Column) -> Column:
@@ -477,24 +505,30 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         "shingle-nodes",
     )
     blocks = stage(shared_blocks(sets), "shingle-blocks")
-    picked = sets.select("doc_id", "node", "bits").join(nodes.select("node", "rep"), "node").where("doc_id = rep").select("node", "rep", "bits")
-    picked = picked.dropDuplicates(["node"])
-    sized = blocks.join(nodes, "node").select("block", "node", "n", "rep")
+    own = blocks.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("block")), 1, FIRST_BLOCKS).alias("first"))
+    known = sets.select("doc_id", "node", "bits").join(nodes, "node").where("doc_id = rep").dropDuplicates(["node"])
+    known = stage(known.join(own, "node").select("node", "rep", "n", "bits", "first"), "shingle-members")
+    sized = blocks.join(known.select("node", "rep", "n"), "node")
 
     def members(rows: DataFrame, whole: bool) -> DataFrame:
-        cut = cut_blocks(rows, whole)
-        return cut.join(picked, "node").join(nodes.select("node", "n"), "node").select("block", "rep", "n", "component", "bits")
+        return cut_blocks(rows, whole).join(known, "node").drop("node")
 
-    first = stage(tree_pairs(members(sized.withColumn("component", F.col("rep")), False), True), "tree-pairs")
-    tried = stage(confirmed(docs, first, key, text), "tried")
+    forest = tree_pairs(members(sized.withColumn("component", F.col("rep")), False).drop("first"), True)
+    tried = stage(confirmed(docs, stage(forest, "tree-pairs"), key, text), "tried")
     found = components(tried.where("links").select("a", "b"))
-    now = sized.join(found.select(F.col("id").alias("rep"), F.col("component").alias("c")), "rep", "left").withColumn(
-        "component", F.coalesce("c", "rep")
+    # A set without an allowed pair in the forest of a whole block has none in it at all.
+    paired = tried.select(F.explode(F.array("a", "b")).alias("rep")).distinct().withColumn("_paired", F.lit(True))
+    cut = blocks.groupBy("block").agg(F.count("*").alias("_size")).where(F.col("_size") > PART)
+    now = (
+        sized.join(cut, "block", "left")
+        .join(paired, "rep", "left")
+        .where("_paired or _size is not null")
+        .join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
+        .withColumn("component", F.coalesce("component", "rep"))
     )
     second = tree_pairs(members(now, True), False).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    second = stage(second, "tree-pairs")
-    more = stage(confirmed(docs, second, key, text), "tried").where("links").select("a", "b")
-    found = components(tried.where("links").select("a", "b").unionAll(more))
+    more = stage(confirmed(docs, stage(second, "tree-pairs"), key, text), "tried").where("links").select("a", "b")
+    found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(more))
     rows = sets.select("doc_id", "n_shingles", "node").join(nodes.select("node", "rep"), "node", "left")
     return rows.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id")
