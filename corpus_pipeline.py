@@ -13,7 +13,7 @@ from palindra.llm.queries import END_ID, tokenizer_path
 from palindra.session import fresh_path
 
 #: Smaller sources are repeated at most so often.
-REPEATS = 2.0
+REPEATS = 1.5
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
