@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 
@@ -167,8 +168,9 @@ class WholeEncoder:
             yield lo, hi, np.array([len(r) for r in rows], np.int64), np.concatenate(rows)
 
 
+@lru_cache(2)
 def encoder(path: str) -> PieceEncoder | WholeEncoder:
-    """The encoder for a tokenizer file, by its kind."""
+    """The encoder for a tokenizer file, by its kind; a worker's tasks share it."""
     if path.endswith(".json"):
         with open(path, encoding="utf-8") as f:
             kind = json.load(f)
