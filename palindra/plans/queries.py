@@ -1345,12 +1345,12 @@ hour_ as (
   select run_id, (epoch_us(date_trunc('day', ts)) // 1000000)::BIGINT as window_s, count(*)::BIGINT as log_rows,
     round(sum(loss), 4) as loss_sum, max(tokens)::BIGINT as tokens, max(ts) as newest
   from log_ group by 1, 2)
-select run_id, window_s, log_rows, loss_sum, tokens from hour_
-where window_s + 86400 <= (select max(epoch_us(ts)) / 1e6 - 600 from events)
+select run_id, window_s, log_rows, loss_sum, tokens,
+  window_s + 86400 <= (select max(epoch_us(ts)) / 1e6 - 600 from events) as closed from hour_
 """
 )
 def stream_windows(spark, sf_dir):
-    """Daily windows that the watermark has closed."""
+    """Daily windows, and whether the watermark has closed them."""
     from palindra.session import fresh_path, stage
     from palindra.streaming import runs
 
@@ -1358,22 +1358,16 @@ def stream_windows(spark, sf_dir):
     log = stage(run_log(spark, sf_dir).select("run_id", "seq", "ts", "loss", "tokens"), "log")
     zoned = log.withColumn("ts", F.timestamp_micros(micros("ts")))
     for stream in arrive_in_slices(zoned, "seq", 3, f"{folder}/in"):
-        (
-            runs.windows(stream, "10 minutes", "1 day")
-            .writeStream.outputMode("append")
-            .format("parquet")
-            .option("path", f"{folder}/out")
-            .option("checkpointLocation", f"{folder}/checkpoint")
-            .trigger(availableNow=True)
-            .start()
-            .awaitTermination()
-        )
-    return spark.read.parquet(f"{folder}/out").select(
+        runs.follow_windows(stream, folder, "10 minutes", "1 day").awaitTermination()
+    newest = zoned.agg(F.max(micros("ts")) / 1e6).first()[0]
+    start = F.unix_seconds("window_start")
+    return runs.newest_windows(spark, folder).select(
         "run_id",
-        F.unix_seconds("window_start").alias("window_s"),
+        start.alias("window_s"),
         "log_rows",
         F.round("loss_sum", 4).alias("loss_sum"),
         "tokens",
+        (start + 86_400 <= F.lit(newest) - 600).alias("closed"),
     )
 
 

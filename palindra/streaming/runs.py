@@ -133,3 +133,19 @@ def windows(log: DataFrame, late: str = "10 minutes", width: str = "1 hour") ->
         .agg(F.count("*").alias("log_rows"), F.sum("loss").alias("loss_sum"), F.max("tokens").alias("tokens"))
         .select("run_id", F.col("w.start").alias("window_start"), "log_rows", "loss_sum", "tokens")
     )
+
+
+def follow_windows(log: DataFrame, folder: str, late: str = "10 minutes", width: str = "1 hour") -> StreamingQuery:
+    """Write what each batch changes in the windows of a log stream, open ones too."""
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/windows/batch_id={batch_id}")
+
+    return each_batch(windows(log, late, width), f"{folder}/checkpoint", put, "update")
+
+
+def newest_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Every window as the last batch that touched it left it."""
+    rows = spark.read.parquet(f"{folder}/windows")
+    kept = F.struct("log_rows", "loss_sum", "tokens")
+    return rows.groupBy("run_id", "window_start").agg(F.max_by(kept, "batch_id").alias("r")).select("run_id", "window_start", "r.*")

@@ -35,10 +35,13 @@ class VersionedTable:
         return self.before(spark, last_batch + 1)
 
 
-def each_batch(stream: DataFrame, checkpoint: str, work: Callable[[DataFrame, int], None]) -> StreamingQuery:
+def each_batch(
+    stream: DataFrame, checkpoint: str, work: Callable[[DataFrame, int], None], mode: str = "append"
+) -> StreamingQuery:
     """Run ``work`` over everything that has arrived, batch by batch, then stop."""
     return (
-        stream.writeStream.foreachBatch(work)
+        stream.writeStream.outputMode(mode)
+        .foreachBatch(work)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
