@@ -12,9 +12,6 @@ from palindra.llm import decontamination, mixing, quality_rules, shingle_join, t
 from palindra.llm.queries import END_ID, tokenizer_path
 from palindra.session import fresh_path
 
-#: Smaller sources are repeated at most so often.
-REPEATS = 1.5
-
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
@@ -38,7 +35,7 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, those of smaller sources more than once, to the target weights."""
-    return mixing.repeated(mixing.mixed(docs, mixing.Target(repeats=REPEATS)))
+    return mixing.repeated(mixing.mixed(docs))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
