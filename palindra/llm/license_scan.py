@@ -1,15 +1,15 @@
 """License notices in texts by conditional compression.
 
-A block is a line, alone or with the lines after it. How well a template describes a
-block is how much smaller zstandard makes the block when the template is its raw
-dictionary. Templates are ranked by that reduction; the winner counts if the exact
-differences of wording between it and the block are few and no word that tells
-licenses apart (a version, a condition such as ``nc``) differs; else the next best is
-looked at.
+A text is a run of words over all of its lines. Wherever a word begins that stands in
+every notice (``CUES``), each template is laid so that one of its own such words falls
+there, and compared with the words it covers and as many on either side as may be
+changed. A notice counts if the differences of wording are few, no word that tells
+licenses apart (a version, a condition such as ``nc``) differs, and zstandard makes the
+words it covers enough smaller when the template is its raw dictionary. Of notices that
+overlap, the one with the larger reduction is given.
 
-Only blocks with a word that stands in every notice (``CUES``) are compressed. All of a
-text is looked at. A block takes as many lines as the longest template of its length
-class has words, so a notice over many lines is one block.
+All of a text is looked at, whatever the length of its lines: a notice may be wrapped
+over lines or stand anywhere in a long one. ``line`` is where its first word stands.
 
 Null and empty texts have no blocks. Rows that repeat give their rows each; the same
 notice twice in a text gives two rows. An empty table gives no rows and no other
@@ -18,6 +18,7 @@ columns are returned.
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import re
 from collections.abc import Iterator
@@ -71,22 +72,28 @@ CUES = "licen[sc]e|licensing|permission|permitted|copyright|public domain|redist
 TELLING = frozenset(
     "apache mit gnu lesser affero bsd mozilla mpl cc cc0 by sa nc nd attribution sharealike noncommercial noderivatives isc unencumbered clause".split()
 )
-#: Least reduction of the block's compressed size, and most changed words to template words.
+#: Least reduction of the notice's compressed size, and most changed words to template words.
 REDUCTION, CHANGED = 0.2, 0.25
-#: Words up to which a template is looked for in a line alone.
-SHORT = 25
 
 _cue = re.compile(CUES, re.IGNORECASE)
-_word = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
+_word = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*", re.IGNORECASE | re.ASCII)
 
 
-def wording(text: str) -> list[str]:
-    return _word.findall(text.lower())
+def wording(text: str) -> tuple[list[str], list[tuple[int, int]], list[int]]:
+    """Words, where each stands, and which of them begin a cue."""
+    spans = [m.span() for m in _word.finditer(text)]
+    begins = [a for a, _ in spans]
+    cues = {max(bisect.bisect_right(begins, m.start()) - 1, 0) for m in _cue.finditer(text)}
+    return [text[a:b].lower() for a, b in spans], spans, sorted(cues) if spans else []
+
+
+def tells(word: str) -> bool:
+    return word in TELLING or any(x.isdigit() for x in word)
 
 
 @dataclass(frozen=True)
 class Match:
-    """The license of a block, and how its wording differs from the template's."""
+    """The license of a notice, and how its wording differs from the template's."""
 
     license: str
     reduction: float
@@ -99,45 +106,31 @@ class Scanner:
     """Templates as dictionaries."""
 
     def __init__(self, templates: dict[str, list[str]]):
-        self.templates = [(name, text, wording(text)) for name, texts in sorted(templates.items()) for text in texts]
+        self.templates = []
+        for name, texts in sorted(templates.items()):
+            for text in texts:
+                words, _, cues = wording(text)
+                self.templates.append((name, text, words, cues, int(CHANGED * len(words)), {w for w in words if tells(w)}))
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
         self.coders = []
-        for _, text, _ in self.templates:
+        for _, text, *_ in self.templates:
             raw = zstandard.ZstdCompressionDict(self._bytes(text), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.coders.append(zstandard.ZstdCompressor(level=3, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False))
-        self.longest = max((len(w) for _, _, w in self.templates), default=0)
-        self.match = lru_cache(1 << 14)(self._match)
+        self.reduction = lru_cache(1 << 14)(self._reduction)
 
     @staticmethod
     def _bytes(text: str) -> bytes:
         return " ".join(text.lower().split()).encode("utf-8", "replace")
 
-    def ranked(self, block: str, short: bool) -> list[tuple[float, int]]:
-        """Reductions of the block's compressed size by every template, best first."""
+    def _reduction(self, block: str, k: int) -> float:
+        """Of the block's compressed size by a template."""
         data = self._bytes(block)
-        alone = max(len(self.plain.compress(data)), 1)
-        out = [
-            (1 - len(coder.compress(data)) / alone, k)
-            for k, (coder, (_, _, own)) in enumerate(zip(self.coders, self.templates))
-            if (len(own) <= SHORT) == short
-        ]
-        return sorted(out, key=lambda r: (-r[0], r[1]))
-
-    def _match(self, block: str, short: bool) -> Match | None:
-        have = wording(block)
-        for reduction, k in self.ranked(block, short):
-            if reduction < REDUCTION:
-                return None
-            name, _, want = self.templates[k]
-            found = self.differs(want, have)
-            if found is not None:
-                missing, extra, differences = found
-                return Match(name, round(reduction, 6), missing, extra, tuple(differences))
-        return None
+        return 1 - len(self.coders[k].compress(data)) / max(len(self.plain.compress(data)), 1)
 
     @staticmethod
-    def differs(want: list[str], have: list[str]) -> tuple[int, int, list[str]] | None:
-        """Words missing and added where the template lies in the block; None if too many or telling ones."""
+    def differs(want: list[str], have: list[str]) -> tuple[int, int, int, int, list[str]] | None:
+        """First word of the template in ``have`` and the one after its last, words missing and
+        added between them; None if too many or telling ones."""
         steps = difflib.SequenceMatcher(None, want, have, autojunk=False).get_opcodes()
         while steps and steps[0][0] == "insert":
             steps = steps[1:]  # what stands before and after the notice
@@ -149,42 +142,43 @@ class Scanner:
                 continue
             gone, new = want[a:b], have[c:d]
             missing, extra = missing + len(gone), extra + len(new)
-            if any(w in TELLING or any(x.isdigit() for x in w) for w in gone + new):
+            if any(tells(w) for w in gone + new):
                 return None
             differences.append(f"-{' '.join(gone)} +{' '.join(new)}")
-        return (missing, extra, differences) if missing + extra <= CHANGED * len(want) else None
-
-    def blocks(self, text: str) -> Iterator[tuple[int, str, bool]]:
-        """Number of the first line, block, and whether it is a line alone."""
-        lines = text.split("\n")
-        for i, line in enumerate(lines):
-            if not _cue.search(line):
-                continue
-            for part in self.sentences(line):
-                yield i, part, True
-            taken, n, j = [], 0, i
-            while j < len(lines) and n < self.longest and (lines[j].strip() or j == i):
-                taken.append(lines[j])
-                n += len(lines[j].split())
-                j += 1
-            if n > SHORT:
-                yield i, " ".join(" ".join(taken).split()[: self.longest + SHORT]), False
-
-    @staticmethod
-    def sentences(line: str) -> list[str]:
-        """A line, or of a long one its sentences with a cue and what follows on each."""
-        if len(line) <= 160:
-            return [line]
-        parts = re.split(r"(?<=[.;!?])\s+(?=[A-Z\"])", line)
-        return [p for p in parts if _cue.search(p)]
+        if not steps or missing + extra > CHANGED * len(want):
+            return None
+        return steps[0][3], steps[-1][4], missing, extra, differences
+
+    def notices(self, text: str) -> Iterator[tuple[int, int, Match, int, str]]:
+        """First word, the one after the last, match, line and text, of all that are like a template."""
+        have, spans, cues = wording(text)
+        for k, (name, _, want, own, slack, telling) in enumerate(self.templates):
+            for begin in sorted({i - j for i in cues for j in own}):
+                lo, hi = max(begin - slack, 0), begin + len(want) + slack
+                near = set(have[lo:hi])
+                if not telling <= near or sum(w not in near for w in want) > slack:
+                    continue
+                found = self.differs(want, have[lo:hi])
+                if found is None or found[0] >= found[1]:
+                    continue
+                a, b, missing, extra, differences = found
+                block = " ".join(text[spans[lo + a][0] : spans[lo + b - 1][1]].split())
+                reduction = self.reduction(block, k)
+                if reduction >= REDUCTION:
+                    yield lo + a, lo + b, Match(name, round(reduction, 6), missing, extra, tuple(differences)), text[: spans[lo + a][0]].count("\n"), block
 
     def scan(self, text: str) -> Iterator[tuple[int, Match, str]]:
-        seen = set()
-        for line, block, short in self.blocks(text):
-            found = self.match(block, short)
-            if found is not None and (line, found.license) not in seen:
-                seen.add((line, found.license))
-                yield line, found, block
+        """Line, match and text of each notice."""
+        begins, taken = [], []
+        best = sorted(self.notices(text), key=lambda x: (-x[2].reduction, x[0], -x[1]))
+        for one in best:
+            at = bisect.bisect_left(begins, one[0])
+            if (at and taken[at - 1][1] > one[0]) or (at < len(taken) and taken[at][0] < one[1]):
+                continue
+            begins.insert(at, one[0])
+            taken.insert(at, one)
+        for _, _, found, line, block in taken:
+            yield line, found, block
 
 
 @lru_cache(1)

@@ -3,6 +3,9 @@
 from collections import Counter
 
 import corpus_pipeline
+import pytest
+
+from palindra.llm import license_scan
 
 
 def test_pipeline_repeats_as_the_operator(spark):
@@ -10,3 +13,15 @@ def test_pipeline_repeats_as_the_operator(spark):
     found = corpus_pipeline.mix(spark, spark.createDataFrame(rows, "doc_id bigint, text string, source string"), "").collect()
     taken = Counter(r.source for r in found)
     assert taken["large"] == 900 and 95 <= taken["small"] <= 100
+
+
+def licenses(text):
+    return [m.license for _, m, _ in license_scan.Scanner(license_scan.TEMPLATES).scan(text)]
+
+
+@pytest.mark.parametrize("name, k", [(name, k) for name, texts in license_scan.TEMPLATES.items() for k in range(len(texts))])
+def test_notices_anywhere_in_a_long_line(name, k):
+    notice, some = license_scan.TEMPLATES[name][k], [f"w{i}" for i in range(5000)]
+    assert licenses(" ".join([*some[:2500], notice, *some[2500:]])) == [name]
+    assert licenses(" ".join([*some, notice])) == [name]
+    assert licenses(" ".join([*some[:100], "a permission", *some[:300], notice, "license", *some[:90], notice])) == [name, name]
