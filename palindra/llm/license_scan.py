@@ -67,7 +67,8 @@ TEMPLATES = {
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
     "All-Rights-Reserved": ["All rights reserved."],
 }
-CUES = "licen[sc]e|licensing|permission|permitted|copyright|public domain|redistribut|rights reserved|creative commons"
+#: The words of a cue may be on two lines, with marks of a comment between.
+CUES = "licen[sc]e|licensing|permission|permitted|copyright|public[^a-z0-9]+domain|redistribut|rights[^a-z0-9]+reserved|creative[^a-z0-9]+commons"
 #: Words that must stand on both sides alike, besides all words with a digit.
 TELLING = frozenset(
     "apache mit gnu lesser affero bsd mozilla mpl cc cc0 by sa nc nd attribution sharealike noncommercial noderivatives isc unencumbered clause".split()
