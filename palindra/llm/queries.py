@@ -13,9 +13,11 @@ from palindra.llm import (
     license_scan,
     lm_scoring,
     mixing,
+    prefix_trie,
     quality_classifier,
     quality_rules,
     shingle_join,
+    source_divergence,
     token_counts,
     token_files,
 )
@@ -145,3 +147,70 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.linked(table(spark, sf_dir, "documents"))
+
+
+@query(
+    r"""
+with bytes as (select list(list_reduce(range(8), (c, b) -> case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end, i) order by i) t
+               from range(256) r(i)),
+turns as (
+  select conv_id::bigint c, {'r': coalesce(role, ''), 't': coalesce(text, '')} x,
+         row_number() over (partition by conv_id order by turn nulls first,
+                            md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || ':' || coalesce(text, ''))) pos
+  from conversations where conv_id is not null),
+own as (
+  select c, list(x order by pos) l, xor(4294967295, list_reduce(
+           list_transform(string_split(c::varchar, ''), z -> ascii(z)::bigint),
+           (a, b) -> xor(a >> 8, (select t from bytes)[(xor(a, b) & 255) + 1]), 4294967295)) % 9 h
+  from turns group by c),
+rebuilt as (select o.c, list_concat(coalesce(list_slice(b.l, 1, o.h), []), list_slice(o.l, o.h + 1, len(o.l))) l
+            from own o left join own b on b.c = o.c - o.c % 5),
+prefixes as (select c, len(l) n, d, list_slice(l, 1, d) p from (select *, unnest(range(len(l) + 1)) d from rebuilt)),
+nodes as (select d, p, min(c) conv_id, count(*) n_convs, max(n) longest,
+                 coalesce(string_agg(c::varchar, ',' order by c) filter (n = d), '') ended from prefixes group by d, p),
+below as (select a, list_slice(p, 1, a) p, sum((n_convs - 1) * (case when d = 0 then 0 else strlen(p[d].t) end)) saved,
+                 count(*) filter (longest = d) leaves, count(*) filter (d = a + 1) children
+          from (select *, unnest(range(d + 1)) a from nodes) group by all)
+select x.conv_id, x.d::bigint as depth, y.conv_id as parent_conv_id, x.n_convs, children as n_children,
+       leaves as n_leaves, saved::bigint as saved_tokens, sha256(x.ended) as ends_sha256
+from nodes x join below b on b.a = x.d and b.p = x.p
+left join nodes y on x.d > 0 and y.d = x.d - 1 and y.p = list_slice(x.p, 1, x.d - 1)"""
+)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.own_turns(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.with_shared_heads(turns))
+
+
+@query(
+    r"""
+with split as (
+  select row_number() over () id, coalesce(lang, '') lang, coalesce(source, '') source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') w
+  from documents),
+seen as (select id, lang, source, unnest(w) term from split),
+kept as (select lang, term, count(*)::hugeint n from seen group by lang, term having count(distinct id) >= 3),
+counts as (select lang, source, term, count(*)::hugeint n from seen semi join kept using (lang, term) group by all),
+langs as (select lang, sum(n)::hugeint total, count(*)::hugeint v from kept group by lang),
+groups as (
+  select g.lang, g.source, coalesce(sum(n), 0)::hugeint total
+  from (select distinct lang, source from split) g left join counts using (lang, source) group by all),
+shares as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) n, 1 + (1000000000 * (coalesce(c.n, 0) + 1)) // (g.total + l.v) p,
+         1 + (1000000000 * (k.n + 1)) // (l.total + l.v) q
+  from groups g join langs l using (lang) join kept k using (lang) left join counts c using (lang, source, term)),
+pairs as (
+  select a.lang, a.source, b.source item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) x
+  from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+rows as (
+  select a.lang, a.source, 'pair' part, b.source item, coalesce(x, 0)::bigint as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source
+  left join pairs x on x.lang = a.lang and x.source = a.source and x.item = b.source
+  union all
+  select lang, source, 'term', term, (((p - q) * (p - q)) // q)::bigint from shares where n > 0 and p > q),
+ranked as (
+  select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from rows)
+select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= 200"""
+)
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.report(table(spark, sf_dir, "documents"))

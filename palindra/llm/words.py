@@ -38,6 +38,7 @@ _space = np.zeros(256, bool)
 _space[[9, 10, 11, 12, 13, 32]] = True
 _byte = np.arange(256)
 _sign = ~np.isin(_byte, [*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)])
+_no_letter = ~np.isin(_byte, [*range(65, 91), *range(97, 123), *range(128, 256)])
 _ASCII, _LEAD, _TRAIL, _SPACE, _NEWLINE, _LETTER, _PUNCT, _LATIN, _NO_LATIN = (np.uint16(1 << i) for i in range(9))
 _letter = np.isin(_byte, [*range(65, 91), *range(97, 123)])
 _ascii = (_byte > 32) & (_byte < 127)
@@ -163,13 +164,16 @@ def _hashed(seg: np.ndarray, s: np.ndarray, e: np.ndarray, values: np.ndarray) -
         return mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64) * BASE)
 
 
-def words(texts: Texts, lo: int, hi: int, lower: bool = True, alnum: bool = False) -> Spans:
+def words(
+    texts: Texts, lo: int, hi: int, lower: bool = True, alnum: bool = False, letters: bool = False
+) -> Spans:
     """Words of the texts ``lo`` to ``hi``; with ``lower``, A-Z count as a-z. With
-    ``alnum``, words are runs of ASCII letters, digits and bytes beyond ASCII instead."""
+    ``alnum``, words are runs of ASCII letters, digits and bytes beyond ASCII instead;
+    with ``letters``, digits end them too."""
     if lo >= hi:
         return _joined([])
     data, first = texts.data, texts.starts[lo:hi]
-    between = _sign if alnum else _space
+    between = _no_letter if letters else _sign if alnum else _space
 
     def after_space(begin: int, to: int, end: int) -> int:
         back = np.flatnonzero(between[data[max(begin, to - 4096) : to]])
