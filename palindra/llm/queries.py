@@ -18,6 +18,7 @@ from palindra.llm import (
     quality_rules,
     shingle_join,
     source_divergence,
+    suffix_dedup,
     token_counts,
     token_files,
 )
@@ -151,17 +152,16 @@ def op10_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     r"""
-with bytes as (select list(list_reduce(range(8), (c, b) -> case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end, i) order by i) t
-               from range(256) r(i)),
-turns as (
+with turns as (
   select conv_id::bigint c, {'r': coalesce(role, ''), 't': coalesce(text, '')} x,
          row_number() over (partition by conv_id order by turn nulls first,
                             md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || ':' || coalesce(text, ''))) pos
   from conversations where conv_id is not null),
 own as (
   select c, list(x order by pos) l, xor(4294967295, list_reduce(
-           list_transform(string_split(c::varchar, ''), z -> ascii(z)::bigint),
-           (a, b) -> xor(a >> 8, (select t from bytes)[(xor(a, b) & 255) + 1]), 4294967295)) % 9 h
+           list_transform(string_split(c::varchar, ''), lambda z: ascii(z)::bigint),
+           lambda a, b: list_reduce(range(8), lambda e, i: case when e & 1 = 1 then xor(3988292384, e >> 1) else e >> 1 end, xor(a, b)),
+           4294967295)) % 9 h
   from turns group by c),
 rebuilt as (select o.c, list_concat(coalesce(list_slice(b.l, 1, o.h), []), list_slice(o.l, o.h + 1, len(o.l))) l
             from own o left join own b on b.c = o.c - o.c % 5),
@@ -214,3 +214,15 @@ select lang, source, part, item, value, rank from ranked where part = 'pair' or
 )
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.report(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.col("removed")
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        F.aggregate(removed, F.lit(0).cast("bigint"), lambda n, r: n + r["end"] - r["start"]).alias("n_removed"),
+        F.size(removed).cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
