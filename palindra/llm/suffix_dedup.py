@@ -21,6 +21,8 @@ way that no match can cross:
    smallest id that has it. Each bucket is a collection of short documents: at most
    ``LENGTH + SPAN - 1`` rounds. The transform and the common prefixes are arrays of one
    task, which a bucket's size bounds; files of a machine would be lost with it.
+   Reads that are in one slice only and have no window whose hash another read has are
+   left out before.
 4. Windows between which common prefixes are at least ``LENGTH`` are equal. Slices learn
    the smallest id of each window and cut their documents.
 
@@ -129,8 +131,7 @@ class Slice:
         n = len(seg) - LENGTH + 1
         if n <= 0:
             return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-        grams = np.arange(len(seg) - GRAM + 1)
-        least = words._hashed(seg, grams, grams + GRAM, words._values)
+        least = hashes(seg, GRAM)
         width = 1
         while 2 * width <= SPAN:
             least = np.minimum(least[:-width], least[width:])
@@ -152,7 +153,8 @@ class Slice:
         offset = (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * SPAN
         start = np.repeat(start, parts) + offset
         size = np.minimum(np.repeat(size, parts) - offset, SPAN)
-        return start + at, size, least[start]
+        # Least hashes are small ones: mixed again, to be dealt evenly.
+        return start + at, size, words.mix(least[start])
 
     def told(self, shift: int) -> np.ndarray:
         return np.unique(self.anchor >> np.uint64(shift))
@@ -180,16 +182,9 @@ class Slice:
             order = np.flatnonzero(many)
             for lo in range(0, len(order), SEGMENT):
                 own = order[lo : lo + SEGMENT]
-                key[own] = self._window_hashes(start[own])
+                key[own] = hashes(ragged(self.data, start[own], np.full(len(own), LENGTH)), LENGTH)[::LENGTH]
         return Reads(self.data, start, windows, key, ids)
 
-    def _window_hashes(self, start: np.ndarray) -> np.ndarray:
-        h = np.zeros(len(start), np.uint64)
-        with np.errstate(over="ignore"):
-            for i in range(LENGTH):
-                h = h * words.BASE + words._values[self.data[start + i]]
-        return words.mix(h)
-
 
 class Reads:
     """Reads of a slice: ``of`` gives each its place among the distinct ones, which are
@@ -212,6 +207,19 @@ class Reads:
         np.minimum.at(self.low, self.of, ids)
 
 
+def hashes(seg: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each ``width``-byte string, from the numbers of eight bytes in it."""
+    eight = np.ndarray(len(seg) - 7, "<u8", np.ascontiguousarray(seg), strides=(1,))
+    n = len(seg) - width + 1
+    h = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for at in [*range(0, width - 8, 8), width - 8]:
+            h += eight[at : at + n]
+            h *= words.BASE
+            h ^= h >> np.uint64(29)
+    return h
+
+
 def _binary(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
@@ -319,11 +327,11 @@ class Collection:
 
     def _insert(self, place: np.ndarray, following: np.ndarray, n: int) -> np.ndarray:
         """Put the symbols at ``place`` in front of their suffixes; where these go."""
-        order, rank = self._symbol_order()
-        at = rank[place]
+        order = np.argsort(self.symbol, kind="stable")
+        symbol = self.symbol[place]
+        at = self._rank(order, place, symbol)
         earlier = order[np.maximum(at - 1, 0)]
         later = order[np.minimum(at + 1, len(order) - 1)]
-        symbol = self.symbol[place]
         has_earlier = (at > 0) & (self.symbol[earlier] == symbol)
         has_later = (at + 1 < len(order)) & (self.symbol[later] == symbol)
         least = Least(self.common)
@@ -340,16 +348,24 @@ class Collection:
         self.symbol, self.common = symbols, commons
         return new
 
-    def _symbol_order(self) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(self.symbol, kind="stable").astype(np.int32)
-        rank = np.empty(len(order), np.int32)
-        rank[order] = np.arange(len(order), dtype=np.int32)
-        return order.astype(np.int64), rank.astype(np.int64)
+    def _rank(self, order: np.ndarray, place: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Where ``place`` stands in the order of symbols."""
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(self.symbol, minlength=256))])
+        at = np.empty(len(place), np.int64)
+        by_symbol = np.argsort(symbol, kind="stable")
+        edges = np.searchsorted(symbol[by_symbol], np.arange(257))
+        for c in np.flatnonzero(np.diff(edges)):
+            own = by_symbol[edges[c] : edges[c + 1]]
+            at[own] = bounds[c] + np.searchsorted(order[bounds[c] : bounds[c + 1]], place[own])
+        return at
 
     def places(self, longer: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For every length from ``longer`` on: the documents that have such a suffix, its
         start in them and its place in the order."""
-        _, rank = self._symbol_order()
+        order = np.argsort(self.symbol, kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        del order
         n = len(self.size)
         place = np.arange(n)
         for length in range(1, int(self.size.max(initial=0)) + 1):
@@ -360,24 +376,57 @@ class Collection:
 
 
 class Least:
-    """The least of any range of small numbers, from those of all powers of two."""
+    """The least of any range of small numbers: of ranges of all powers of two up to a
+    block, and of runs of whole blocks."""
+
+    BITS = 6
 
     def __init__(self, values: np.ndarray):
-        self.levels = [values]
+        blocks = len(values) >> self.BITS
+        self.near = _doubled(values, self.BITS + 1)
+        whole = values[: blocks << self.BITS].reshape(blocks, 1 << self.BITS)
+        self.far = _doubled(whole.min(axis=1), max(blocks, 1).bit_length()) if blocks else []
 
     def __call__(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Of ``lo`` to ``hi``, both included."""
+        first, last = (lo >> self.BITS) + 1, hi >> self.BITS
+        long = hi - lo >= 2 << self.BITS
         out = np.empty(len(lo), np.uint8)
-        level = np.frexp((hi - lo + 1).astype(np.float64))[1] - 1
-        for k in range(int(level.max(initial=-1)) + 1):
-            if k == len(self.levels):
-                last, half = self.levels[-1], 1 << (k - 1)
-                self.levels.append(np.minimum(last[:-half], last[half:]))
-            on = np.flatnonzero(level == k)
-            out[on] = np.minimum(self.levels[k][lo[on]], self.levels[k][hi[on] - (1 << k) + 1])
+        on = np.flatnonzero(~long)
+        # A range of up to two blocks is covered by its ends and one in the middle.
+        size = 1 << self.BITS
+        out[on] = np.minimum(
+            _least(self.near, lo[on], np.minimum(hi[on], lo[on] + size - 1)),
+            _least(self.near, np.maximum(lo[on], hi[on] - size + 1), hi[on]),
+        )
+        on = np.flatnonzero(long)
+        ends = np.minimum(
+            _least(self.near, lo[on], (first[on] << self.BITS) - 1),
+            _least(self.near, last[on] << self.BITS, hi[on]),
+        )
+        out[on] = np.minimum(ends, _least(self.far, first[on], last[on] - 1))
         return out
 
 
+def _doubled(values: np.ndarray, levels: int) -> list[np.ndarray]:
+    out = [values]
+    for k in range(levels - 1):
+        half = 1 << k
+        if len(out[-1]) <= half:
+            break
+        out.append(np.minimum(out[-1][:-half], out[-1][half:]))
+    return out
+
+
+def _least(levels: list[np.ndarray], lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    out = np.empty(len(lo), np.uint8)
+    level = np.frexp((hi - lo + 1).astype(np.float64))[1] - 1
+    for k in range(len(levels)):
+        on = np.flatnonzero(level == k)
+        out[on] = np.minimum(levels[k][lo[on]], levels[k][hi[on] - (1 << k) + 1])
+    return out
+
+
 def match(table: pa.Table) -> pa.Table:
     """To every slice, the smallest ids of its reads' windows where they are below its own."""
     names, bucket = table["slice"].to_pylist(), table["bucket"][0].as_py()
@@ -390,19 +439,20 @@ def match(table: pa.Table) -> pa.Table:
     of = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     least = np.full(len(found.dictionary), NO_ID)
     np.minimum.at(least, of, low)
-    _, offsets, data = found.dictionary.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[: len(least) + 1]
-    del rows, table, flat
-    texts = Collection(np.frombuffer(data, np.uint8), offsets)
-    same = np.cumsum(texts.common < LENGTH) - 1
-    first = np.full(int(same[-1]) + 1 if len(same) else 0, NO_ID)
-    for on, _, place in texts.places(LENGTH):
-        np.minimum.at(first, same[place], least[on])
-    windows = np.diff(offsets) - LENGTH + 1
+    windows = np.diff(np.frombuffer(found.dictionary.buffers()[1], np.int64)[: len(least) + 1]) - LENGTH + 1
     begin = np.cumsum(windows) - windows
-    smallest = np.empty(int(windows.sum()), np.int64)
-    for on, start, place in texts.places(LENGTH):
-        smallest[begin[on] + start] = first[same[place]]
+    smallest = np.repeat(least, windows)
+    on = np.flatnonzero(may_match(found.dictionary, windows) | (np.bincount(of, minlength=len(least)) > 1))
+    chosen = found.dictionary.take(pa.array(on))
+    del rows, table, flat, found
+    offsets = np.concatenate([[0], np.cumsum(windows[on] + LENGTH - 1)])
+    texts = Collection(_bytes(chosen) if len(on) else np.zeros(1, np.uint8), offsets)
+    same = np.cumsum(texts.common < LENGTH) - 1
+    first = np.full(len(same), NO_ID)
+    for which, _, place in texts.places(LENGTH):
+        np.minimum.at(first, same[place], least[on][which])
+    for which, start, place in texts.places(LENGTH):
+        smallest[begin[on][which] + start] = first[same[place]]
     out, lo = [], 0
     for n in counts:
         own, mine = of[lo : lo + n], low[lo : lo + n]
@@ -411,6 +461,18 @@ def match(table: pa.Table) -> pa.Table:
     return _table(REPLIES, [names, [1] * len(names), [bucket] * len(names), *map(list, zip(*out))])
 
 
+def may_match(reads: pa.Array, windows: np.ndarray) -> np.ndarray:
+    """Whether a window of the read has the hash of another one's. No other read's
+    windows can be equal to those of any other read."""
+    if not len(reads):
+        return np.empty(0, bool)
+    ends = np.cumsum(windows + LENGTH - 1)
+    of = np.repeat(np.arange(len(windows)), windows)
+    place = np.repeat(ends - windows - LENGTH + 1, windows) + np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
+    _, at, n = np.unique(hashes(_bytes(reads), LENGTH)[place], return_inverse=True, return_counts=True)
+    return np.bincount(of, n[at] > 1, len(windows)) > 0
+
+
 def _runs(own, mine, windows, begin, smallest) -> tuple[int, bytes]:
     """Runs of windows of the reads ``own`` with one id below ``mine``: read, from, to, id."""
     sizes = windows[own]
