@@ -21,8 +21,8 @@ way that no match can cross:
    smallest id that has it. Each bucket is a collection of short documents: at most
    ``LENGTH + SPAN - 1`` rounds. The transform and the common prefixes are arrays of one
    task, which a bucket's size bounds; files of a machine would be lost with it.
-   Reads that are in one slice only and have no window whose hash another read has are
-   left out before.
+   Equal reads are one document of it. One that has no window whose hash another read
+   has is left out: its windows match nothing, and its smallest id is theirs.
 4. Windows between which common prefixes are at least ``LENGTH`` are equal. Slices learn
    the smallest id of each window and cut their documents.
 
@@ -442,7 +442,7 @@ def match(table: pa.Table) -> pa.Table:
     windows = np.diff(np.frombuffer(found.dictionary.buffers()[1], np.int64)[: len(least) + 1]) - LENGTH + 1
     begin = np.cumsum(windows) - windows
     smallest = np.repeat(least, windows)
-    on = np.flatnonzero(may_match(found.dictionary, windows) | (np.bincount(of, minlength=len(least)) > 1))
+    on = np.flatnonzero(may_match(found.dictionary, windows))
     chosen = found.dictionary.take(pa.array(on))
     del rows, table, flat, found
     offsets = np.concatenate([[0], np.cumsum(windows[on] + LENGTH - 1)])
