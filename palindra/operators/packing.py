@@ -250,29 +250,52 @@ def corpus_shards(limits: DataFrame, val: DataFrame, settings: PackSettings) ->
     )
 
 
-def shard_parts(placed: DataFrame, shard_tokens: int) -> DataFrame:
+def shard_parts(placed: DataFrame, shard_tokens: int | str) -> DataFrame:
     """Cut placed pieces (start, tokens, ...) at shard ends; ``at`` is the offset
-    inside the shard. Parts are sliced before they are exploded, so a row never
-    carries the whole document once per part."""
+    inside the shard. ``shard_tokens`` is a number or the column that has it. Parts are
+    sliced before they are exploded, so a row never carries the whole document once per
+    part."""
     start, n = F.col("start"), F.size("tokens")
-    first = F.expr(f"start div {shard_tokens}")
-    last = F.expr(f"(start + size(tokens) - 1) div {shard_tokens}")
+    full = F.col(shard_tokens) if isinstance(shard_tokens, str) else F.lit(shard_tokens)
+    full = full.cast("bigint")
+    first = F.call_function("div", start, full)
+    last = F.call_function("div", start + n - 1, full)
 
     def part(shard: Column) -> Column:
-        begin = F.greatest(start, shard * shard_tokens)
-        end = F.least(start + n, (shard + 1) * shard_tokens)
+        begin = F.greatest(start, shard * full)
+        end = F.least(start + n, (shard + 1) * full)
         return F.struct(
             shard.alias("shard"),
-            (begin - shard * shard_tokens).alias("at"),
+            (begin - shard * full).alias("at"),
             F.slice("tokens", (begin - start + 1).cast("int"), (end - begin).cast("int")).alias("tokens"),
         )
 
-    rest = [c for c in placed.columns if c not in ("start", "tokens", "n")]
+    rest = [c for c in placed.columns if c not in ("start", "tokens", "n", shard_tokens)]
     return placed.where(n > 0).select(
         *rest, F.explode(F.transform(F.sequence(first, last), part)).alias("s")
     ).select(*rest, "s.*")
 
 
+def place_tokens(pieces: DataFrame, spans: DataFrame, settings: PackSettings) -> DataFrame:
+    """Shard parts of the spans of both splits: (split, stream, doc, shard, at, tokens).
+
+    Tokens meet their place in one join, whatever their split.
+    """
+    held = F.col("split") == "val"
+    where = spans.select(
+        "split",
+        "source",
+        "doc",
+        "piece",
+        "start",
+        F.when(held, "val").otherwise(F.col("source")).alias("stream"),
+        F.when(held, shard_lengths_for(settings, "val").shard_tokens).otherwise(settings.shard_tokens).alias("_full"),
+    )
+    tokens = pieces.select("source", "doc", "piece", "tokens")
+    placed = tokens.join(where, ["source", "doc", "piece"])
+    return shard_parts(placed.select("split", "stream", "doc", "start", "_full", "tokens"), "_full")
+
+
 def block_parts(parts: DataFrame, block_size: int) -> DataFrame:
     """Cut shard parts (at, tokens) at blocks. A block spans ``block_size + 1``
     tokens and shares its last one with the next block."""

@@ -31,23 +31,11 @@ class Corpus:
 
     def parts(self) -> DataFrame:
         """Shard parts of both splits: (split, stream, doc, shard, at, tokens)."""
-        train = self._placed(self.train).withColumn("stream", F.col("source")).drop("source")
-        held = self._placed(self.held_out).withColumn("stream", F.lit("val")).drop("source")
-        held_size = packing.shard_lengths_for(self.settings, "val").shard_tokens
-        return packing.shard_parts(train, self.settings.shard_tokens).unionByName(
-            packing.shard_parts(held, held_size)
-        )
+        return packing.place_tokens(self.pieces, self.train.unionByName(self.held_out), self.settings)
 
     def blocks(self) -> DataFrame:
         return packing.blocks(self.parts(), self.shards, self.settings.block_size)
 
-    def _placed(self, spans: DataFrame) -> DataFrame:
-        where = spans.select("split", "source", "doc", "piece", "start")
-        tokens = self.pieces.select("source", "doc", "piece", "tokens")
-        return tokens.join(where, ["source", "doc", "piece"]).select(
-            "split", "source", "doc", "start", "tokens"
-        )
-
 
 def laid_out(documents: DataFrame, turns: DataFrame, direction: str) -> DataFrame:
     """Pieces of both sources, tokens as text."""

@@ -410,6 +410,28 @@ def blocks(spark, sf_dir):
     )
 
 
+@query(ORACLES["blocks"])
+def resumed_build(spark, sf_dir):
+    """The corpus of ``blocks`` in two runs: the first half of the ids, then everything."""
+    from palindra.plans.resume import ResumedBuild
+    from palindra.session import fresh_path
+
+    docs, turns = documents(spark, sf_dir), table(spark, sf_dir, "conversations")
+    laid = corpus.laid_out(docs, turns, "reverse")
+    total = laid.agg(F.coalesce(F.sum(F.size("tokens").cast("bigint")), F.lit(0))).first()[0]
+    job = ResumedBuild(fresh_path(spark, "resumed"), settings_for(total))
+    halves = [
+        rows.where(F.col(key) < rows.agg(F.floor((F.min(key) + F.max(key)) / 2)).first()[0])
+        for rows, key in ((docs, "doc_id"), (turns, "conv_id"))
+    ]
+    job.run(*halves)
+    job.run(docs, turns)
+    x, y = layout.shifted(F.col("tokens"))
+    return job.blocks(spark).select(
+        "split", "stream", "shard", "block", "block_idx", digest(x).alias("x"), digest(y).alias("y")
+    )
+
+
 @query(
     f"""
 with {BLOCKS_SQL},

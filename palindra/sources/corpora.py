@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palindra.operators import chat
+from palindra.operators import chat, exclusion
 
 
 def web_documents(spark: SparkSession, path: str, doc_id: str = "doc_id", text: str = "text", fmt: str = "parquet") -> DataFrame:
@@ -33,4 +33,4 @@ def conversation_turns(
 
 def not_yet_used(docs: DataFrame, used: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Documents whose id is not in ``used``, so a filtered row never shifts the rest."""
-    return docs.join(used.select(*keys), list(keys), "left_anti")
+    return exclusion.not_used(docs, used, keys)
