@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palindra.functions import text as txt
@@ -41,6 +41,19 @@ def build(counts: DataFrame) -> DataFrame:
     return stage(numbered.unionByName(special), "vocabulary")
 
 
+def special_tokens(spark: SparkSession) -> DataFrame:
+    """(token, id) that every vocabulary begins with."""
+    return spark.createDataFrame(list(SPECIAL_IDS.items()), "token string, id bigint")
+
+
+def additions(counts: DataFrame, known: DataFrame) -> DataFrame:
+    """(token, id) of the tokens that ``known`` lacks, behind its last id, by falling count
+    and token. Ids that are out stay as they are."""
+    first = known.agg(F.coalesce(F.max("id") + 1, F.lit(0))).first()[0]
+    new = counts.join(known.select("token"), "token", "left_anti")
+    return dense_index(new, [F.desc("n"), F.asc("token")], "id").select("token", (F.col("id") + first).alias("id"))
+
+
 def missing_markers(vocabulary: DataFrame) -> DataFrame:
     """Markers a vocabulary lacks; a usable one gives no rows."""
     wanted = vocabulary.sparkSession.createDataFrame(

@@ -1297,6 +1297,59 @@ def stream_pack(spark, sf_dir):
     )
 
 
+@query(ORACLES["blocks"])
+def stream_build(spark, sf_dir):
+    """The corpus of ``blocks`` from streams: documents and conversations arrive in three slices each."""
+    from palindra.session import fresh_path
+    from palindra.streaming.build import StreamBuild
+
+    folder = fresh_path(spark, "build-stream")
+    docs, turns = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "conversations")
+    laid = corpus.laid_out(docs, turns, "reverse")
+    total = laid.agg(F.coalesce(F.sum(F.size("tokens").cast("bigint")), F.lit(0))).first()[0]
+    job = StreamBuild(folder, settings_for(total))
+    arriving = zip(
+        arrive_in_slices(docs, "doc_id", 3, f"{folder}/documents"), arrive_in_slices(turns, "conv_id", 3, f"{folder}/turns")
+    )
+    for streams in arriving:
+        job.start(*streams).awaitTermination()
+    x, y = layout.shifted(F.col("tokens"))
+    return job.build.blocks(spark).select(
+        "split", "stream", "shard", "block", "block_idx", digest(x).alias("x"), digest(y).alias("y")
+    )
+
+
+QUIET_S, GRACE_S = 36 * 3_600, 72 * 3_600
+
+
+@query(
+    f"""
+with e as (select user_id as run_id, event_id as seq, epoch_us(ts) as us from events),
+t as (select min(us) + {GRACE_S * 1_000_000} as graced, max(us) as upto from e),
+n as (select *, lead(us) over w as next_us, lead(seq) over w as next_seq, greatest(us + {QUIET_S * 1_000_000}, graced) as due
+      from e, t window w as (partition by run_id order by us, seq)),
+g as (select * from n where next_us > due or next_us is null and upto // 1000 > (due + 999) // 1000)
+select run_id, 'silent' as state, seq, us as since_us, null::BIGINT as until_us from g
+union all
+select run_id, 'returned', next_seq, us, next_us from g where next_us is not null and next_us > due
+"""
+)
+def stream_silence(spark, sf_dir):
+    """Runs without a line for 36 hours, none before the fourth day of all runs; the log arrives in three slices."""
+    from palindra.session import fresh_path
+    from palindra.streaming import silence
+
+    folder = fresh_path(spark, "silence")
+    log = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), micros("ts").alias("at_us")
+    )
+    began = log.agg(F.coalesce(F.min("at_us"), F.lit(0))).first()[0]
+    for stream in arrive_in_slices(log, "at_us", 3, f"{folder}/in"):
+        found = silence.silences(stream, QUIET_S, started_us=began, grace_seconds=GRACE_S)
+        silence.follow(found, folder).awaitTermination()
+    return spark.read.schema(silence.REPORT).parquet(f"{folder}/out")
+
+
 def followed(spark, sf_dir):
     """The run log arrives in three slices; returns the follower behind the last one."""
     from palindra.session import fresh_path, stage

@@ -15,7 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palindra.operators import inventory, packing
+from palindra.operators import inventory, packing, vocabulary
 from palindra.operators.packing import PackSettings
 from palindra.plans import corpus
 from palindra.session import stage
@@ -23,16 +23,22 @@ from palindra.sources import corpora
 
 PROGRESS = "run int, settings string, source string, docs bigint, tokens bigint, val_docs bigint, val_tokens bigint"
 USED = "run int, source string, doc bigint"
-PARTS = "run int, split string, stream string, doc bigint, shard bigint, at bigint, tokens array<string>"
+PARTS = "run int, split string, stream string, doc bigint, shard bigint, at bigint, tokens array<%s>"
+WORDS = "run int, token string, id bigint"
 COUNTS = ("docs", "tokens", "val_docs", "val_tokens")
 
 
 @dataclass(frozen=True)
 class ResumedBuild:
-    """A corpus folder: ``used``, ``parts`` and ``progress``, each by run."""
+    """A corpus folder: ``used``, ``parts`` and ``progress``, each by run.
+
+    With ``ids``, tokens are numbered: every run adds those that are new to ``words``,
+    behind the ids that earlier runs gave.
+    """
 
     folder: str
     settings: PackSettings
+    ids: bool = False
 
     def _read(self, spark: SparkSession, name: str, schema: str) -> DataFrame:
         try:
@@ -50,6 +56,18 @@ class ResumedBuild:
         runs = [r.run for r in self.progress(spark).select("run").distinct().collect()]
         return self._read(spark, name, schema).where(F.col("run").isin(runs))
 
+    def words(self, spark: SparkSession) -> DataFrame:
+        """(token, id) of all runs."""
+        added = self._committed(spark, "words", WORDS).select("token", "id")
+        return vocabulary.special_tokens(spark).unionByName(added)
+
+    def _numbered(self, pieces: DataFrame, number: int) -> DataFrame:
+        known = self.words(pieces.sparkSession)
+        path = f"{self.folder}/words/run={number}"
+        vocabulary.additions(vocabulary.count_tokens(pieces), known).write.mode("overwrite").parquet(path)
+        added = pieces.sparkSession.read.schema("token string, id bigint").parquet(path)
+        return vocabulary.encode_arrays(pieces, ["source", "doc", "piece"], "tokens", known.unionByName(added))
+
     def used(self, spark: SparkSession) -> DataFrame:
         return self._committed(spark, "used", USED)
 
@@ -64,8 +82,12 @@ class ResumedBuild:
         done = inventory.completeness(counts, self.settings.web_target, self.settings.chat_target, held > 0)
         return done.first().complete
 
-    def run(self, documents: DataFrame, turns: DataFrame) -> bool:
-        """Add what is new of ``documents`` and ``turns``; whether there was anything left to do."""
+    def run(self, documents: DataFrame, turns: DataFrame, number: int | None = None) -> bool:
+        """Add what is new of ``documents`` and ``turns``; whether there was anything left to do.
+
+        ``number`` is the run's place, the next one if it is not given. A run whose number
+        is committed does nothing.
+        """
         spark, settings = documents.sparkSession, self.settings
         plan = repr(sorted((k, str(v)) for k, v in asdict(settings).items()))
         before = self.progress(spark).select("run", "settings").distinct().collect()
@@ -73,7 +95,10 @@ class ResumedBuild:
             raise ValueError(f"{self.folder} was begun with other settings")
         if before and self.is_complete(spark):
             return False
-        number = max((r.run for r in before), default=-1) + 1
+        if number is None:
+            number = max((r.run for r in before), default=-1) + 1
+        elif number in {r.run for r in before}:
+            return True
         done = {r.source: r.tokens for r in self.counts(spark).collect()}
         left = {"web": settings.web_target - done.get("web", 0), "chat": settings.chat_target - done.get("chat", 0)}
         if before:
@@ -85,6 +110,8 @@ class ResumedBuild:
             documents = documents if left["web"] > 0 else documents.where("false")
             turns = turns if left["chat"] > 0 else turns.where("false")
         pieces = corpus.laid_out(documents, turns, settings.direction)
+        if self.ids:
+            pieces = self._numbered(stage(pieces, "texts"), number)
         pieces = stage(pieces.withColumn("n", F.size("tokens").cast("bigint")), "pieces")
         spans = stage(packing.offsets(pieces), "spans")
         if before:
@@ -118,7 +145,7 @@ class ResumedBuild:
 
     def parts(self, spark: SparkSession) -> DataFrame:
         """(split, stream, doc, shard, at, tokens) of all runs."""
-        return self._committed(spark, "parts", PARTS).drop("run")
+        return self._committed(spark, "parts", PARTS % ("bigint" if self.ids else "string")).drop("run")
 
     def shards(self, spark: SparkSession) -> DataFrame:
         counts = self.counts(spark)

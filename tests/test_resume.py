@@ -9,6 +9,7 @@ from palindra.operators import exclusion
 from palindra.operators.packing import PackSettings
 from palindra.plans import corpus
 from palindra.plans.resume import ResumedBuild
+from palindra.streaming.build import StreamBuild
 from tests.own_tables import conversations, documents
 
 SETTINGS = PackSettings(60_000, Fraction(1, 5), 4_000, 7_000, 64)
@@ -51,7 +52,7 @@ def test_runs_add_up_to_one(spark, tables, tmp_path):
     docs, turns = tables
     whole = corpus.build(docs, turns, SETTINGS)
     job = ResumedBuild(str(tmp_path / "corpus"), SETTINGS)
-    for share in (0.3, 0.3, 0.6, 1.0):  # the second one finds nothing new
+    for share in (0.3, 0.3, 1.0):  # the second one finds nothing new
         job.run(docs.where(F.col("doc_id") < 1200 * share), turns.where(F.col("conv_id") < 800 * share))
     assert job.is_complete(spark)
     assert listed(job.blocks(spark)) == listed(whole.blocks())
@@ -89,3 +90,37 @@ def test_runs_of_nothing(spark, tables, tmp_path):
     assert job.run(docs.where("false"), turns.where("false"))
     assert not job.is_complete(spark)
     assert job.blocks(spark).count() == 0
+
+
+def test_ids_only_grow(spark, tables, tmp_path):
+    docs, turns = tables
+    job = ResumedBuild(str(tmp_path), SETTINGS, ids=True)
+    job.run(docs.where("doc_id < 300"), turns.where("conv_id < 100"))
+    first = {r.token: r.id for r in job.words(spark).collect()}
+    more = docs.withColumn("text", F.concat("text", F.when(F.col("doc_id") % 7 == 0, " quince").otherwise("")))
+    job.run(more, turns)
+    last = {r.token: r.id for r in job.words(spark).collect()}
+    assert first.items() <= last.items() and " quince" in last and sorted(last.values()) == list(range(len(last)))
+    spelled = {i: t for t, i in last.items()}
+    plain = ResumedBuild(str(tmp_path / "plain"), SETTINGS)
+    plain.run(docs.where("doc_id < 300"), turns.where("conv_id < 100"))
+    plain.run(more, turns)
+    found = sorted((r.split, r.block_idx, " ".join(spelled[i] for i in r.tokens)) for r in job.blocks(spark).collect())
+    assert found == sorted((r.split, r.block_idx, " ".join(r.tokens)) for r in plain.blocks(spark).collect())
+
+
+def test_streams_add_up_to_one_build(spark, tables, tmp_path):
+    docs, turns = tables
+    job = StreamBuild(str(tmp_path / "job"), SETTINGS)
+    for lo, hi in ((0.0, 0.4), (0.4, 1.0)):
+        for rows, key, n in ((docs, "doc_id", 1200), (turns, "conv_id", 800)):
+            part = rows.where((F.col(key) >= n * lo) & (F.col(key) < n * hi))
+            part.write.mode("append").parquet(str(tmp_path / key))
+        streams = [spark.readStream.schema(t.schema).parquet(str(tmp_path / k)) for t, k in ((docs, "doc_id"), (turns, "conv_id"))]
+        job.start(*streams).awaitTermination()
+    whole = listed(corpus.build(docs, turns, SETTINGS).blocks())
+    assert listed(job.build.blocks(spark)) == whole
+    # A batch that Spark hands out again changes nothing.
+    tagged = docs.limit(9).selectExpr("'web' source", "doc_id + 5000 doc", "0L turn", "'' role", "text")
+    job.take(tagged, 0)
+    assert listed(job.build.blocks(spark)) == whole
