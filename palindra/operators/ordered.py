@@ -128,6 +128,48 @@ def running(
     return out.select(*df.columns, *[r.alias(c.name) for r, c in zip(found, columns)])
 
 
+#: Maps that are composed in one row: 64.
+AFFINE_BITS = 6
+#: Stands for a product of factors that is too small for a double, so that an infinite value stays one.
+LEAST_FACTOR = 1e-300
+
+
+def affine(df: DataFrame, keys: Sequence[str], order: str, a: Column, b: Column, name: str) -> DataFrame:
+    """Add the value that all earlier rows of a key make of 0, each mapping x to ``a * x + b``.
+
+    Maps compose, so ``2**AFFINE_BITS`` neighbours become one row and one map, the same
+    question is asked of those rows, and the answer is carried on inside each: no row
+    holds more than so many maps, however many a key has. ``a`` is positive, ``order``
+    a non-negative integer that is unique in its key.
+    """
+    maps = df.select(*keys, order, a.cast("double").alias("_a"), b.cast("double").alias("_b"))
+    before = _affine(maps, list(keys), order, 0)
+    return df.join(before.withColumnRenamed("_x", name), [*keys, order])
+
+
+def _affine(maps: DataFrame, keys: list[str], order: str, depth: int) -> DataFrame:
+    """(keys, order, _x) of (keys, order, _a, _b)."""
+    group = f"_g{depth}"
+    near = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), "_a", "_b"))).alias("maps")
+    rows = stage(maps.groupBy(*keys, F.shiftright(order, AFFINE_BITS).alias(group)).agg(near), "maps")
+    if rows.where(F.col(group) > 0).isEmpty():
+        begun = rows.withColumn("_x", F.lit(0.0))
+    else:
+        start = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+
+        def then(s: Column, m: Column) -> Column:
+            factor = F.greatest(m["_a"] * s["a"], F.lit(LEAST_FACTOR))
+            return F.struct(factor.alias("a"), (m["_a"] * s["b"] + m["_b"]).alias("b"))
+
+        whole = rows.select(*keys, group, F.aggregate("maps", start, then).alias("m")).select(
+            *keys, group, F.col("m.a").alias("_a"), F.col("m.b").alias("_b")
+        )
+        begun = rows.join(_affine(whole, keys, group, depth + 1), [*keys, group])
+    placed = begun.select(*keys, "_x", "maps", F.posexplode("maps").alias("_k", "_m"))
+    upto = F.aggregate(F.slice("maps", F.lit(1), F.col("_k")), F.col("_x"), lambda x, m: m["_a"] * x + m["_b"])
+    return placed.select(*keys, F.col("_m.at").alias(order), upto.alias("_x"))
+
+
 def attach(
     df: DataFrame, keys: Sequence[str], spread: Column, parts: Column, per_key: DataFrame, how: str = "inner"
 ) -> DataFrame:

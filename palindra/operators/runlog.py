@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from palindra.functions import schedule
 from palindra.operators.ordered import (
     Running,
+    affine,
     attach,
     attach_totals,
     newest,
@@ -122,8 +123,8 @@ def smoothed_loss(log: DataFrame, keep: float = EMA_KEEP, name: str = "ema") ->
     """Exponential moving average of ``loss`` over a run; the first loss seeds it.
 
     Losses are numbered per run and cut into chunks. Inside a chunk the average is a
-    closed-form window sum; one row per chunk, its length and end value, is folded
-    along the run and gives every chunk what it starts from. Nothing is cut off, so an
+    closed-form window sum; a chunk as a whole maps what it starts from to where it ends,
+    and these maps are composed along the run. Nothing is cut off, so an
     infinite or undefined loss stays in the average. Missing losses take no part and
     get null.
     """
@@ -143,21 +144,9 @@ def smoothed_loss(log: DataFrame, keep: float = EMA_KEEP, name: str = "ema") ->
     ends = numbered.groupBy("run_id", "_chunk").agg(
         (F.sum(scaled) * F.pow(F.lit(keep), F.max("_at"))).alias("end"), (F.max("_at") + 1).cast("double").alias("n")
     )
-    along = F.array_sort(F.collect_list(F.struct("_chunk", "end", "n")))
-    start = F.struct(F.lit(0.0).alias("carry"), F.array().cast("array<double>").alias("before"))
-    folded = F.aggregate(
-        "along",
-        start,
-        lambda s, c: F.struct(
-            (c["end"] + F.pow(F.lit(keep), c["n"]) * s["carry"]).alias("carry"), F.array_append(s["before"], s["carry"]).alias("before")
-        ),
-        lambda s: s["before"],
+    carries = affine(ends, RUN, "_chunk", F.pow(F.lit(keep), F.col("n")), F.col("end"), "_carry").select(
+        "run_id", "_chunk", "_carry"
     )
-    # 16 bytes for each chunk of a run, in one row
-    carries = stage(
-        ends.groupBy("run_id").agg(along.alias("along")).select("run_id", F.posexplode(folded).alias("_pos", "_carry")),
-        "carries",
-    ).select("run_id", F.col("_pos").cast("bigint").alias("_chunk"), "_carry")
     carried = F.when(F.col("_chunk") > 0, F.col("_carry") * F.pow(F.lit(keep), F.col("_at") + 1)).otherwise(0.0)
     smoothed = local.join(carries, ["run_id", "_chunk"], "left").select(
         *log.columns, (F.col("_local") + carried).alias(name)

@@ -4,7 +4,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from palindra.operators import ordered
+from palindra.operators import ordered, runlog
 from palindra.operators.ordered import Running
 
 
@@ -104,3 +104,40 @@ def test_newest_and_totals_on_a_hot_key(spark):
     all_ = ordered.attach_totals(df, ["k"], spread, {"n": F.count("*"), "hi": F.max("at")}).collect()
     assert len(all_) == len(rows)
     assert {(r.k, r.n, r.hi) for r in all_} == {(0, 3000, 2999)} | {(k, 1, 7) for k in range(1, 20)}
+
+
+@pytest.mark.parametrize("bits", [1, 6])
+def test_affine(spark, bits, monkeypatch):
+    monkeypatch.setattr(ordered, "AFFINE_BITS", bits)
+    rnd = random.Random(6)
+    rows, want = [], {}
+    for key, n in (("a", 300), ("b", 1), ("c", 64), ("d", 65)):
+        x = 0.0
+        for i in sorted(rnd.sample(range(3 * n), n)):
+            a, b = rnd.choice([0.5, 0.9, 1.0, 1.1]), rnd.uniform(-1, 1)
+            rows.append((key, i, a, b))
+            want[key, i] = x
+            x = a * x + b
+    df = spark.createDataFrame(rows, "k string, i bigint, a double, b double").repartition(5)
+    found = {(r.k, r.i): r.x for r in ordered.affine(df, ["k"], "i", F.col("a"), F.col("b"), "x").collect()}
+    assert found.keys() == want.keys() and all(found[k] == pytest.approx(want[k], rel=1e-9, abs=1e-12) for k in want)
+
+
+def test_affine_keeps_infinity(spark):
+    rows = [("k", i, 1e-200, float("inf") if i == 3 else 1.0) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, i bigint, a double, b double")
+    found = {r.i: r.x for r in ordered.affine(df, ["k"], "i", F.col("a"), F.col("b"), "x").collect()}
+    assert all((found[i] == float("inf")) == (i > 3) for i in found)
+
+
+def test_average_of_a_million_lines_of_one_run(spark):
+    n = 1_000_000
+    log = spark.range(n).select(F.lit(1).cast("bigint").alias("run_id"), F.col("id").alias("seq"), (F.col("id") % 97).cast("double").alias("loss"))
+    ema = runlog.smoothed_loss(log)
+    some = {r.seq: r.ema for r in ema.where("seq % 99991 = 7 or seq = 999999").collect()}
+    x, want = None, {}
+    for i in range(n):
+        x = float(i % 97) if x is None else 0.9 * x + 0.1 * (i % 97)
+        if i in some:
+            want[i] = x
+    assert len(some) == 12 and all(some[i] == pytest.approx(want[i], rel=1e-9) for i in some)
