@@ -15,7 +15,7 @@ plain window, beyond it they are chunked again.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -129,45 +129,62 @@ def running(
 
 
 #: Maps that are composed in one row: 64.
-AFFINE_BITS = 6
+MAP_BITS = 6
 #: Stands for a product of factors that is too small for a double, so that an infinite value stays one.
 LEAST_FACTOR = 1e-300
 
 
-def affine(df: DataFrame, keys: Sequence[str], order: str, a: Column, b: Column, name: str) -> DataFrame:
-    """Add the value that all earlier rows of a key make of 0, each mapping x to ``a * x + b``.
+@dataclass(frozen=True)
+class Maps:
+    """Values that rows map one to the next: ``then(x, row)`` is the value behind a row, ``start``
+    the one before the first. ``both(m, row)`` is the map of what ``m`` stands for and the
+    row behind it, ``none`` the map that changes nothing."""
+
+    start: Column
+    then: Callable[[Column, Column], Column]
+    none: Column
+    both: Callable[[Column, Column], Column]
+
+
+def mapped(df: DataFrame, keys: Sequence[str], order: str, row: Column, maps: Maps, name: str) -> DataFrame:
+    """Add the value before each row.
 
-    Maps compose, so ``2**AFFINE_BITS`` neighbours become one row and one map, the same
+    Maps compose, so ``2**MAP_BITS`` neighbours become one row and one map, the same
     question is asked of those rows, and the answer is carried on inside each: no row
-    holds more than so many maps, however many a key has. ``a`` is positive, ``order``
-    a non-negative integer that is unique in its key.
+    holds more than so many maps, however many a key has. ``order`` is a non-negative
+    integer that is unique in its key, best without gaps.
     """
-    maps = df.select(*keys, order, a.cast("double").alias("_a"), b.cast("double").alias("_b"))
-    before = _affine(maps, list(keys), order, 0)
-    return df.join(before.withColumnRenamed("_x", name), [*keys, order])
+    found = _mapped(df.select(*keys, order, row.alias("_m")), list(keys), order, maps, 0)
+    return df.join(found.withColumnRenamed("_x", name), [*keys, order])
 
 
-def _affine(maps: DataFrame, keys: list[str], order: str, depth: int) -> DataFrame:
-    """(keys, order, _x) of (keys, order, _a, _b)."""
+def _mapped(rows: DataFrame, keys: list[str], order: str, maps: Maps, depth: int) -> DataFrame:
+    """(keys, order, _x) of (keys, order, _m)."""
     group = f"_g{depth}"
-    near = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), "_a", "_b"))).alias("maps")
-    rows = stage(maps.groupBy(*keys, F.shiftright(order, AFFINE_BITS).alias(group)).agg(near), "maps")
-    if rows.where(F.col(group) > 0).isEmpty():
-        begun = rows.withColumn("_x", F.lit(0.0))
+    near = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), "_m"))).alias("_maps")
+    packed = stage(rows.groupBy(*keys, F.shiftright(order, MAP_BITS).alias(group)).agg(near), "maps")
+    if packed.where(F.col(group) > 0).isEmpty():
+        begun = packed.withColumn("_x", maps.start)
     else:
-        start = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
-
-        def then(s: Column, m: Column) -> Column:
-            factor = F.greatest(m["_a"] * s["a"], F.lit(LEAST_FACTOR))
-            return F.struct(factor.alias("a"), (m["_a"] * s["b"] + m["_b"]).alias("b"))
-
-        whole = rows.select(*keys, group, F.aggregate("maps", start, then).alias("m")).select(
-            *keys, group, F.col("m.a").alias("_a"), F.col("m.b").alias("_b")
-        )
-        begun = rows.join(_affine(whole, keys, group, depth + 1), [*keys, group])
-    placed = begun.select(*keys, "_x", "maps", F.posexplode("maps").alias("_k", "_m"))
-    upto = F.aggregate(F.slice("maps", F.lit(1), F.col("_k")), F.col("_x"), lambda x, m: m["_a"] * x + m["_b"])
-    return placed.select(*keys, F.col("_m.at").alias(order), upto.alias("_x"))
+        whole = packed.select(*keys, group, F.aggregate("_maps", maps.none, lambda m, r: maps.both(m, r["_m"])).alias("_m"))
+        begun = packed.join(_mapped(whole, keys, group, maps, depth + 1), [*keys, group])
+    placed = begun.select(*keys, "_x", "_maps", F.posexplode("_maps").alias("_k", "_r"))
+    upto = F.aggregate(F.slice("_maps", F.lit(1), F.col("_k")), F.col("_x"), lambda x, r: maps.then(x, r["_m"]))
+    return placed.select(*keys, F.col("_r.at").alias(order), upto.alias("_x"))
+
+
+def affine(df: DataFrame, keys: Sequence[str], order: str, a: Column, b: Column, name: str) -> DataFrame:
+    """Add the value that all earlier rows of a key make of 0, each mapping x to ``a * x + b``
+    with a positive ``a``."""
+
+    def both(m: Column, r: Column) -> Column:
+        factor = F.greatest(r["a"] * m["a"], F.lit(LEAST_FACTOR))
+        return F.struct(factor.alias("a"), (r["a"] * m["b"] + r["b"]).alias("b"))
+
+    row = F.struct(a.cast("double").alias("a"), b.cast("double").alias("b"))
+    none = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+    maps = Maps(F.lit(0.0), lambda x, r: r["a"] * x + r["b"], none, both)
+    return mapped(df, keys, order, row, maps, name)
 
 
 def attach(

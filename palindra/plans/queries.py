@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from palindra.functions import display, layout, permute, schedule, vectors
 from palindra.functions import text as txt
-from palindra.operators import chat, diagnostics, inventory, packing, runlog, sampling, vocabulary
+from palindra.operators import chat, diagnostics, inventory, packing, prefixes, runlog, sampling, turns, vocabulary
 from palindra.operators.ordered import ID_BITS, Running, dense_index, running
 from palindra.operators.packing import PackSettings
 from palindra.operators.sampling import BatchShape
@@ -276,6 +276,36 @@ def prompts(spark, sf_dir):
     return each.select("item_id", "mode", digest(ids).alias("prompt"))
 
 
+@query(
+    f"""
+with {oracle.PIECES},
+doc_ as (
+  select doc, string_agg(array_to_string(tokens, {oracle.SEP}), {oracle.SEP} order by piece) || {oracle.SEP} as laid
+  from laid_ where source = 'chat' group by doc),
+answer_ as (
+  select list_concat(['{txt.IM_END}'], list_reverse({oracle.toks("text")})) as prompt, count(*) as answers
+  from (select {oracle.strip("text")} as text from conversations where role = 'assistant') where text <> '' group by prompt)
+select doc as conv_id, len(prompt)::BIGINT as prompt_tokens, {oracle.joined("prompt")} as prompt, answers
+from doc_ join answer_ on starts_with(laid, array_to_string(prompt, {oracle.SEP}) || {oracle.SEP})
+"""
+)
+def prompt_prefixes(spark, sf_dir):
+    """Every answer as a prompt, against every conversation from its end."""
+    from palindra.session import stage
+
+    turns = table(spark, sf_dir, "conversations")
+    answers = chat.unify_fields(turns).where("role = 'assistant' and text <> ''")
+    prompt = layout.encode_prompt(txt.tokens(F.col("text")), "reverse", F.lit(txt.EOS), F.lit(txt.IM_END), jeopardy=True)
+    asked = answers.groupBy("text").agg(F.count("*").alias("answers")).select(prompt.alias("tokens"), "answers")
+    asked = stage(asked.select(digest(F.col("tokens")).alias("prefix"), "tokens", "answers"), "prompts")
+    laid = chat.laid_out(chat.normalise(turns), "reverse")
+    found = prefixes.beginning_with(laid, asked)
+    sizes = asked.select("prefix", big(F.size("tokens")).alias("prompt_tokens"), "answers")
+    return found.join(sizes, "prefix").select(
+        F.col("doc").alias("conv_id"), "prompt_tokens", F.col("prefix").alias("prompt"), "answers"
+    )
+
+
 # --------------------------------------------------------------------------- packing
 
 
@@ -467,6 +497,32 @@ def split_documents(spark, sf_dir):
     return packing.split_stream(parts, SHARD_TOKENS)
 
 
+@query(
+    f"""
+with {SPLIT_SQL},
+said_ as (
+  select conv_id, role, text, turn, sum(starts_turn::INT) over (partition by conv_id order by turn) as merged from piece_),
+turn_ as (
+  select conv_id, merged, any_value(role) as role, string_agg(text, chr(10) || chr(10) order by turn) as content
+  from said_ group by conv_id, merged),
+back_ as (
+  select doc, row_number() over (order by min(start) desc) as doc_from_end from train_ where source = 'chat' group by doc)
+select doc_from_end, row_number() over (order by doc_from_end, merged) - 1 as turn, role, content,
+  row_number() over (partition by doc, role order by merged) = 1 and role = 'user' as is_question
+from back_ join turn_ on conv_id = doc
+"""
+)
+def stream_turns(spark, sf_dir):
+    """Turns of the conversations in the packed training stream, which is read from its end."""
+    built = packed(spark, sf_dir)
+    parts = built.parts().where("split = 'train' and stream = 'chat'").drop("doc")
+    found = turns.turns(turns.in_reading_order(parts, SHARD_TOKENS, "reverse"))
+    asked = turns.questions(found).select("stream", "turn", F.lit(True).alias("_first"))
+    return found.join(asked, ["stream", "turn"], "left").select(
+        F.col("doc").alias("doc_from_end"), "turn", "role", "content", F.coalesce("_first", F.lit(False)).alias("is_question")
+    )
+
+
 @query(
     f"""
 with {SPLIT_SQL}

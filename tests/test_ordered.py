@@ -108,7 +108,7 @@ def test_newest_and_totals_on_a_hot_key(spark):
 
 @pytest.mark.parametrize("bits", [1, 6])
 def test_affine(spark, bits, monkeypatch):
-    monkeypatch.setattr(ordered, "AFFINE_BITS", bits)
+    monkeypatch.setattr(ordered, "MAP_BITS", bits)
     rnd = random.Random(6)
     rows, want = [], {}
     for key, n in (("a", 300), ("b", 1), ("c", 64), ("d", 65)):
