@@ -264,3 +264,33 @@ def find_leaks(
         found = taken.mapInArrow(search, schema)
         out = found if out is None else out.unionAll(found)
     return spark.createDataFrame([], schema) if out is None else out
+
+
+def without_leaks(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    threshold: float = THRESHOLD,
+    overlap: float = OVERLAP,
+    text: str = "text",
+    item: str = "item_id",
+    item_text: str = "text",
+) -> DataFrame:
+    """The rows of ``docs`` in which no item is found, with all their columns.
+
+    Rows are judged where they lie and passed on or not: none is moved or joined, so
+    nulls and repeated values in any other column make no difference. Null and empty
+    texts stay.
+    """
+    columns, at = docs.schema, docs.columns.index(text)
+    for index in parts_of(benchmark, item, item_text):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def judge(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            searcher = Searcher(shared.value, threshold, overlap)
+            for batch in batches:
+                clean = np.ones(len(batch), bool)
+                clean[[d for d, *_ in searcher.leaks(texts_of(batch.column(at)))]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(judge, columns)
+    return docs
