@@ -12,17 +12,20 @@ of the intersection is at least 75 times that of the union. Sets are compared as
    of a document. The order decides how much work there is, never what is found.
 2. Trees. A node of a block's tree holds the OR of its sets' bitmaps, the range of
    their sizes and the most shingles that share a bit. Two nodes are traversed
-   together as long as the bits they share and those sizes allow a link. A block of
-   more than ``PART`` sets is cut into parts.
-3. Rounds. The first round takes from each tree a spanning forest of the pairs that
-   the bounds allow, not all of them: in a block of like sets that is as many pairs as
-   sets. Pairs are confirmed by their whole sets and give components. The second
-   round takes from blocks that still hold several components every allowed pair
-   between two of them, so no link is lost and no pair within a component is made.
-
-Prefixes, not groups, are dealt by shingle; a block's members (24 bytes each) are the
-most a task holds of it. Whole sets are rebuilt from the texts of documents in a pair,
-found by a bitmap of fixed size over their ids.
+   together as long as the bits they share and those sizes allow a link. Leaves that
+   pass are compared in the same task by the places of their shingles among at least
+   32 times as many bits, which never tell too few common ones and seldom too many.
+   A block of more than ``PART`` sets is cut into parts.
+3. Rounds. A task gives a spanning forest of the pairs that places call links, never
+   all of them. As forests begin at the sets of lowest hash everywhere, blocks with much
+   the same sets give much the same pairs. Pairs are confirmed by whole sets and give
+   components. The first round takes the parts of every block; the second lets the parts
+   of large blocks meet; the third repeats the few blocks with a pair that was not
+   confirmed, with whole sets in place of bits, so that its pairs are links.
+
+Prefixes, not groups, are dealt by shingle; a task holds a part's members, about a byte
+for each of their shingles (eight in the third round). Whole sets are rebuilt from the
+texts of documents in a pair, found by a bitmap of fixed size over their ids.
 
 Null and empty texts have no set and link with nothing, not even each other. Rows that
 repeat a key count as copies. An empty table gives no rows; other columns are not
@@ -50,11 +53,11 @@ CENTRES = 8
 #: lower hashes, which are those that prefixes reach.
 ONE_IN, SEEN, HOT_SHINGLES = 4, 4, 1 << 18
 REACH = np.uint64(0.45 * 2**64)
-#: Of a node's blocks, so many tell in which one a pair is made.
-FIRST_BLOCKS = 16
+#: Pairs compared at once, and bits that the members of a block are compared in at once.
+AT_ONCE, COLUMNS = 1 << 14, 1 << 16
 ID_BITS = 23
 
-SETS = "doc_id bigint, n_shingles bigint, node bigint, bits binary, prefix array<bigint>"
+SETS = "doc_id bigint, n_shingles bigint, node bigint, places binary, prefix array<bigint>"
 
 
 def shingles(found: Spans, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,12 +91,34 @@ def bitmap_bits(n: int) -> int:
     return 1 << max(8, int(4 * n - 1).bit_length())
 
 
-def bitmap(hashes: np.ndarray) -> bytes:
-    """One bit for each shingle, about four bits to a shingle."""
-    m = bitmap_bits(len(hashes))
-    out = np.zeros(m, np.uint8)
-    out[(hashes & np.uint64(m - 1)).astype(np.int64)] = 1
-    return np.packbits(out, bitorder="little").tobytes()
+def places(hashes: np.ndarray) -> bytes:
+    """Where shingles stand among eight times as many bits as a bitmap has, as steps of
+    one byte; 255 is a step of so many without a shingle."""
+    at = np.sort(hashes & np.uint64(8 * bitmap_bits(len(hashes)) - 1)).astype(np.int64)
+    step = np.diff(at, prepend=0)
+    out = np.full(len(at) + int((step // 255).sum()), 255, np.uint8)
+    out[np.cumsum(step // 255 + 1) - 1] = step % 255
+    return out.tobytes()
+
+
+def places_of(rows: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Every place in ``rows`` and the number of its row."""
+    raw = rows.to_pylist()
+    size = np.array([len(x) for x in raw], np.int64)
+    step = np.frombuffer(b"".join(raw), np.uint8)
+    total = np.cumsum(step, dtype=np.int64)
+    before = np.concatenate([[0], total])[np.cumsum(size) - size]
+    real = step < 255
+    row = np.repeat(np.arange(len(raw)), size)[real]
+    return (total[real] - before[row]).astype(np.uint64), row
+
+
+def sets_in(rows: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Every shingle of the whole sets in ``rows`` and the number of its row."""
+    flat = rows.combine_chunks()
+    flat = pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat
+    size = flat.value_lengths().to_numpy(zero_copy_only=False)
+    return flat.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.repeat(np.arange(len(flat)), size)
 
 
 def prefix_size(n: int) -> int:
@@ -124,7 +149,7 @@ def hot_shingles(docs: DataFrame, key: str, text: str) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, hot: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every document's set size, node, bitmap and prefix."""
+    """Every document's set size, node, places and prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +164,7 @@ def sets_of(docs: DataFrame, hot: np.ndarray, key: str = "doc_id", text: str = "
                 with np.errstate(over="ignore"):
                     node = int(mix(np.array([mix(h).sum() * np.uint64(0x9FB21C651E98DF25) + np.uint64(len(h))], np.uint64)).view(np.int64)[0])
                 if node in seen:
-                    rows.append((len(h), node, bitmap(h), None))
+                    rows.append((len(h), node, places(h), None))
                     return
                 if len(seen) > 1 << 20:
                     seen.clear()
@@ -151,14 +176,14 @@ def sets_of(docs: DataFrame, hot: np.ndarray, key: str = "doc_id", text: str = "
                     first = np.concatenate([h[~common][:want], h[common]])[:want]
                 else:
                     first = h[:want]
-                rows.append((len(h), node, bitmap(h), first.view(np.int64)))
+                rows.append((len(h), node, places(h), first.view(np.int64)))
 
             for _ in _per_text(texts_of(batch.column(1)), one):
                 pass
-            n, node, bits, prefix = zip(*rows) if rows else ((),) * 4
+            n, node, at, prefix = zip(*rows) if rows else ((),) * 4
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "node", "bits", "prefix"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(at, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "node", "places", "prefix"],
             )
 
     taken = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -303,30 +328,79 @@ class Tree:
         return p, q
 
 
-def _classes(n: np.ndarray, bits: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For every bitmap size: members of it or of twice that, their folded bitmaps, and which are of it."""
-    size = np.array([len(b) for b in bits])
-    for m in np.unique(size).tolist():
-        own = np.flatnonzero((size == m) | (size == 2 * m))
-        rows = np.zeros((len(own), m // 8), np.uint64)
-        for k, i in enumerate(own):
-            raw = np.frombuffer(bits[i], np.uint64)
-            rows[k] = raw if size[i] == m else raw[: m // 8] | raw[m // 8 :]
-        yield own, rows, size[own] == m
+class Members:
+    """Sets of one bitmap size, or twice that and folded: sizes, places and their bitmaps."""
+
+    def __init__(self, n: np.ndarray, place: np.ndarray, row: np.ndarray, bits: int, folded: bool):
+        self.n, self.bits = n, bits
+        order = np.lexsort((place & np.uint64(8 * bits - 1) if folded else place, row))
+        self.place, self.row = (place & np.uint64(8 * bits - 1) if folded else place)[order], row[order]
+        if folded:  # shingles at one place are told apart by their number
+            again = np.arange(len(order))
+            new = np.ones(len(order), bool)
+            new[1:] = (self.place[1:] != self.place[:-1]) | (self.row[1:] != self.row[:-1])
+            self.place = self.place | (again - np.maximum.accumulate(np.where(new, again, 0))).astype(np.uint64) << np.uint64(40)
+        self.ends = np.searchsorted(self.row, np.arange(len(n) + 1))
+        self.columns: tuple[np.ndarray, np.ndarray] | None = None
+
+    def bitmaps(self) -> np.ndarray:
+        out = np.zeros((len(self.n), self.bits // 8), np.uint8)
+        step = max(1, (1 << 24) // self.bits)
+        for lo in range(0, len(self.n), step):
+            hi = min(lo + step, len(self.n))
+            some = slice(self.ends[lo], self.ends[hi])
+            flags = np.zeros((hi - lo, self.bits), np.uint8)
+            flags[self.row[some] - lo, (self.place[some] & np.uint64(self.bits - 1)).astype(np.int64)] = 1
+            out[lo:hi] = np.packbits(flags, axis=1, bitorder="little")
+        return out.view(np.uint64)
+
+    def links(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether pairs of members have enough places in common."""
+        if len(a) <= 8:
+            both = [[self.place[self.ends[i] : self.ends[i + 1]] for i in pair] for pair in zip(a, b)]
+            common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in both], np.int64)
+        else:
+            common = self._common(a, b)
+        return 7 * common >= 3 * (self.n[a] + self.n[b])
+
+    def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Common places of pairs, in bitmaps with a bit for each place of several members,
+        ``COLUMNS`` of them at once."""
+        if self.columns is None:
+            _, column, often = np.unique(self.place, return_inverse=True, return_counts=True)
+            shared = often > 1
+            number = np.cumsum(shared) - 1
+            keep = np.flatnonzero(shared[column])
+            keep = keep[np.argsort(column[keep], kind="stable")]
+            self.columns = number[column[keep]], self.row[keep]
+        column, row = self.columns
+        out = np.zeros(len(a), np.int64)
+        for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            i, j = np.searchsorted(column, [low, low + COLUMNS])
+            width = -(-min(COLUMNS, int(column[-1]) + 1 - low) // 64) * 64
+            flags = np.zeros((len(self.n), width), np.uint8)
+            flags[row[i:j], column[i:j] - low] = 1
+            bits = np.packbits(flags, axis=1).view(np.uint64)
+            del flags
+            step = max(1, AT_ONCE * 64 // bits.shape[1])
+            for lo in range(0, len(a), step):
+                out[lo : lo + step] += np.bitwise_count(bits[a[lo : lo + step]] & bits[b[lo : lo + step]]).sum(1, dtype=np.int64)
+        return out
 
 
 def candidates(
-    n: np.ndarray, bits: list[bytes], group: np.ndarray, forest: bool, rank: np.ndarray | None = None
+    n: np.ndarray, place: np.ndarray, row: np.ndarray, group: np.ndarray, rank: np.ndarray | None = None, folded: bool = True
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of members, sorted by size, that may link and are of different groups:
-    all, or with ``forest`` enough to connect what all would connect.
+    """Pairs of members, sorted by size, that connect what all links between members of
+    different groups would connect. ``place`` are places of the shingles of member ``row``,
+    or with ``folded`` false the shingles themselves.
 
-    A forest begins with stars around the members of lowest ``rank``, the largest star
-    first. As ranks are the same everywhere, blocks of much the same members make much
-    the same pairs.
+    Pairs are tried around the member of lowest ``rank``, then the next: around the first
+    as stars, around the others as the trees allow them.
     """
     group = group.copy()
     rank = np.arange(len(n)) if rank is None else rank
+    bits = np.array([bitmap_bits(int(x)) for x in n])
     left, right = [], []
 
     def join(a: np.ndarray, b: np.ndarray) -> None:
@@ -336,54 +410,53 @@ def candidates(
                 right.append(y)
                 group[group == group[y]] = group[x]
 
-    for own, rows, exact in _classes(n, bits):
-        if len(own) < 2:
+    for m in np.unique(bits).tolist():
+        exact = bits == m
+        own = np.flatnonzero(exact | (bits == 2 * m))
+        if len(own) < 2 or len(np.unique(group[own])) < 2:
             continue
-        tree = Tree(n[own], rows)
-        if forest:
-            every = np.arange(len(own))
-            centres = [np.full(len(own), c) for c in np.argsort(rank[own], kind="stable")[:CENTRES]]
-            stars = [(c, tree.allowed(0, c, every)) for c in centres]
-            for c, ok in sorted(stars, key=lambda star: -star[1].sum()):
-                join(own[c[ok]], own[every[ok]])
+        number = np.full(len(n), -1)
+        number[own] = np.arange(len(own))
+        some = number[row] >= 0
+        members = Members(n[own], place[some], number[row[some]], m, folded)
+        tree = Tree(n[own], members.bitmaps())
+        every = np.arange(len(own))
+        for c in np.argsort(rank[own], kind="stable")[:CENTRES]:
+            around = every[group[own] != group[own[c]]]
+            around = around[tree.allowed(0, np.full(len(around), c), around)]
+            around = around[members.links(np.full(len(around), c), around)]
+            join(np.full(len(around), own[c]), own[around])
         p, q = tree.pairs(group[own])
-        some = exact[p] | exact[q]
-        p, q = own[p[some]], own[q[some]]
-        if forest:
-            join(p, q)
-        else:
-            left += p.tolist()
-            right += q.tolist()
+        some = exact[own[p]] | exact[own[q]]
+        p, q = p[some], q[some]
+        low, high = np.minimum(rank[own[p]], rank[own[q]]), np.maximum(rank[own[p]], rank[own[q]])
+        order = np.lexsort((high, low))
+        p, q = p[order], q[order]
+        for lo in range(0, len(p), AT_ONCE):
+            a, b = p[lo : lo + AT_ONCE], q[lo : lo + AT_ONCE]
+            apart = group[own[a]] != group[own[b]]
+            a, b = a[apart], b[apart]
+            ok = members.links(a, b)
+            join(own[a[ok]], own[b[ok]])
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
 PAIRS = "a bigint, b bigint"
 
 
-def tree_pairs(members: DataFrame, forest: bool) -> DataFrame:
-    """Pairs of representatives from the trees of blocks (rows ``block, whole, rep, n,
-    component, bits, first``).
-
-    ``whole`` names the block that a part is of and ``first`` the lowest such names of the
-    set's blocks. All allowed pairs, unlike forests, are made in the lowest block that both
-    sets are in, as far as ``first`` tells, and not in the others.
-    """
-
-    def here(whole: int, a: list[int], b: list[int]) -> bool:
-        common = set(a) & set(b)
-        return not common or min(common) == whole
+def tree_pairs(members: DataFrame, folded: bool = True) -> DataFrame:
+    """Pairs of representatives from the trees of blocks: rows ``block, rep, n, component``
+    and ``places`` or, with ``folded`` false, the whole set as ``x``."""
 
     def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        n = table.column("n").to_numpy()
-        order = np.lexsort((table.column("rep").to_numpy(), n))
-        n, rep = n[order], table.column("rep").to_numpy()[order]
-        bits = [table.column("bits")[int(i)].as_py() for i in order]
+        n, rep = table.column("n").to_numpy(), table.column("rep").to_numpy()
+        order = np.lexsort((rep, n))
+        place, row = places_of(table.column("places")) if folded else sets_in(table.column("x"))
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
         _, group = np.unique(table.column("component").to_numpy()[order], return_inverse=True)
-        a, b = candidates(n, bits, group, forest, mix(rep.view(np.uint64).copy()))
-        if len(a) and not forest:
-            whole, first = table.column("whole")[0].as_py(), table.column("first").take(pa.array(order)).to_pylist()
-            keep = [k for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())) if here(whole, first[x], first[y])]
-            a, b = a[keep], b[keep]
+        n, rep = n[order], rep[order]
+        a, b = candidates(n, place, number[row], group, mix(rep.view(np.uint64).copy()), folded)
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[a], rep[b])), pa.array(np.maximum(rep[a], rep[b]))], ["a", "b"])
 
@@ -403,6 +476,8 @@ def cut_blocks(members: DataFrame, whole: bool) -> DataFrame:
     blocks of one component are left out.
     """
 
+    limit = PART
+
     def split(table: pa.Table, block: int) -> Iterator[np.ndarray]:
         size = table.num_rows
         if whole:
@@ -410,37 +485,36 @@ def cut_blocks(members: DataFrame, whole: bool) -> DataFrame:
             names, at, counts = np.unique(component, return_inverse=True, return_counts=True)
             if len(names) < 2:
                 return
-            if size <= PART:
+            if size <= limit:
                 yield np.arange(size)
                 return
             few = np.flatnonzero(at != counts.argmax())
-            for i in range(0, size, PART):
-                for j in range(0, len(few), PART // 2):
-                    yield np.unique(np.concatenate([np.arange(i, min(i + PART, size)), few[j : j + PART // 2]]))
+            for i in range(0, size, limit):
+                for j in range(0, len(few), limit // 2):
+                    yield np.unique(np.concatenate([np.arange(i, min(i + limit, size)), few[j : j + limit // 2]]))
             return
-        for i in range(0, max(size - 1, 1), PART - 1):
-            yield np.arange(i, min(i + PART, size))
+        for i in range(0, max(size - 1, 1), limit - 1):
+            yield np.arange(i, min(i + limit, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, table in runs(batches):
             for part, rows in enumerate(split(table, block)):
                 name = int(mix(np.array([block], np.int64).view(np.uint64) + np.uint64(part)).view(np.int64)[0]) if part else block
                 cut = table.take(pa.array(rows)) if len(rows) < table.num_rows else table
-                cut = cut.append_column("whole", cut.column("block")).set_column(0, "block", pa.array(np.full(len(rows), name, np.int64)))
-                yield from cut.select(["block", "whole", "node", "component"]).combine_chunks().to_batches()
+                cut = cut.set_column(0, "block", pa.array(np.full(len(rows), name, np.int64)))
+                yield from cut.select(["block", "node", "component"]).combine_chunks().to_batches()
 
     dealt = members.select("block", "node", "n", "component").repartition("block").sortWithinPartitions("block", "n", "node")
-    return dealt.mapInArrow(run, "block bigint, whole bigint, node bigint, component bigint")
+    return dealt.mapInArrow(run, "block bigint, node bigint, component bigint")
 
 
 def _bit_of(key: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit("bit"), key), F.lit(1 << ID_BITS))
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``pairs`` with whether their whole sets link."""
+def whole_sets(docs: DataFrame, ids: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The whole set ``x`` of each document in ``ids`` (``rep``)."""
     spark = docs.sparkSession
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     # positions in Spark's bitmaps count from 1
     marks = ids.select((_bit_of(F.col("rep")) + 1).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("k"))
     seen = np.zeros((1 << ID_BITS) // 8, np.uint8)
@@ -462,7 +536,13 @@ def confirmed(docs: DataFrame, pairs: DataFrame, key: str = "doc_id", text: str
         F.col(key).cast("bigint").alias("rep"), F.col(text).cast("string").alias("text"), _bit_of(F.col(key).cast("bigint")).alias("h")
     )
     sets = taken.mapInArrow(run, "rep bigint, x array<bigint>").join(ids, "rep").groupBy("rep").agg(F.max_by("x", F.size("x")).alias("x"))
-    sets = stage(sets, "sets")
+    return stage(sets, "sets")
+
+
+def confirmed(docs: DataFrame, pairs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``pairs`` with whether their whole sets link."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    sets = whole_sets(docs, ids, key, text)
     left = pairs.join(sets.select(F.col("rep").alias("a"), F.col("x").alias("xa")), "a")
     both = left.join(sets.select(F.col("rep").alias("b"), F.col("x").alias("xb")), "b")
     common = F.size(F.array_intersect("xa", "xb"))
@@ -505,30 +585,41 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         "shingle-nodes",
     )
     blocks = stage(shared_blocks(sets), "shingle-blocks")
-    own = blocks.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("block")), 1, FIRST_BLOCKS).alias("first"))
-    known = sets.select("doc_id", "node", "bits").join(nodes, "node").where("doc_id = rep").dropDuplicates(["node"])
-    known = stage(known.join(own, "node").select("node", "rep", "n", "bits", "first"), "shingle-members")
+    known = sets.select("doc_id", "node", "places").join(nodes, "node").where("doc_id = rep").dropDuplicates(["node"])
+    known = stage(known.select("node", "rep", "n", "places"), "shingle-members")
     sized = blocks.join(known.select("node", "rep", "n"), "node")
 
-    def members(rows: DataFrame, whole: bool) -> DataFrame:
-        return cut_blocks(rows, whole).join(known, "node").drop("node")
-
-    forest = tree_pairs(members(sized.withColumn("component", F.col("rep")), False).drop("first"), True)
-    tried = stage(confirmed(docs, stage(forest, "tree-pairs"), key, text), "tried")
-    found = components(tried.where("links").select("a", "b"))
-    # A set without an allowed pair in the forest of a whole block has none in it at all.
-    paired = tried.select(F.explode(F.array("a", "b")).alias("rep")).distinct().withColumn("_paired", F.lit(True))
-    cut = blocks.groupBy("block").agg(F.count("*").alias("_size")).where(F.col("_size") > PART)
-    now = (
-        sized.join(cut, "block", "left")
-        .join(paired, "rep", "left")
-        .where("_paired or _size is not null")
-        .join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
-        .withColumn("component", F.coalesce("component", "rep"))
-    )
-    second = tree_pairs(members(now, True), False).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    more = stage(confirmed(docs, stage(second, "tree-pairs"), key, text), "tried").where("links").select("a", "b")
-    found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(more))
+    def in_components(rows: DataFrame, found: DataFrame) -> DataFrame:
+        named = rows.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
+        return named.withColumn("component", F.coalesce("component", "rep"))
+
+    def tried(pairs: DataFrame) -> DataFrame:
+        return stage(confirmed(docs, stage(pairs, "tree-pairs"), key, text), "tried")
+
+    def and_more(found: DataFrame, links: DataFrame) -> DataFrame:
+        return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(links.select("a", "b")))
+
+    # Parts of every block.
+    parts = cut_blocks(sized.withColumn("component", F.col("rep")), False)
+    first = tried(tree_pairs(parts.join(known, "node").drop("node")))
+    found = components(first.where("links").select("a", "b"))
+
+    # Parts of large blocks with each other.
+    large = stage(blocks.groupBy("block").agg(F.count("*").alias("_size")).where(F.col("_size") > PART).select("block"), "large-blocks")
+    doubted = first.where("not links")
+    if not large.isEmpty():
+        parts = cut_blocks(in_components(sized.join(large, "block"), found), True)
+        second = tried(tree_pairs(parts.join(known, "node").drop("node")).join(first.select("a", "b"), ["a", "b"], "left_anti"))
+        found = and_more(found, second.where("links"))
+        doubted = doubted.unionAll(second.where("not links"))
+
+    # Blocks that gave a pair that is no link.
+    if not doubted.isEmpty():
+        ids = doubted.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        again = sized.join(ids, "rep").groupBy("block").agg(F.count("*").alias("_size")).where("_size > 1").select("block")
+        parts = stage(cut_blocks(in_components(sized.join(again, "block"), found), True).join(known.select("node", "rep", "n"), "node"), "doubted-blocks")
+        whole = whole_sets(docs, parts.select("rep").distinct(), key, text)
+        found = and_more(found, tree_pairs(parts.join(whole, "rep"), folded=False))
     rows = sets.select("doc_id", "n_shingles", "node").join(nodes.select("node", "rep"), "node", "left")
     return rows.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id")
