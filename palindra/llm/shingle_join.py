@@ -101,24 +101,9 @@ def places(hashes: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def places_of(rows: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Every place in ``rows`` and the number of its row."""
-    raw = rows.to_pylist()
-    size = np.array([len(x) for x in raw], np.int64)
-    step = np.frombuffer(b"".join(raw), np.uint8)
-    total = np.cumsum(step, dtype=np.int64)
-    before = np.concatenate([[0], total])[np.cumsum(size) - size]
-    real = step < 255
-    row = np.repeat(np.arange(len(raw)), size)[real]
-    return (total[real] - before[row]).astype(np.uint64), row
-
-
-def sets_in(rows: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Every shingle of the whole sets in ``rows`` and the number of its row."""
-    flat = rows.combine_chunks()
-    flat = pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat
-    size = flat.value_lengths().to_numpy(zero_copy_only=False)
-    return flat.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.repeat(np.arange(len(flat)), size)
+def places_of(steps: bytes) -> np.ndarray:
+    step = np.frombuffer(steps, np.uint8)
+    return np.cumsum(step, dtype=np.int64)[step < 255].view(np.uint64)
 
 
 def prefix_size(n: int) -> int:
@@ -329,35 +314,30 @@ class Tree:
 
 
 class Members:
-    """Sets of one bitmap size, or twice that and folded: sizes, places and their bitmaps."""
-
-    def __init__(self, n: np.ndarray, place: np.ndarray, row: np.ndarray, bits: int, folded: bool):
-        self.n, self.bits = n, bits
-        order = np.lexsort((place & np.uint64(8 * bits - 1) if folded else place, row))
-        self.place, self.row = (place & np.uint64(8 * bits - 1) if folded else place)[order], row[order]
-        if folded:  # shingles at one place are told apart by their number
-            again = np.arange(len(order))
-            new = np.ones(len(order), bool)
-            new[1:] = (self.place[1:] != self.place[:-1]) | (self.row[1:] != self.row[:-1])
-            self.place = self.place | (again - np.maximum.accumulate(np.where(new, again, 0))).astype(np.uint64) << np.uint64(40)
-        self.ends = np.searchsorted(self.row, np.arange(len(n) + 1))
+    """Sets of one bitmap size, or twice that and folded. They are only laid out where
+    bitmaps leave a pair to be compared."""
+
+    def __init__(self, n: np.ndarray, sets: list[np.ndarray], bits: int, folded: bool):
+        self.n, self.sets, self.bits, self.folded = n, sets, bits, folded
+        self.laid: dict[int, np.ndarray] = {}
         self.columns: tuple[np.ndarray, np.ndarray] | None = None
 
-    def bitmaps(self) -> np.ndarray:
-        out = np.zeros((len(self.n), self.bits // 8), np.uint8)
-        step = max(1, (1 << 24) // self.bits)
-        for lo in range(0, len(self.n), step):
-            hi = min(lo + step, len(self.n))
-            some = slice(self.ends[lo], self.ends[hi])
-            flags = np.zeros((hi - lo, self.bits), np.uint8)
-            flags[self.row[some] - lo, (self.place[some] & np.uint64(self.bits - 1)).astype(np.int64)] = 1
-            out[lo:hi] = np.packbits(flags, axis=1, bitorder="little")
-        return out.view(np.uint64)
+    def at(self, i: int) -> np.ndarray:
+        """Places of one member; shingles at one place are told apart by their number."""
+        if not self.folded:
+            return self.sets[i]
+        if i not in self.laid:
+            place = np.sort(self.sets[i] & np.uint64(8 * self.bits - 1))
+            again = np.arange(len(place))
+            new = np.ones(len(place), bool)
+            new[1:] = place[1:] != place[:-1]
+            self.laid[i] = place | (again - np.maximum.accumulate(np.where(new, again, 0))).astype(np.uint64) << np.uint64(40)
+        return self.laid[i]
 
     def links(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether pairs of members have enough places in common."""
         if len(a) <= 8:
-            both = [[self.place[self.ends[i] : self.ends[i + 1]] for i in pair] for pair in zip(a, b)]
+            both = [(self.at(x), self.at(y)) for x, y in zip(a.tolist(), b.tolist())]
             common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in both], np.int64)
         else:
             common = self._common(a, b)
@@ -367,12 +347,14 @@ class Members:
         """Common places of pairs, in bitmaps with a bit for each place of several members,
         ``COLUMNS`` of them at once."""
         if self.columns is None:
-            _, column, often = np.unique(self.place, return_inverse=True, return_counts=True)
+            every = [self.at(i) for i in range(len(self.n))]
+            rows = np.repeat(np.arange(len(every)), [len(x) for x in every])
+            _, column, often = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
             shared = often > 1
             number = np.cumsum(shared) - 1
             keep = np.flatnonzero(shared[column])
             keep = keep[np.argsort(column[keep], kind="stable")]
-            self.columns = number[column[keep]], self.row[keep]
+            self.columns = number[column[keep]], rows[keep]
         column, row = self.columns
         out = np.zeros(len(a), np.int64)
         for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
@@ -389,11 +371,11 @@ class Members:
 
 
 def candidates(
-    n: np.ndarray, place: np.ndarray, row: np.ndarray, group: np.ndarray, rank: np.ndarray | None = None, folded: bool = True
+    n: np.ndarray, sets: list[np.ndarray], group: np.ndarray, rank: np.ndarray | None = None, folded: bool = True
 ) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of members, sorted by size, that connect what all links between members of
-    different groups would connect. ``place`` are places of the shingles of member ``row``,
-    or with ``folded`` false the shingles themselves.
+    different groups would connect. ``sets`` are the places of their shingles, or with
+    ``folded`` false the shingles themselves.
 
     Pairs are tried around the member of lowest ``rank``, then the next: around the first
     as stars, around the others as the trees allow them.
@@ -401,6 +383,11 @@ def candidates(
     group = group.copy()
     rank = np.arange(len(n)) if rank is None else rank
     bits = np.array([bitmap_bits(int(x)) for x in n])
+    maps = []
+    for x, m in zip(sets, bits.tolist()):
+        flags = np.zeros(m, np.uint8)
+        flags[(x & np.uint64(m - 1)).view(np.int64)] = 1
+        maps.append(np.packbits(flags, bitorder="little").view(np.uint64))
     left, right = [], []
 
     def join(a: np.ndarray, b: np.ndarray) -> None:
@@ -415,11 +402,9 @@ def candidates(
         own = np.flatnonzero(exact | (bits == 2 * m))
         if len(own) < 2 or len(np.unique(group[own])) < 2:
             continue
-        number = np.full(len(n), -1)
-        number[own] = np.arange(len(own))
-        some = number[row] >= 0
-        members = Members(n[own], place[some], number[row[some]], m, folded)
-        tree = Tree(n[own], members.bitmaps())
+        rows = np.array([maps[i] if exact[i] else maps[i][: m // 64] | maps[i][m // 64 :] for i in own])
+        members = Members(n[own], [sets[i] for i in own], m, folded)
+        tree = Tree(n[own], rows)
         every = np.arange(len(own))
         for c in np.argsort(rank[own], kind="stable")[:CENTRES]:
             around = every[group[own] != group[own[c]]]
@@ -451,12 +436,13 @@ def tree_pairs(members: DataFrame, folded: bool = True) -> DataFrame:
     def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
         n, rep = table.column("n").to_numpy(), table.column("rep").to_numpy()
         order = np.lexsort((rep, n))
-        place, row = places_of(table.column("places")) if folded else sets_in(table.column("x"))
-        number = np.empty(len(order), np.int64)
-        number[order] = np.arange(len(order))
+        if folded:
+            sets = [places_of(x.as_buffer()) for x in table.column("places")]
+        else:
+            sets = [x.values.to_numpy().view(np.uint64) for x in table.column("x")]
         _, group = np.unique(table.column("component").to_numpy()[order], return_inverse=True)
         n, rep = n[order], rep[order]
-        a, b = candidates(n, place, number[row], group, mix(rep.view(np.uint64).copy()), folded)
+        a, b = candidates(n, [sets[i] for i in order], group, mix(rep.view(np.uint64).copy()), folded)
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[a], rep[b])), pa.array(np.maximum(rep[a], rep[b]))], ["a", "b"])
 
