@@ -47,8 +47,9 @@ from palindra.session import stage
 SHINGLE = 5
 PART = 1024
 FANOUT = 4
-#: Members of a block that stars are tried around.
-CENTRES = 8
+#: A tree has at most so many topmost nodes. In larger blocks than ``FEW`` stars are tried
+#: around ``CENTRES`` members first.
+ROOTS, FEW, CENTRES = 8, 64, 8
 #: One in so many documents is looked at for shingles that many documents share, of the
 #: lower hashes, which are those that prefixes reach.
 ONE_IN, SEEN, HOT_SHINGLES = 4, 4, 1 << 18
@@ -267,7 +268,7 @@ class Tree:
     def __init__(self, n: np.ndarray, bits: np.ndarray):
         excess = n - np.bitwise_count(bits).sum(1, dtype=np.int64)
         self.levels = [(bits, n, n, excess)]
-        while len(self.levels[-1][1]) > 1:
+        while len(self.levels[-1][1]) > ROOTS:
             bits, least, most, excess = self.levels[-1]
             at = np.arange(0, len(least), FANOUT)
             self.levels.append(
@@ -296,7 +297,7 @@ class Tree:
             at = np.arange(0, len(below), FANOUT)
             low, high = np.minimum.reduceat(below, at), np.maximum.reduceat(below, at)
             same.append(np.where((low == high) & (low >= 0), low, -1))
-        p = q = np.zeros(1, np.int64)
+        p, q = np.triu_indices(len(same[-1]))
         for level in range(len(self.levels) - 1, -1, -1):
             go = ~((same[level][p] >= 0) & (same[level][p] == same[level][q]))
             go &= (p != q) | (level > 0)
@@ -323,7 +324,7 @@ class Members:
         self.columns: tuple[np.ndarray, np.ndarray] | None = None
 
     def at(self, i: int) -> np.ndarray:
-        """Places of one member; shingles at one place are told apart by their number."""
+        """Places of one member in order; shingles at one place are told apart by their number."""
         if not self.folded:
             return self.sets[i]
         if i not in self.laid:
@@ -331,14 +332,16 @@ class Members:
             again = np.arange(len(place))
             new = np.ones(len(place), bool)
             new[1:] = place[1:] != place[:-1]
-            self.laid[i] = place | (again - np.maximum.accumulate(np.where(new, again, 0))).astype(np.uint64) << np.uint64(40)
+            self.laid[i] = place << np.uint64(24) | (again - np.maximum.accumulate(np.where(new, again, 0))).astype(np.uint64)
         return self.laid[i]
 
     def links(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether pairs of members have enough places in common."""
-        if len(a) <= 8:
-            both = [(self.at(x), self.at(y)) for x, y in zip(a.tolist(), b.tolist())]
-            common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in both], np.int64)
+        if len(a) <= FEW or (a == a[0]).all():
+            common = np.zeros(len(a), np.int64)
+            for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+                x, y = self.at(x), self.at(y)
+                common[k] = (x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum()
         else:
             common = self._common(a, b)
         return 7 * common >= 3 * (self.n[a] + self.n[b])
@@ -400,15 +403,17 @@ def candidates(
     for m in np.unique(bits).tolist():
         exact = bits == m
         own = np.flatnonzero(exact | (bits == 2 * m))
-        if len(own) < 2 or len(np.unique(group[own])) < 2:
+        if len(own) < 2 or (group[own] == group[own[0]]).all():
             continue
         rows = np.array([maps[i] if exact[i] else maps[i][: m // 64] | maps[i][m // 64 :] for i in own])
         members = Members(n[own], [sets[i] for i in own], m, folded)
         tree = Tree(n[own], rows)
         every = np.arange(len(own))
-        for c in np.argsort(rank[own], kind="stable")[:CENTRES]:
+        for c in np.argsort(rank[own], kind="stable")[: CENTRES if len(own) > FEW else 0]:
             around = every[group[own] != group[own[c]]]
             around = around[tree.allowed(0, np.full(len(around), c), around)]
+            if not len(around):
+                continue
             around = around[members.links(np.full(len(around), c), around)]
             join(np.full(len(around), own[c]), own[around])
         p, q = tree.pairs(group[own])
@@ -417,10 +422,15 @@ def candidates(
         low, high = np.minimum(rank[own[p]], rank[own[q]]), np.maximum(rank[own[p]], rank[own[q]])
         order = np.lexsort((high, low))
         p, q = p[order], q[order]
-        for lo in range(0, len(p), AT_ONCE):
-            a, b = p[lo : lo + AT_ONCE], q[lo : lo + AT_ONCE]
+        lo = 0
+        while lo < len(p):
+            # few at first, as what they join needs no comparison
+            a, b = p[lo : lo + max(FEW, min(lo, AT_ONCE))], q[lo : lo + max(FEW, min(lo, AT_ONCE))]
+            lo += len(a)
             apart = group[own[a]] != group[own[b]]
             a, b = a[apart], b[apart]
+            if not len(a):
+                continue
             ok = members.links(a, b)
             join(own[a[ok]], own[b[ok]])
     return np.array(left, np.int64), np.array(right, np.int64)
