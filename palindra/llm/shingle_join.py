@@ -15,13 +15,14 @@ of the intersection is at least 75 times that of the union. Sets are compared as
    together as long as the bits they share and those sizes allow a link. Leaves that
    pass are compared in the same task by the places of their shingles among at least
    32 times as many bits, which never tell too few common ones and seldom too many.
-   A block of more than ``PART`` sets is cut into parts.
+   A block is cut into parts where sizes are too far apart for a link, and where it has
+   more than ``PART`` sets; parts with the same sets are one.
 3. Rounds. A task gives a spanning forest of the pairs that places call links, never
    all of them. As forests begin at the sets of lowest hash everywhere, blocks with much
    the same sets give much the same pairs. Pairs are confirmed by whole sets and give
    components. The first round takes the parts of every block; the second lets the parts
-   of large blocks meet; the third repeats the few blocks with a pair that was not
-   confirmed, with whole sets in place of bits, so that its pairs are links.
+   of large blocks meet; the third repeats the few parts that hold both ends of a pair
+   that was not confirmed, with whole sets in place of bits, so that its pairs are links.
 
 Prefixes, not groups, are dealt by shingle; a task holds a part's members, about a byte
 for each of their shingles (eight in the third round). Whole sets are rebuilt from the
@@ -460,24 +461,32 @@ def tree_pairs(members: DataFrame, folded: bool = True) -> DataFrame:
         for _, table in runs(batches):
             yield from found(table)
 
-    dealt = members.repartition("block").sortWithinPartitions("block")
+    dealt = members.select("block", "rep", "n", "component", "places" if folded else "x").repartition("block").sortWithinPartitions("block")
     return dealt.mapInArrow(run, PAIRS).distinct()
 
 
 def cut_blocks(members: DataFrame, whole: bool) -> DataFrame:
-    """Blocks of at most about ``PART`` members of blocks of any size.
+    """Parts ``block, rep, component`` of at most about ``PART`` members of blocks of any size.
 
-    Parts of a block, in order of size, share a member with the next. With ``whole``,
-    members outside the block's largest component also meet all others, part by part;
-    blocks of one component are left out.
+    A block, in order of size, is cut wherever the next set is too large to link with
+    the one before; sets left alone go. Parts of what remains share a member with the
+    next. With ``whole``, members outside the largest component also meet all others,
+    part by part; where there is one component there are no parts. Parts of the same
+    members, of whatever blocks, are one.
     """
 
     limit = PART
 
-    def split(table: pa.Table, block: int) -> Iterator[np.ndarray]:
-        size = table.num_rows
+    def split(n: np.ndarray, component: np.ndarray) -> Iterator[np.ndarray]:
+        cuts = (np.flatnonzero(4 * n[:-1] < 3 * n[1:]) + 1).tolist()
+        for low, high in zip([0, *cuts], [*cuts, len(n)]):
+            if high - low > 1:
+                for rows in parts(component[low:high]):
+                    yield rows + low
+
+    def parts(component: np.ndarray) -> Iterator[np.ndarray]:
+        size = len(component)
         if whole:
-            component = table.column("component").to_numpy()
             names, at, counts = np.unique(component, return_inverse=True, return_counts=True)
             if len(names) < 2:
                 return
@@ -489,19 +498,49 @@ def cut_blocks(members: DataFrame, whole: bool) -> DataFrame:
                 for j in range(0, len(few), limit // 2):
                     yield np.unique(np.concatenate([np.arange(i, min(i + limit, size)), few[j : j + limit // 2]]))
             return
-        for i in range(0, max(size - 1, 1), limit - 1):
+        for i in range(0, size - 1, limit - 1):
             yield np.arange(i, min(i + limit, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, table in runs(batches):
-            for part, rows in enumerate(split(table, block)):
-                name = int(mix(np.array([block], np.int64).view(np.uint64) + np.uint64(part)).view(np.int64)[0]) if part else block
-                cut = table.take(pa.array(rows)) if len(rows) < table.num_rows else table
-                cut = cut.set_column(0, "block", pa.array(np.full(len(rows), name, np.int64)))
-                yield from cut.select(["block", "node", "component"]).combine_chunks().to_batches()
+        kept: list[tuple[np.ndarray, ...]] = []
+        held = 0
+        for _, table in runs(batches):
+            rep, component = table.column("rep").to_numpy(), table.column("component").to_numpy()
+            for rows in split(table.column("n").to_numpy(), component):
+                with np.errstate(over="ignore"):
+                    name = mix(rep[rows].view(np.uint64)).sum() + np.uint64(len(rows))
+                name = mix(np.array([name], np.uint64)).view(np.int64)
+                kept.append((np.repeat(name, len(rows)), rep[rows], component[rows]))
+                held += len(rows)
+                if held > 50_000:
+                    yield together(kept)
+                    kept, held = [], 0
+        if kept:
+            yield together(kept)
+
+    def together(kept: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*kept)], ["block", "rep", "component"])
+
+    dealt = members.select("block", "rep", "n", "component").repartition("block").sortWithinPartitions("block", "n", "rep")
+    return dealt.mapInArrow(run, "block bigint, rep bigint, component bigint").distinct()
 
-    dealt = members.select("block", "node", "n", "component").repartition("block").sortWithinPartitions("block", "n", "node")
-    return dealt.mapInArrow(run, "block bigint, node bigint, component bigint")
+
+def holding(parts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows ``block, rep`` of the parts that hold both ends of one of ``pairs``.
+
+    A pair is looked for in the parts of the end that stands in fewer pairs, so that the
+    centre of a star is not laid at its parts once for each of them.
+    """
+    often = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("_often"))
+    ends = pairs.join(often.select(F.col("rep").alias("a"), F.col("_often").alias("_a")), "a").join(
+        often.select(F.col("rep").alias("b"), F.col("_often").alias("_b")), "b"
+    )
+    less = F.col("_a") <= F.col("_b")
+    asked = ends.select(F.when(less, F.col("a")).otherwise(F.col("b")).alias("rep"), F.when(less, F.col("b")).otherwise(F.col("a")).alias("_other"))
+    placed = parts.select("block", "rep")
+    other = asked.join(placed, "rep").select("block", F.col("_other").alias("rep")).distinct()
+    blocks = other.join(placed, ["block", "rep"], "left_semi").select("block").distinct()
+    return placed.join(blocks, "block", "left_semi")
 
 
 def _bit_of(key: Column) -> Column:
@@ -581,9 +620,10 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         "shingle-nodes",
     )
     blocks = stage(shared_blocks(sets), "shingle-blocks")
-    known = sets.select("doc_id", "node", "places").join(nodes, "node").where("doc_id = rep").dropDuplicates(["node"])
-    known = stage(known.select("node", "rep", "n", "places"), "shingle-members")
-    sized = blocks.join(known.select("node", "rep", "n"), "node")
+    # keyed on both, as the join deals rows by both
+    known = sets.select("doc_id", "node", "places").join(nodes, "node").where("doc_id = rep").dropDuplicates(["node", "rep"])
+    known = stage(known.select("rep", "n", "places"), "shingle-members")
+    sized = blocks.join(nodes, "node").select("block", "rep", "n")
 
     def in_components(rows: DataFrame, found: DataFrame) -> DataFrame:
         named = rows.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
@@ -596,26 +636,28 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(links.select("a", "b")))
 
     # Parts of every block.
-    parts = cut_blocks(sized.withColumn("component", F.col("rep")), False)
-    first = tried(tree_pairs(parts.join(known, "node").drop("node")))
+    parts = stage(cut_blocks(sized.withColumn("component", F.col("rep")), False), "block-parts")
+    first = tried(tree_pairs(parts.join(known, "rep")))
     found = components(first.where("links").select("a", "b"))
+    parts = parts.select("block", "rep")
 
     # Parts of large blocks with each other.
     large = stage(blocks.groupBy("block").agg(F.count("*").alias("_size")).where(F.col("_size") > PART).select("block"), "large-blocks")
-    doubted = first.where("not links")
+    doubted = first.where("not links").select("a", "b")
     if not large.isEmpty():
-        parts = cut_blocks(in_components(sized.join(large, "block"), found), True)
-        second = tried(tree_pairs(parts.join(known, "node").drop("node")).join(first.select("a", "b"), ["a", "b"], "left_anti"))
+        more = stage(cut_blocks(in_components(sized.join(large, "block"), found), True), "block-parts")
+        second = tried(tree_pairs(more.join(known, "rep")).join(first.select("a", "b"), ["a", "b"], "left_anti"))
         found = and_more(found, second.where("links"))
-        doubted = doubted.unionAll(second.where("not links"))
+        doubted = doubted.unionAll(second.where("not links").select("a", "b"))
+        parts = parts.unionAll(more.select("block", "rep")).distinct()
 
-    # Blocks that gave a pair that is no link.
+    # Parts that gave a pair that is no link.
     if not doubted.isEmpty():
-        ids = doubted.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-        again = sized.join(ids, "rep").groupBy("block").agg(F.count("*").alias("_size")).where("_size > 1").select("block")
-        parts = stage(cut_blocks(in_components(sized.join(again, "block"), found), True).join(known.select("node", "rep", "n"), "node"), "doubted-blocks")
-        whole = whole_sets(docs, parts.select("rep").distinct(), key, text)
-        found = and_more(found, tree_pairs(parts.join(whole, "rep"), folded=False))
+        again = in_components(holding(parts, doubted), found)
+        several = again.groupBy("block").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b")
+        again = stage(again.join(several, "block", "left_semi"), "doubted-parts")
+        whole = whole_sets(docs, again.select("rep").distinct(), key, text).withColumn("n", F.size("x").cast("bigint"))
+        found = and_more(found, tree_pairs(again.join(whole, "rep"), folded=False))
     rows = sets.select("doc_id", "n_shingles", "node").join(nodes.select("node", "rep"), "node", "left")
     return rows.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id")
