@@ -194,12 +194,15 @@ def attach(
 
     ``spread`` numbers the parts a key's rows are split into and ``parts`` says how
     many the key has. Its row in the table is repeated for each, so the join is
-    keyed on both and no task gets more of a hot key than one part.
+    keyed on both and no task gets more of a hot key than one part. The repeated
+    table is joined by a shuffle: its size estimate is that of the table before
+    the repeating, so a broadcast would build up to ``parts`` times more rows on
+    the driver than planned.
     """
     added = [c for c in per_key.columns if c not in keys]
     repeated = per_key.withColumn("_spread", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
     rows = df.withColumn("_spread", spread.cast("bigint"))
-    return rows.join(repeated, [*keys, "_spread"], how).select(*df.columns, *added)
+    return rows.join(repeated.hint("merge"), [*keys, "_spread"], how).select(*df.columns, *added)
 
 
 def attach_totals(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from palindra.operators import ordered, runlog
 from palindra.operators.ordered import Running
+from palindra.session import stage
 
 
 def _naive(rows):
@@ -141,3 +142,14 @@ def test_average_of_a_million_lines_of_one_run(spark):
         if i in some:
             want[i] = x
     assert len(some) == 12 and all(some[i] == pytest.approx(want[i], rel=1e-9) for i in some)
+
+
+def test_attach_does_not_broadcast_the_repeated_table(spark):
+    """The repeated table is ``parts`` times larger than its estimate; it is joined by a shuffle."""
+    rows = [(k, at) for k in range(50) for at in range(40)]
+    df = spark.createDataFrame(rows, "k bigint, at bigint")
+    per_key = stage(df.groupBy("k").agg(F.max("at").alias("hi")), "test-per-key")
+    joined = ordered.attach(df, ["k"], F.pmod("at", F.lit(64)), F.lit(64).cast("bigint"), per_key)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    assert sorted((r.k, r.at, r.hi) for r in joined.collect()) == sorted((k, at, 39) for k, at in rows)
