@@ -149,6 +149,51 @@ def encode_arrays(rows: DataFrame, keys: Sequence[str], column: str, vocabulary:
     return whole.withColumn(column, ids).select(*rows.columns)
 
 
+def _head_tokens(tokens: Broadcast):
+    """Tokens of arrays of ids, null for ids that are not in the head; ``tokens`` is indexed by id."""
+
+    @F.arrow_udf("array<string>")
+    def tokens_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        table = tokens.value
+        for batch in batches:
+            flat = batch.flatten()
+            inside = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(table)))
+            found = pc.if_else(inside, pc.take(table, pc.if_else(inside, flat, 0)), pa.scalar(None, pa.string()))
+            lengths = pc.fill_null(pc.list_value_length(batch), 0).to_numpy()
+            offsets = np.concatenate([[0], np.cumsum(lengths)])
+            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), found)
+
+    return tokens_of
+
+
+def decode_arrays(rows: DataFrame, keys: Sequence[str], column: str, vocabulary: DataFrame) -> DataFrame:
+    """Replace an array of ids by its tokens; ``keys`` identify a row.
+
+    The short tokens of the head go to the workers, where arrays are looked up in
+    place. Of the rest, a row's distinct ids, not their occurrences, join the rest of
+    the vocabulary, salted so that a frequent long token is no hot key, and are put in
+    where they stand. An id that is none is an error.
+    """
+    short = (F.col("id") < HEAD) & (F.octet_length("token") <= HEAD_TOKEN_BYTES)
+    head = vocabulary.where(short).select("id", "token").toArrow()
+    # one null at least, so that an empty head still takes
+    at = np.full(max(HEAD, 1), -1, np.int64)
+    at[head["id"].to_numpy()] = np.arange(head.num_rows)
+    table = pc.take(head["token"].combine_chunks(), pa.array(at, mask=at < 0))
+    looked = rows.withColumn("_toks", _head_tokens(rows.sparkSession.sparkContext.broadcast(table))(column))
+    ids = F.col(column)
+    missed = F.array_distinct(F.filter(ids, lambda i, k: F.get(F.col("_toks"), k).isNull()))
+    salt = F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int")
+    asked = looked.select(*keys, salt.alias("_salt"), F.explode(missed).alias("id"))
+    salted = vocabulary.where(~short).select("id", "token", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    told = asked.join(salted, ["id", "_salt"]).groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("id", "token"))).alias("_rare")
+    )
+    whole = looked.join(told, list(keys), "left")
+    tokens = F.zip_with(column, "_toks", lambda i, t: _known(F.coalesce(t, F.try_element_at("_rare", i)), "an id"))
+    return whole.withColumn(column, tokens).select(*rows.columns)
+
+
 def encode_texts(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(doc, ids) of (doc, text)."""
     toks = docs.select("doc", txt.tokens(F.col("text")).alias("ids"))

@@ -1516,9 +1516,8 @@ def decode_ids(spark, sf_dir):
     docs = documents(spark, sf_dir).where(F.length("text") > 0)
     words = corpus_vocabulary(spark, sf_dir)
     ids = vocabulary.encode_texts(docs.select(F.col("doc_id").alias("doc"), "text"), words)
-    long = vocabulary.decode(ids.select("doc", F.posexplode("ids").alias("pos", "id")), words)
-    back = vocabulary.gather(long, ["doc"], "token", "tokens")
-    return back.select(F.col("doc").alias("doc_id"), digest(F.col("tokens")).alias("tokens"), big(F.size("tokens")).alias("n"))
+    back = vocabulary.decode_arrays(ids, ["doc"], "ids", words)
+    return back.select(F.col("doc").alias("doc_id"), digest(F.col("ids")).alias("tokens"), big(F.size("ids")).alias("n"))
 
 
 @query(

@@ -147,3 +147,24 @@ def test_unknown_tokens_are_errors_whatever_the_size(spark, monkeypatch):
         with pytest.raises(Exception, match="an id is not in the vocabulary"):
             vocabulary.decode(spark.createDataFrame([(0, 99)], "at bigint, id bigint"), words).collect()
     assert seen[0] == seen[1] == seen[2]
+
+
+def test_arrays_are_decoded_in_place(spark, monkeypatch):
+    """Head, tail, long tokens and unknown ids; no row per token is shuffled."""
+    rule = "-" * 300
+    words = vocabulary.build(spark.createDataFrame([("a", 5), (rule, 4), ("b", 3), ("c", 1)], "token string, n bigint"))
+    ids = spark.createDataFrame([(1, [3, 4, 6, 4, 3]), (2, []), (4, [5])], "doc bigint, ids array<bigint>")
+    bad = spark.createDataFrame([(1, [3, 99, 5])], "doc bigint, ids array<bigint>")
+    for head in (1 << 20, 4, 0):
+        monkeypatch.setattr(vocabulary, "HEAD", head)
+        got = {r.doc: r.ids for r in vocabulary.decode_arrays(ids, ["doc"], "ids", words).collect()}
+        assert got == {1: ["a", rule, "c", rule, "a"], 2: [], 4: ["b"]}
+        with pytest.raises(Exception, match="an id is not in the vocabulary"):
+            vocabulary.decode_arrays(bad, ["doc"], "ids", words).collect()
+
+
+def test_decode_ids_does_not_shuffle_a_row_per_token(spark):
+    import __spark_entry__ as entry_point
+
+    df = entry_point.queries()["decode_ids"](spark, "/root/testdata/sf0.001")
+    assert "posexplode" not in df._jdf.queryExecution().executedPlan().toString()
