@@ -180,16 +180,21 @@ def decode_arrays(rows: DataFrame, keys: Sequence[str], column: str, vocabulary:
     at = np.full(max(HEAD, 1), -1, np.int64)
     at[head["id"].to_numpy()] = np.arange(head.num_rows)
     table = pc.take(head["token"].combine_chunks(), pa.array(at, mask=at < 0))
-    looked = rows.withColumn("_toks", _head_tokens(rows.sparkSession.sparkContext.broadcast(table))(column))
-    ids = F.col(column)
-    missed = F.array_distinct(F.filter(ids, lambda i, k: F.get(F.col("_toks"), k).isNull()))
+    lookup = _head_tokens(rows.sparkSession.sparkContext.broadcast(table))
+    rest = vocabulary.where(~short)
+    if rest.isEmpty():
+        tokens = F.transform(lookup(column), lambda t: _known(t, "an id"))
+        return rows.withColumn(column, tokens).select(*rows.columns)
+    looked = rows.select(*keys, column, lookup(column).alias("_toks"))
+    missed = F.array_distinct(F.filter(column, lambda i, k: F.get(F.col("_toks"), k).isNull()))
     salt = F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int")
     asked = looked.select(*keys, salt.alias("_salt"), F.explode(missed).alias("id"))
-    salted = vocabulary.where(~short).select("id", "token", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    salted = rest.select("id", "token", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     told = asked.join(salted, ["id", "_salt"]).groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct("id", "token"))).alias("_rare")
     )
-    whole = looked.join(told, list(keys), "left")
+    # the rows meet the map holding ids only; the head is looked up again behind the join
+    whole = rows.join(told, list(keys), "left").withColumn("_toks", lookup(column))
     tokens = F.zip_with(column, "_toks", lambda i, t: _known(F.coalesce(t, F.try_element_at("_rare", i)), "an id"))
     return whole.withColumn(column, tokens).select(*rows.columns)
 
