@@ -33,14 +33,24 @@ class SilenceWatch(StatefulProcessor):
         # Newest line, and whether its silence is reported.
         self.newest = handle.getValueState("newest", "seq bigint, at_us bigint, silent boolean")
 
+    def due_ms(self, at_us: int) -> int:
+        """The timer of a newest line at ``at_us``; watermarks are whole milliseconds."""
+        return -(-max(at_us + self.quiet_us, self.graced_until) // 1000) + 1
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seq, at, silent = self.newest.get() if self.newest.exists() else (None, None, False)
-        lines = pd.concat(list(rows)).sort_values(["at_us", "seq"])
+        kept = self.newest.get()
+        seq, at, silent = kept if kept is not None else (None, None, False)
+        parts = list(rows)
+        lines = parts[0] if len(parts) == 1 else pd.concat(parts)
+        times, seqs = lines["at_us"].to_numpy(), lines["seq"].to_numpy()
+        order = np.lexsort((seqs, times))
+        times, seqs = times[order], seqs[order]
         if at is not None:
-            lines = lines[lines["at_us"] >= at]  # the run was heard of since the others
-        if len(lines) == 0:
+            # the run was heard of since the others
+            since = times >= at
+            times, seqs = times[since], seqs[since]
+        if len(times) == 0:
             return
-        times, seqs = lines["at_us"].to_numpy(), lines["seq"].to_numpy()
         if at is not None:
             times, seqs = np.append(at, times), np.append(seq, seqs)
         due = np.maximum(times[:-1] + self.quiet_us, self.graced_until)
@@ -49,13 +59,14 @@ class SilenceWatch(StatefulProcessor):
             if i or not silent:
                 found.append((key[0], "silent", seqs[i], times[i], None))
             found.append((key[0], "returned", seqs[i + 1], times[i], times[i + 1]))
+        if kept is not None and not silent:
+            # The one timer of a run is that of its newest line until it goes off.
+            self.handle.deleteTimer(self.due_ms(at))
         seq, at = int(seqs[-1]), int(times[-1])
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
         self.newest.update((seq, at, False))
-        # Watermarks are whole milliseconds.
-        self.handle.registerTimer(-(-max(at + self.quiet_us, self.graced_until) // 1000) + 1)
-        yield _report(found)
+        self.handle.registerTimer(self.due_ms(at))
+        if found:
+            yield _report(found)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         seq, at, silent = self.newest.get()

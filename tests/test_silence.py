@@ -54,3 +54,48 @@ def test_gaps_inside_one_batch_and_grace(spark, tmp_path):
 def test_watermark_waits(spark, tmp_path, late, told):
     rows = [*beat(1, 150), (2, 0, 0)]
     assert len(reports(spark, str(tmp_path), [rows], late=late)[0]) == told
+
+
+class _Calls:
+    """A handle and value state that only record what a run asks of them."""
+
+    def __init__(self):
+        self.calls, self.value = [], None
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def exists(self):
+        self.calls.append("exists")
+        return self.value is not None
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def listTimers(self):
+        self.calls.append("listTimers")
+        return iter([])
+
+    def deleteTimer(self, ms):
+        self.calls.append(("deleteTimer", ms))
+
+    def registerTimer(self, ms):
+        self.calls.append(("registerTimer", ms))
+
+
+def test_a_batch_asks_the_state_store_little():
+    import pandas as pd
+
+    watch, calls = silence.SilenceWatch(100 * SECOND), _Calls()
+    watch.init(calls)
+    for part in ([(1, 0, 0), (1, 1, 10)], [(1, 2, 20)]):
+        rows = pd.DataFrame([(run, seq, at * SECOND) for run, seq, at in part], columns=["run_id", "seq", "at_us"])
+        list(watch.handleInputRows((1,), iter([rows]), None))
+    # Each line's timer is known from the state: no listing, and the old one goes.
+    first, then = (10 + 100) * 1000 + 1, (20 + 100) * 1000 + 1
+    assert calls.calls == ["get", "update", ("registerTimer", first), "get", ("deleteTimer", first), "update", ("registerTimer", then)]
