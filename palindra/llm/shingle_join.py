@@ -5,8 +5,11 @@ a-z), of fewer words all of them as one; two documents link when 100 times the s
 of the intersection is at least 75 times that of the union. Sets are compared as
 64-bit hashes of shingles; equal sets are one node, whatever the number of copies.
 
-1. Blocks. In one order of all shingles, two sets that link share one of the first
-   ``n - ceil(0.75 n) + 1`` of either. Sets meet in the block of each such shingle.
+1. Blocks. In one order of all shingles, two sets that link share ``k`` of the first
+   ``n - ceil(0.75 n) + k`` of either, or all that they need. Sets meet in the block of
+   each such shingle. Blocks of up to ``SMALL`` sets are told as pairs; those that meet
+   less than ``k`` times, or where too little of either is left, go before their sets
+   have been moved.
    The order is by hash, with the shingles that a sample finds in many documents at
    its end: so a passage that many documents share makes no block unless it is most
    of a document. The order decides how much work there is, never what is found.
@@ -20,13 +23,15 @@ of the intersection is at least 75 times that of the union. Sets are compared as
 3. Rounds. A task gives a spanning forest of the pairs that places call links, never
    all of them. As forests begin at the sets of lowest hash everywhere, blocks with much
    the same sets give much the same pairs. Pairs are confirmed by whole sets and give
-   components. The first round takes the parts of every block; the second lets the parts
-   of large blocks meet; the third repeats the few parts that hold both ends of a pair
-   that was not confirmed, with whole sets in place of bits, so that its pairs are links.
+   components. The first round takes the parts of every block, and of the pairs one for
+   each set; the second lets the parts of large blocks meet, and the pairs that are still
+   apart; the third compares the few components that pairs which were not confirmed would
+   join, with whole sets in place of bits, so that its pairs are links.
 
-Prefixes, not groups, are dealt by shingle; a task holds a part's members, about a byte
-for each of their shingles (eight in the third round). Whole sets are rebuilt from the
-texts of documents in a pair, found by a bitmap of fixed size over their ids.
+Prefixes, not groups, are dealt by shingle, packed in ``BUCKETS``; a task holds a bucket, or
+a part's members, about a byte for each of their shingles (eight in the third round). Whole
+sets are rebuilt from the texts of documents in a pair, found by a bitmap of fixed size
+over their ids.
 
 Null and empty texts have no set and link with nothing, not even each other. Rows that
 repeat a key count as copies. An empty table gives no rows; other columns are not
@@ -39,6 +44,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +65,20 @@ REACH = np.uint64(0.45 * 2**64)
 #: Pairs compared at once, and bits that the members of a block are compared in at once.
 AT_ONCE, COLUMNS = 1 << 14, 1 << 16
 ID_BITS = 23
+#: Linking sets share so many shingles of their prefixes, and one more for each ``ONE_MORE`` of
+#: the smaller's size; shingles of up to ``SMALL`` sets are told as pairs.
+SHARED, ONE_MORE, SMALL = 3, 128, 32
+#: Prefixes go in so many buckets; a task packs and holds about ``HELD`` entries or pairs at once.
+BUCKETS, HELD = 1 << 12, 1 << 20
+#: Of a shingle in a prefix: its hash without the bits of the bucket, the set, the set's size
+#: (exact up to ``EXACT``) and its place in 640ths of the size.
+ENTRY = np.dtype([("x", "<u4"), ("node", "<i8"), ("n", "<u2"), ("place", "u1")])
+EXACT = (1 << 15) - 1
+FOUND = ["block", "a", "b", "n", "need"]
+#: Bytes of texts taken at once, so that arrays stay in a core's cache.
+TEXTS = 1 << 18
+#: Bits of a shingle that are looked up before the shingle itself.
+FLAG_BITS = np.uint64((1 << 22) - 1)
 
 SETS = "doc_id bigint, n_shingles bigint, node bigint, places binary, prefix array<bigint>"
 
@@ -82,8 +103,14 @@ def shingles(found: Spans, n: int) -> tuple[np.ndarray, np.ndarray]:
         few.append(v)
     h = np.concatenate([mix(h), mix(np.array(few, np.uint64))])
     doc = np.concatenate([doc, short])
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
+    counts = np.maximum(counts - SHINGLE + 1, np.minimum(counts, 1))
+    at = np.concatenate([[0], np.cumsum(counts)])
+    if len(short):
+        order = np.argsort(doc, kind="stable")
+        h, doc = h[order], doc[order]
+    several = np.flatnonzero(counts > 1)
+    for a, b in zip(at[several].tolist(), at[several + 1].tolist()):
+        h[a:b].sort()
     fresh = np.ones(len(h), bool)
     fresh[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     return h[fresh], doc[fresh]
@@ -96,11 +123,7 @@ def bitmap_bits(n: int) -> int:
 def places(hashes: np.ndarray) -> bytes:
     """Where shingles stand among eight times as many bits as a bitmap has, as steps of
     one byte; 255 is a step of so many without a shingle."""
-    at = np.sort(hashes & np.uint64(8 * bitmap_bits(len(hashes)) - 1)).astype(np.int64)
-    step = np.diff(at, prepend=0)
-    out = np.full(len(at) + int((step // 255).sum()), 255, np.uint8)
-    out[np.cumsum(step // 255 + 1) - 1] = step % 255
-    return out.tobytes()
+    return _all_places(hashes, np.array([len(hashes)]))[0].tobytes()
 
 
 def places_of(steps: bytes) -> np.ndarray:
@@ -108,70 +131,156 @@ def places_of(steps: bytes) -> np.ndarray:
     return np.cumsum(step, dtype=np.int64)[step < 255].view(np.uint64)
 
 
+def shared_in_prefixes(n: int) -> int:
+    """How many shingles of its prefix a set has in common with any it links with, unless
+    links need fewer. Long texts meet at some by chance."""
+    return SHARED + n // ONE_MORE
+
+
 def prefix_size(n: int) -> int:
-    return n - -(-3 * n // 4) + 1
+    return n - -(-3 * n // 4) + shared_in_prefixes(n)
 
 
 def _per_text(texts, found: Callable) -> Iterator:
-    for lo, hi in slices(texts):
+    for lo, hi in slices(texts, TEXTS):
         h, doc = shingles(words(texts, lo, hi), hi - lo)
         bounds = np.searchsorted(doc, np.arange(hi - lo + 1))
         for i in range(hi - lo):
             yield found(lo + i, h[bounds[i] : bounds[i + 1]])
 
 
+def _buckets(hashes: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    """``rows`` packed by the buckets of their hashes."""
+    bucket = (hashes & np.uint64(BUCKETS - 1)).astype(np.uint16)
+    rows = rows[np.argsort(bucket, kind="stable")]
+    count = np.bincount(bucket, minlength=BUCKETS)
+    some = np.flatnonzero(count)
+    ends = np.concatenate([[0], np.cumsum(count[some])]) * rows.itemsize
+    entries = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(rows)])
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), entries], ["bucket", "entries"])
+
+
+def _unpacked(table: pa.Table, dtype: np.dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_buffer() for x in table.column("entries")), dtype)
+
+
 def hot_shingles(docs: DataFrame, key: str, text: str) -> np.ndarray:
     """Shingles that several documents of a sample share, at most ``HOT_SHINGLES``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, held = [], 0
         for batch in batches:
-            parts = list(_per_text(texts_of(batch.column(0)), lambda i, h: h[: np.searchsorted(h, REACH)]))
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64))], ["x"])
+            texts = texts_of(batch.column(0))
+            for lo, hi in slices(texts, TEXTS):
+                h, _ = shingles(words(texts, lo, hi), hi - lo)
+                kept.append(h[h < REACH])
+                held += len(kept[-1])
+                if held > HELD:
+                    yield _buckets(x := np.concatenate(kept), x)
+                    kept, held = [], 0
+        if held:
+            yield _buckets(x := np.concatenate(kept), x)
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, table in runs(batches):
+            x = np.sort(_unpacked(table, np.uint64))
+            begin = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+            n = np.diff(np.append(begin, len(x)))
+            often = n >= SEEN
+            yield pa.RecordBatch.from_arrays([pa.array(x[begin[often]].view(np.int64)), pa.array(n[often])], ["x", "n"])
 
     some = docs.where(F.pmod(F.xxhash64(F.lit("order"), key), F.lit(ONE_IN)) == 0).select(F.col(text).cast("string").alias("text"))
-    counts = some.mapInArrow(run, "x bigint").groupBy("x").agg(F.count("*").alias("n")).where(F.col("n") >= SEEN)
-    rows = counts.orderBy(F.desc("n"), "x").limit(HOT_SHINGLES).collect()
+    dealt = some.mapInArrow(run, "bucket int, entries binary").repartition("bucket").sortWithinPartitions("bucket")
+    rows = dealt.mapInArrow(seen, "x bigint, n bigint").orderBy(F.desc("n"), "x").limit(HOT_SHINGLES).collect()
     return np.sort(np.array([r.x for r in rows], np.int64).view(np.uint64))
 
 
+def _sums(values: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Sums of ``values`` over consecutive groups of ``count``, some empty."""
+    total = np.concatenate([[0], np.cumsum(values)])
+    ends = np.cumsum(count)
+    return total[ends] - total[ends - count]
+
+
+def _all_places(h: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``places`` of sets one after the other, and how many bytes each has."""
+    sizes, at = np.unique(count, return_inverse=True)
+    masks = np.array([8 * bitmap_bits(n) - 1 for n in sizes.tolist()], np.uint64)
+    spot = h & np.repeat(masks[at], count)
+    ends = np.cumsum(count)
+    begin = ends - count
+    for a, b in zip(begin.tolist(), ends.tolist()):
+        spot[a:b].sort()
+    spot = spot.astype(np.int64)
+    step = np.diff(spot, prepend=0)
+    some = begin[count > 0]
+    step[some] = spot[some]
+    out = np.full(len(step) + int((step // 255).sum()), 255, np.uint8)
+    out[np.cumsum(step // 255 + 1) - 1] = step % 255
+    return out, _sums(step // 255 + 1, count)
+
+
+def _flags(hot: np.ndarray) -> np.ndarray:
+    out = np.zeros(int(FLAG_BITS) + 1, bool)
+    out[hot & FLAG_BITS] = True
+    return out
+
+
+def _prefixes(h: np.ndarray, count: np.ndarray, want: np.ndarray, hot: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``want`` shingles of sets one after the other, ``hot`` ones last, and how many each has."""
+    common = flags[h & FLAG_BITS]
+    some = np.flatnonzero(common)
+    if len(some):
+        common[some] = hot[np.minimum(np.searchsorted(hot, h[some]), len(hot) - 1)] == h[some]
+    begin = np.cumsum(count) - count
+    rare = np.cumsum(~common) - ~common
+    within = np.arange(len(h)) - np.repeat(begin, count)
+    rare -= np.repeat(rare[np.minimum(begin, len(h) - 1)] if len(h) else begin, count)
+    place = np.where(common, np.repeat(_sums(~common, count), count) + within - rare, rare)
+    size = np.minimum(count, want)
+    take = place < np.repeat(size, count)
+    out = np.empty(int(size.sum()), np.uint64)
+    out[(np.repeat(np.cumsum(size) - size, count) + place)[take]] = h[take]
+    return out, size
+
+
 def sets_of(docs: DataFrame, hot: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every document's set size, node, places and prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
+    def ends(size: np.ndarray) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, seen = shared.value, set()
+        flags = _flags(hot)
         for batch in batches:
-            rows: list[tuple] = []
-
-            def one(i: int, h: np.ndarray) -> None:
-                if not len(h):
-                    rows.append((0, None, None, None))
-                    return
+            texts = texts_of(batch.column(1))
+            for lo, hi in slices(texts, TEXTS):
+                h, doc = shingles(words(texts, lo, hi), hi - lo)
+                n = np.bincount(doc, minlength=hi - lo)
+                none = n == 0
+                node = np.zeros(hi - lo, np.uint64)
                 with np.errstate(over="ignore"):
-                    node = int(mix(np.array([mix(h).sum() * np.uint64(0x9FB21C651E98DF25) + np.uint64(len(h))], np.uint64)).view(np.int64)[0])
-                if node in seen:
-                    rows.append((len(h), node, places(h), None))
-                    return
-                if len(seen) > 1 << 20:
-                    seen.clear()
-                seen.add(node)
-                want = prefix_size(len(h))
-                if len(hot):
-                    at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
-                    common = hot[at] == h
-                    first = np.concatenate([h[~common][:want], h[common]])[:want]
-                else:
-                    first = h[:want]
-                rows.append((len(h), node, places(h), first.view(np.int64)))
-
-            for _ in _per_text(texts_of(batch.column(1)), one):
-                pass
-            n, node, at, prefix = zip(*rows) if rows else ((),) * 4
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(at, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "node", "places", "prefix"],
-            )
+                    if len(h):
+                        node[~none] = np.add.reduceat(mix(h), (np.cumsum(n) - n)[~none])
+                    node = mix(node * np.uint64(0x9FB21C651E98DF25) + n.astype(np.uint64)).view(np.int64)
+                again = none.copy()
+                for i, x in enumerate(node.tolist()):
+                    if x in seen:
+                        again[i] = True
+                    elif not none[i]:
+                        if len(seen) > 1 << 20:
+                            seen.clear()
+                        seen.add(x)
+                spots, size = _all_places(h, n)
+                at = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(ends(size)), pa.py_buffer(spots)])
+                first, size = _prefixes(h, n, np.where(again, 0, prefix_size(n)), hot, flags)
+                prefix = pa.ListArray.from_arrays(pa.array(ends(size)), pa.array(first.view(np.int64)), mask=pa.array(again))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(node, mask=none), pc.if_else(pa.array(none), pa.scalar(None, pa.binary()), at), prefix],
+                    ["doc_id", "n_shingles", "node", "places", "prefix"],
+                )
 
     taken = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return taken.mapInArrow(run, SETS)
@@ -196,71 +305,187 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
         yield int(last), pa.Table.from_batches(kept)
 
 
+def size_codes(n: np.ndarray) -> np.ndarray:
+    """Sizes as two bytes: as they are, or by their logarithm beyond ``EXACT``."""
+    return np.where(n <= EXACT, n, EXACT + 1 + (np.log2(np.maximum(n, 1)) * 1024).astype(np.int64)).astype(np.uint16)
+
+
+def size_bounds(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the most size that a code stands for."""
+    code = code.astype(np.int64)
+    step = np.maximum(code - EXACT - 1, 0)
+    low, high = (np.floor(2 ** ((step + k) / 1024)).astype(np.int64) for k in (0, 1))
+    return np.where(code <= EXACT, code, low - 1), np.where(code <= EXACT, code, high + 1)
+
+
+def dealt_prefixes(sets: DataFrame) -> DataFrame:
+    """Shingles of all prefixes in ``BUCKETS`` by hash: rows ``bucket, entries`` of packed ``ENTRY``."""
+
+    def packed(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        x, node, n, place = (np.concatenate(c) for c in zip(*parts))
+        rows = np.empty(len(x), ENTRY)
+        rows["x"], rows["node"], rows["n"], rows["place"] = x >> np.uint64(12), node, n, place
+        return _buckets(x, rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple[np.ndarray, ...]] = []
+        held = 0
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1 << 11):
+                some = batch.slice(lo, 1 << 11)
+                n, lists = some.column(1).to_numpy(), some.column(2)
+                x, count = lists.flatten().to_numpy().view(np.uint64), pc.list_value_length(lists).to_numpy().astype(np.int64)
+                place = np.arange(len(x)) - np.repeat(np.cumsum(count) - count, count)
+                code = np.minimum(place * 640 // np.repeat(n, count), 255).astype(np.uint8)
+                kept.append((x, np.repeat(some.column(0).to_numpy(), count), np.repeat(size_codes(n), count), code))
+                held += len(x)
+                if held > HELD:
+                    yield packed(kept)
+                    kept, held = [], 0
+        if held:
+            yield packed(kept)
+
+    return sets.where("prefix is not null").select("node", "n_shingles", "prefix").mapInArrow(run, "bucket int, entries binary")
+
+
+class Counts:
+    """Pairs of nodes, how often they were met and have to be, added up as far as memory goes."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.held = 0
+
+    def add(self, *pairs: np.ndarray) -> None:
+        self.parts.append(pairs)
+        self.held += len(pairs[0])
+
+    def rows(self, least: int) -> Iterator[pa.RecordBatch]:
+        """The pairs, if there are more than ``least`` of them."""
+        if self.held <= least:
+            return
+        a, b, n, need = (np.concatenate(c) for c in zip(*self.parts))
+        order = np.lexsort((b, a))
+        a, b, n, need = a[order], b[order], n[order], need[order]
+        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        a, b, n, need = a[first], b[first], np.add.reduceat(n, first), need[first]
+        self.parts, self.held = [(a, b, n, need)], len(a)
+        if self.held > least // 2:
+            self.parts, self.held = [], 0
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), *map(pa.array, (a, b, n, need))], FOUND)
+
+
 def shared_blocks(sets: DataFrame) -> DataFrame:
-    """Rows ``block, node`` of shingles in the prefixes of two nodes or more. Blocks
-    with the same nodes are one."""
+    """What shingles in the prefixes of two nodes or more tell: rows ``block, a`` of those
+    that more than ``SMALL`` nodes have, and ``a, b, n, need`` of pairs by the others.
+    Blocks with the same nodes are one.
+
+    Sets that link have ``shared_in_prefixes`` of the smaller in common, or as many as their
+    sizes ask for, none of them at a place that leaves too few. So a pair is in a block,
+    or is met at so many of the other shingles: then its ``n`` add up to ``need``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[int] = set()
+        counts = Counts()
         blocks, nodes, held = [], [], 0
 
         def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(blocks)), pa.array(np.concatenate(nodes))], ["block", "node"])
+            n = sum(map(len, blocks))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(blocks)), pa.array(np.concatenate(nodes)), *[pa.nulls(n, pa.int64())] * 3], FOUND
+            )
 
-        last_key, carry = None, []
-        for batch in batches:
-            key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(key):
-                continue
-            if carry and key[0] == last_key:
-                key = np.concatenate([np.full(sum(map(len, carry)), last_key), key])
-                node = np.concatenate([*carry, node])
-                carry = []
-            elif carry:
-                key = np.concatenate([np.full(sum(map(len, carry)), last_key), key])
-                node = np.concatenate([*carry, node])
-                carry = []
-            tail = int(np.searchsorted(key != key[-1], False)) if key[0] == key[-1] else int(np.flatnonzero(key != key[-1])[-1]) + 1
-            last_key, carry = key[-1], [node[tail:]]
-            for part in _members(key[:tail], node[:tail], told):
+        for _, table in runs(batches):
+            x, node, code, place = _met(_unpacked(table, ENTRY))
+            begin = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.empty(0, np.int64)
+            size = np.diff(np.append(begin, len(x)))
+            for s in np.unique(size[(size > 1) & (size <= SMALL)]).tolist():
+                i, j = np.triu_indices(s, 1)
+                at = begin[size == s]
+                step = max(1, HELD // len(i))
+                for lo in range(0, len(at), step):
+                    some = at[lo : lo + step, None]
+                    counts.add(*_near(node, code, place, (some + i).ravel(), (some + j).ravel()))
+                    yield from counts.rows(2 * HELD)
+            large = size > SMALL
+            for part in _members(node, begin[large], size[large], told):
                 blocks.append(part[0])
                 nodes.append(part[1])
                 held += len(part[0])
             if held > 50_000:
                 yield rows()
                 blocks, nodes, held = [], [], 0
-        if carry:
-            node = np.concatenate(carry)
-            for part in _members(np.full(len(node), last_key), node, told):
-                blocks.append(part[0])
-                nodes.append(part[1])
+        yield from counts.rows(0)
         if blocks:
             yield rows()
 
-    rows = sets.where("prefix is not null").select(F.explode("prefix").alias("x"), "node")
-    dealt = rows.repartition("x").sortWithinPartitions("x", "node")
-    return dealt.mapInArrow(run, "block bigint, node bigint").distinct()
-
-
-def _members(key: np.ndarray, node: np.ndarray, told: set[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of sorted (shingle, node) rows that have two nodes or more and are new."""
-    if not len(key):
-        return
-    fresh = np.ones(len(key), bool)
-    fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-    key, node = key[fresh], node[fresh]
-    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    size = np.diff(np.append(begin, len(key)))
-    with np.errstate(over="ignore"):
-        name = np.add.reduceat(mix(node.view(np.uint64).copy()), begin) + size.astype(np.uint64)
-    for k in np.flatnonzero(size > 1):
-        block = int(mix(name[k : k + 1].copy()).view(np.int64)[0])
+    dealt = dealt_prefixes(sets).repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "block bigint, a bigint, b bigint, n bigint, need bigint")
+
+
+def _met(e: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Entries by shingle and node, each node once, without shingles that stand alone."""
+    key = e["x"].astype(np.uint64) << np.uint64(32) | np.arange(len(e), dtype=np.uint64)
+    key.sort()
+    x = key >> np.uint64(32)
+    like = np.concatenate([[False], x[1:] == x[:-1], [False]])
+    at = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)[like[1:] | like[:-1]]
+    e = e[at]
+    e = e[np.lexsort((e["node"], e["x"]))]
+    x, node = e["x"], e["node"]
+    fresh = np.ones(len(e), bool)
+    fresh[1:] = (x[1:] != x[:-1]) | (node[1:] != node[:-1])
+    return tuple(np.ascontiguousarray(e[c][fresh]) for c in ("x", "node", "n", "place"))
+
+
+def _near(node: np.ndarray, code: np.ndarray, place: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of pairs of entries, those that may be among the first shingles that two sets that
+    link have in common; each counts one of those that it needs."""
+    low, high = size_bounds(code)
+    before = place * low // 640
+    common = -(-3 * (low[p] + low[q]) // 7)
+    need = np.minimum(shared_in_prefixes(np.minimum(low[p], low[q])), common)
+    ok = (3 * low[p] <= 4 * high[q]) & (3 * low[q] <= 4 * high[p])
+    ok &= (before[p] < high[p] - common + need) & (before[q] < high[q] - common + need)
+    p, q, need = p[ok], q[ok], need[ok]
+    a, b = node[p], node[q]
+    return np.minimum(a, b), np.maximum(a, b), np.ones(len(p), np.int64), need
+
+
+def _members(node: np.ndarray, begin: np.ndarray, size: np.ndarray, told: set[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Those blocks of nodes in order that are new."""
+    for at, n in zip(begin.tolist(), size.tolist()):
+        some = node[at : at + n]
+        with np.errstate(over="ignore"):
+            name = mix(some.view(np.uint64).copy()).sum() + np.uint64(n)
+        block = int(mix(np.array([name], np.uint64)).view(np.int64)[0])
         if block in told:
             continue
         if len(told) > 1 << 20:
             told.clear()
         told.add(block)
-        yield np.full(size[k], block, np.int64), node[begin[k] : begin[k] + size[k]]
+        yield np.full(n, block, np.int64), some
+
+
+def pair_blocks(pairs: DataFrame) -> DataFrame:
+    """Rows ``block, rep`` of a block for each of ``pairs``."""
+    return pairs.select(F.xxhash64(F.lit("pair"), "a", "b").alias("block"), F.explode(F.array("a", "b")).alias("rep"))
+
+
+def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components ``_a, _b``."""
+    named = pairs
+    for end in ("a", "b"):
+        of = found.select(F.col("id").alias(end), F.col("component").alias(f"_{end}"))
+        named = named.join(of, end, "left").withColumn(f"_{end}", F.coalesce(f"_{end}", end))
+    return named.where("_a <> _b").select("a", "b", "_a", "_b")
+
+
+def first_partners(pairs: DataFrame) -> DataFrame:
+    """Of the pairs of each end, the one whose other end comes first in an order by hash."""
+    ends = pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = ends.groupBy("a").agg(F.min(F.struct(F.xxhash64("b"), "b")).alias("_l")).select("a", F.col("_l.b").alias("b"))
+    return least.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 class Tree:
@@ -437,6 +662,11 @@ def candidates(
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
+def two_link(n: np.ndarray, sets: list[np.ndarray], folded: bool) -> bool:
+    """Whether ``candidates`` would join two members, the smaller first."""
+    return bool(4 * n[0] >= 3 * n[1] and Members(n, sets, bitmap_bits(int(n[0])), folded).links(np.array([0]), np.array([1]))[0])
+
+
 PAIRS = "a bigint, b bigint"
 
 
@@ -451,9 +681,13 @@ def tree_pairs(members: DataFrame, folded: bool = True) -> DataFrame:
             sets = [places_of(x.as_buffer()) for x in table.column("places")]
         else:
             sets = [x.values.to_numpy().view(np.uint64) for x in table.column("x")]
-        _, group = np.unique(table.column("component").to_numpy()[order], return_inverse=True)
+        component, sets = table.column("component").to_numpy()[order], [sets[i] for i in order]
         n, rep = n[order], rep[order]
-        a, b = candidates(n, [sets[i] for i in order], group, mix(rep.view(np.uint64).copy()), folded)
+        if len(n) == 2:
+            a, b = ([0], [1]) if component[0] != component[1] and two_link(n, sets, folded) else ([], [])
+        else:
+            _, group = np.unique(component, return_inverse=True)
+            a, b = candidates(n, sets, group, mix(rep.view(np.uint64).copy()), folded)
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[a], rep[b])), pa.array(np.maximum(rep[a], rep[b]))], ["a", "b"])
 
@@ -525,45 +759,66 @@ def cut_blocks(members: DataFrame, whole: bool) -> DataFrame:
     return dealt.mapInArrow(run, "block bigint, rep bigint, component bigint").distinct()
 
 
-def holding(parts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Rows ``block, rep`` of the parts that hold both ends of one of ``pairs``.
+def holding(found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows ``block, rep, component`` of all members of the components that ``pairs`` (``a, b``
+    in components ``_a, _b``) would join, one block for those that they would make one.
 
-    A pair is looked for in the parts of the end that stands in fewer pairs, so that the
-    centre of a star is not laid at its parts once for each of them.
+    A forest of a part in which such a pair is taken for a link leaves out links only
+    between components that these pairs join.
     """
-    often = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("_often"))
-    ends = pairs.join(often.select(F.col("rep").alias("a"), F.col("_often").alias("_a")), "a").join(
-        often.select(F.col("rep").alias("b"), F.col("_often").alias("_b")), "b"
-    )
-    less = F.col("_a") <= F.col("_b")
-    asked = ends.select(F.when(less, F.col("a")).otherwise(F.col("b")).alias("rep"), F.when(less, F.col("b")).otherwise(F.col("a")).alias("_other"))
-    placed = parts.select("block", "rep")
-    other = asked.join(placed, "rep").select("block", F.col("_other").alias("rep")).distinct()
-    blocks = other.join(placed, ["block", "rep"], "left_semi").select("block").distinct()
-    return placed.join(blocks, "block", "left_semi")
+    joined = components(pairs.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    ends = pairs.select(F.col("a").alias("rep"), F.col("_a").alias("component")).unionAll(pairs.select("b", "_b"))
+    members = found.select(F.col("id").alias("rep"), "component").unionAll(ends).distinct()
+    named = joined.select(F.col("id").alias("component"), F.col("component").alias("block"))
+    return members.join(named, "component").select("block", "rep", "component")
 
 
 def _bit_of(key: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit("bit"), key), F.lit(1 << ID_BITS))
 
 
-def whole_sets(docs: DataFrame, ids: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The whole set ``x`` of each document in ``ids`` (``rep``)."""
-    spark = docs.sparkSession
+def _marks(ids: DataFrame) -> Broadcast:
+    """A bitmap over the hashes of ``ids`` (``rep``)."""
     # positions in Spark's bitmaps count from 1
     marks = ids.select((_bit_of(F.col("rep")) + 1).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("k"))
     seen = np.zeros((1 << ID_BITS) // 8, np.uint8)
     for row in marks.agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).collect():
         seen[(row.k - 1) * 4096 : row.k * 4096] |= np.frombuffer(row.bits, np.uint8)
-    shared = spark.sparkContext.broadcast(seen)
+    return ids.sparkSession.sparkContext.broadcast(seen)
+
+
+def _marked(batch: pa.RecordBatch, column: int, marks: np.ndarray) -> pa.RecordBatch:
+    """The rows whose id's bit, in ``column``, is in the bitmap."""
+    h = batch.column(column).to_numpy()
+    return batch.take(pa.array(np.flatnonzero(marks[h >> 3] >> (h & 7).astype(np.uint8) & 1)))
+
+
+def members_of(sets: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows ``rep, n, places`` of the nodes whose representative is in ``ids``."""
+    shared = _marks(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = _marked(batch, 3, shared.value)
+            if some.num_rows:
+                yield pa.RecordBatch.from_arrays(some.columns[:3], ["doc_id", "node", "places"])
+
+    taken = sets.where("doc_id is not null and node is not null").select("doc_id", "node", "places", _bit_of(F.col("doc_id")).alias("h"))
+    some = taken.mapInArrow(run, "doc_id bigint, node bigint, places binary")
+    # keyed on both, as the join deals rows by both
+    known = some.join(nodes, "node").where("doc_id = rep").dropDuplicates(["node", "rep"])
+    return stage(known.select("rep", "n", "places"), "shingle-members")
+
+
+def whole_sets(docs: DataFrame, ids: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The whole set ``x`` of each document in ``ids`` (``rep``)."""
+    shared = _marks(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = batch.column(2).to_numpy()
-            hit = np.flatnonzero(shared.value[h >> 3] >> (h & 7).astype(np.uint8) & 1)
-            if not len(hit):
+            some = _marked(batch, 2, shared.value)
+            if not some.num_rows:
                 continue
-            some = batch.take(pa.array(hit))
             rows = list(_per_text(texts_of(some.column(1)), lambda i, x: x.view(np.int64)))
             yield pa.RecordBatch.from_arrays([some.column(0), pa.array(rows, pa.list_(pa.int64()))], ["rep", "x"])
 
@@ -619,11 +874,16 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         sets.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")),
         "shingle-nodes",
     )
-    blocks = stage(shared_blocks(sets), "shingle-blocks")
-    # keyed on both, as the join deals rows by both
-    known = sets.select("doc_id", "node", "places").join(nodes, "node").where("doc_id = rep").dropDuplicates(["node", "rep"])
-    known = stage(known.select("rep", "n", "places"), "shingle-members")
+    met = stage(shared_blocks(sets), "shingle-blocks")
+    blocks = stage(met.where("block is not null").select("block", F.col("a").alias("node")).distinct(), "large-blocks")
     sized = blocks.join(nodes, "node").select("block", "rep", "n")
+    often = met.where("block is null").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need")
+    ends = nodes.select("node", "rep")
+    near = often.join(ends.select(F.col("node").alias("a"), F.col("rep").alias("_a")), "a").join(
+        ends.select(F.col("node").alias("b"), F.col("rep").alias("_b")), "b"
+    )
+    # several nodes have one representative if a key comes with several texts
+    near = stage(near.where("_a <> _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), "near-pairs")
 
     def in_components(rows: DataFrame, found: DataFrame) -> DataFrame:
         named = rows.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
@@ -635,28 +895,32 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     def and_more(found: DataFrame, links: DataFrame) -> DataFrame:
         return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(links.select("a", "b")))
 
-    # Parts of every block.
+    # Parts of every block, and one pair of each end.
     parts = stage(cut_blocks(sized.withColumn("component", F.col("rep")), False), "block-parts")
-    first = tried(tree_pairs(parts.join(known, "rep")))
+    known = members_of(sets, nodes, parts.select("rep").unionAll(near.select(F.explode(F.array("a", "b")).alias("rep"))))
+    tested = stage(first_partners(near), "near-pairs")
+    some = pair_blocks(tested).withColumn("component", F.col("rep"))
+    first = tried(tree_pairs(parts.unionByName(some).join(known, "rep")))
     found = components(first.where("links").select("a", "b"))
-    parts = parts.select("block", "rep")
 
-    # Parts of large blocks with each other.
+    # Parts of large blocks with each other, and the pairs that are still apart.
     large = stage(blocks.groupBy("block").agg(F.count("*").alias("_size")).where(F.col("_size") > PART).select("block"), "large-blocks")
+    more = stage(cut_blocks(in_components(sized.join(large, "block"), found), True), "block-parts")
+    left = pair_blocks(apart(near.join(tested, ["a", "b"], "left_anti"), found)).withColumn("component", F.col("rep"))
+    rest = stage(more.unionByName(left), "block-parts")
     doubted = first.where("not links").select("a", "b")
-    if not large.isEmpty():
-        more = stage(cut_blocks(in_components(sized.join(large, "block"), found), True), "block-parts")
-        second = tried(tree_pairs(more.join(known, "rep")).join(first.select("a", "b"), ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        second = tried(tree_pairs(rest.join(known, "rep")).join(first.select("a", "b"), ["a", "b"], "left_anti"))
         found = and_more(found, second.where("links"))
         doubted = doubted.unionAll(second.where("not links").select("a", "b"))
-        parts = parts.unionAll(more.select("block", "rep")).distinct()
 
-    # Parts that gave a pair that is no link.
+    # Components between which a part gave a pair that is no link. Where its ends are in one
+    # component, so are the members that it kept from being compared.
+    doubted = stage(apart(doubted, found), "doubted")
     if not doubted.isEmpty():
-        again = in_components(holding(parts, doubted), found)
-        several = again.groupBy("block").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b")
-        again = stage(again.join(several, "block", "left_semi"), "doubted-parts")
+        again = stage(holding(found, doubted), "doubted-components")
         whole = whole_sets(docs, again.select("rep").distinct(), key, text).withColumn("n", F.size("x").cast("bigint"))
+        again = stage(cut_blocks(again.join(whole.select("rep", "n"), "rep"), True), "doubted-parts")
         found = and_more(found, tree_pairs(again.join(whole, "rep"), folded=False))
     rows = sets.select("doc_id", "n_shingles", "node").join(nodes.select("node", "rep"), "node", "left")
     return rows.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select(

@@ -331,6 +331,58 @@ def test_bounds_never_exclude_a_link():
             assert set(a[: shingle_join.prefix_size(len(a))]) & set(b[: shingle_join.prefix_size(len(b))])
 
 
+def test_prefixes_of_links_meet_as_often_as_asked():
+    rnd = np.random.default_rng(5)
+    links = 0
+    for k in range(400):
+        n = int(rnd.integers(1, 6 if k < 60 else 1500))
+        a = rnd.integers(0, 1 << 62, n).astype(np.uint64)
+        b = np.concatenate([a[: int(rnd.integers(3 * n // 4, n + 1))], rnd.integers(0, 1 << 62, int(rnd.integers(0, n // 4 + 1))).astype(np.uint64)])
+        a, b = np.unique(a), np.unique(b)
+        common = np.intersect1d(a, b)
+        if not len(common) or 100 * len(common) < 75 * (len(a) + len(b) - len(common)):
+            continue
+        links += 1
+        count = np.array([len(a), len(b)])
+        hot = np.unique(rnd.choice(common, len(common) // 5 + 1))
+        prefix, size = shingle_join._prefixes(np.concatenate([a, b]), count, shingle_join.prefix_size(count), hot, shingle_join._flags(hot))
+        e = np.zeros(len(prefix), shingle_join.ENTRY)
+        e["x"], e["node"] = prefix >> np.uint64(12), np.repeat([7, 8], size)
+        place = np.concatenate([np.arange(x) for x in size])
+        e["n"], e["place"] = np.repeat(shingle_join.size_codes(count), size), np.minimum(place * 640 // np.repeat(count, size), 255)
+        x, node, code, place = shingle_join._met(e)
+        p = np.flatnonzero(x[1:] == x[:-1])
+        left, right, met, need = shingle_join._near(node, code, place, p, p + 1)
+        assert set(left) == {7} and set(right) == {8} and met.sum() >= need[0]
+    assert links > 100
+    sizes = np.unique(np.concatenate([np.arange(1, 70_000), rnd.integers(1, 1 << 30, 1000)]))
+    low, high = shingle_join.size_bounds(shingle_join.size_codes(sizes))
+    assert (low <= sizes).all() and (sizes <= high).all() and (high <= 1.003 * low).all()
+
+
+def test_sets_that_meet_by_chance_are_not_moved(spark, monkeypatch):
+    moved = {}
+
+    def counted(df, label, real=shingle_join.stage):
+        out = real(df, label)
+        moved[label] = moved.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(shingle_join, "stage", counted)
+    w = [[f"w{i}x{k}" for k in range(60)] for i in range(120)]
+    for i in range(119):
+        for k in range(10):
+            w[i][6 * k : 6 * k + 5] = [f"s{min(i, (i + k + 1) % 120)}y{max(i, (i + k + 1) % 120)}z{j}" for j in range(5)]
+    for i in range(119):
+        for k in range(10):
+            j = (i + k + 1) % 120
+            w[j] += w[i][6 * k : 6 * k + 5]
+    rows = [(i, " ".join(x)) for i, x in enumerate(w)]
+    found = shingle_join.linked(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(r.component_id for r in found) == list(range(120))
+    assert moved["shingle-sets"] == 120 and moved["shingle-members"] == 0
+
+
 def test_components(spark):
     rnd = random.Random(6)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1060)] + [(5, 5)]
