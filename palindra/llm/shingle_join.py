@@ -28,7 +28,7 @@ of the intersection is at least 75 times that of the union. Sets are compared as
    apart; the third compares the few components that pairs which were not confirmed would
    join, with whole sets in place of bits, so that its pairs are links.
 
-Prefixes, not groups, are dealt by shingle, packed in ``BUCKETS``; a task holds a bucket, or
+Prefixes, not groups, are dealt by shingle, packed in buckets; a task holds a bucket, or
 a part's members, about a byte for each of their shingles (eight in the third round). Whole
 sets are rebuilt from the texts of documents in a pair, found by a bitmap of fixed size
 over their ids.
@@ -50,7 +50,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palindra.llm.words import Spans, mix, slices, texts_of, words
-from palindra.session import stage
+from palindra.session import estimated_bytes, stage
 
 SHINGLE = 5
 PART = 1024
@@ -68,8 +68,9 @@ ID_BITS = 23
 #: Linking sets share so many shingles of their prefixes, and one more for each ``ONE_MORE`` of
 #: the smaller's size; shingles of up to ``SMALL`` sets are told as pairs.
 SHARED, ONE_MORE, SMALL = 3, 128, 32
-#: Prefixes go in so many buckets; a task packs and holds about ``HELD`` entries or pairs at once.
-BUCKETS, HELD = 1 << 12, 1 << 20
+#: Shingles go in ``2^BUCKET_BITS`` buckets, in twice as many for each doubling of the input
+#: beyond ``BUCKETED`` bytes up to 2^16; a task packs and holds about ``HELD`` entries or pairs at once.
+BUCKET_BITS, BUCKETED, HELD = 12, 1 << 35, 1 << 20
 #: Of a shingle in a prefix: its hash without the bits of the bucket, the set, the set's size
 #: (exact up to ``EXACT``) and its place in 640ths of the size.
 ENTRY = np.dtype([("x", "<u4"), ("node", "<i8"), ("n", "<u2"), ("place", "u1")])
@@ -149,11 +150,15 @@ def _per_text(texts, found: Callable) -> Iterator:
             yield found(lo + i, h[bounds[i] : bounds[i + 1]])
 
 
-def _buckets(hashes: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+def bucket_bits(docs: DataFrame) -> int:
+    return min(16, BUCKET_BITS + max(0, (estimated_bytes(docs) // BUCKETED).bit_length()))
+
+
+def _buckets(hashes: np.ndarray, rows: np.ndarray, bits: int) -> pa.RecordBatch:
     """``rows`` packed by the buckets of their hashes."""
-    bucket = (hashes & np.uint64(BUCKETS - 1)).astype(np.uint16)
+    bucket = (hashes & np.uint64((1 << bits) - 1)).astype(np.uint16)
     rows = rows[np.argsort(bucket, kind="stable")]
-    count = np.bincount(bucket, minlength=BUCKETS)
+    count = np.bincount(bucket, minlength=1 << bits)
     some = np.flatnonzero(count)
     ends = np.concatenate([[0], np.cumsum(count[some])]) * rows.itemsize
     entries = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(rows)])
@@ -166,6 +171,7 @@ def _unpacked(table: pa.Table, dtype: np.dtype) -> np.ndarray:
 
 def hot_shingles(docs: DataFrame, key: str, text: str) -> np.ndarray:
     """Shingles that several documents of a sample share, at most ``HOT_SHINGLES``."""
+    bits = bucket_bits(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, held = [], 0
@@ -176,10 +182,10 @@ def hot_shingles(docs: DataFrame, key: str, text: str) -> np.ndarray:
                 kept.append(h[h < REACH])
                 held += len(kept[-1])
                 if held > HELD:
-                    yield _buckets(x := np.concatenate(kept), x)
+                    yield _buckets(x := np.concatenate(kept), x, bits)
                     kept, held = [], 0
         if held:
-            yield _buckets(x := np.concatenate(kept), x)
+            yield _buckets(x := np.concatenate(kept), x, bits)
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, table in runs(batches):
@@ -318,23 +324,24 @@ def size_bounds(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(code <= EXACT, code, low - 1), np.where(code <= EXACT, code, high + 1)
 
 
-def dealt_prefixes(sets: DataFrame) -> DataFrame:
-    """Shingles of all prefixes in ``BUCKETS`` by hash: rows ``bucket, entries`` of packed ``ENTRY``."""
+def dealt_prefixes(sets: DataFrame, bits: int) -> DataFrame:
+    """Shingles of all prefixes in buckets by hash: rows ``bucket, entries`` of packed ``ENTRY``."""
 
     def packed(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         x, node, n, place = (np.concatenate(c) for c in zip(*parts))
         rows = np.empty(len(x), ENTRY)
-        rows["x"], rows["node"], rows["n"], rows["place"] = x >> np.uint64(12), node, n, place
-        return _buckets(x, rows)
+        rows["x"], rows["node"], rows["n"], rows["place"] = x >> np.uint64(bits), node, n, place
+        return _buckets(x, rows, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, ...]] = []
         held = 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1 << 11):
-                some = batch.slice(lo, 1 << 11)
-                n, lists = some.column(1).to_numpy(), some.column(2)
-                x, count = lists.flatten().to_numpy().view(np.uint64), pc.list_value_length(lists).to_numpy().astype(np.int64)
+            counts = pc.list_value_length(batch.column(2)).to_numpy().astype(np.int64)
+            cuts = np.flatnonzero(np.diff(np.cumsum(counts) // HELD, prepend=0)).tolist()
+            for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows]):
+                some, count = batch.slice(lo, hi - lo), counts[lo:hi]
+                n, x = some.column(1).to_numpy(), some.column(2).flatten().to_numpy().view(np.uint64)
                 place = np.arange(len(x)) - np.repeat(np.cumsum(count) - count, count)
                 code = np.minimum(place * 640 // np.repeat(n, count), 255).astype(np.uint8)
                 kept.append((x, np.repeat(some.column(0).to_numpy(), count), np.repeat(size_codes(n), count), code))
@@ -374,7 +381,7 @@ class Counts:
             yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), *map(pa.array, (a, b, n, need))], FOUND)
 
 
-def shared_blocks(sets: DataFrame) -> DataFrame:
+def shared_blocks(sets: DataFrame, bits: int = BUCKET_BITS) -> DataFrame:
     """What shingles in the prefixes of two nodes or more tell: rows ``block, a`` of those
     that more than ``SMALL`` nodes have, and ``a, b, n, need`` of pairs by the others.
     Blocks with the same nodes are one.
@@ -419,7 +426,7 @@ def shared_blocks(sets: DataFrame) -> DataFrame:
         if blocks:
             yield rows()
 
-    dealt = dealt_prefixes(sets).repartition("bucket").sortWithinPartitions("bucket")
+    dealt = dealt_prefixes(sets, bits).repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, "block bigint, a bigint, b bigint, n bigint, need bigint")
 
 
@@ -874,7 +881,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         sets.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")),
         "shingle-nodes",
     )
-    met = stage(shared_blocks(sets), "shingle-blocks")
+    met = stage(shared_blocks(sets, bucket_bits(docs)), "shingle-blocks")
     blocks = stage(met.where("block is not null").select("block", F.col("a").alias("node")).distinct(), "large-blocks")
     sized = blocks.join(nodes, "node").select("block", "rep", "n")
     often = met.where("block is null").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need")
